@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, packing, token_files
+from . import common, packing, quality, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,29 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, separator=0)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for each vector whose id is divisible by 20, of components floor(64 * x)."""
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to Arrow token files and read back."""
     docs = _table(spark, sf_dir, "documents")
@@ -32,6 +56,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files, docs.schema["doc_id"].dataType)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_best_fit_packing, op9_token_files)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, score and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_best_fit_packing, op4_exact_topk, op9_token_files, op10_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
