@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality, token_files, topk
+from . import common, packing, quality, simhash, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document, linked at 2 or fewer differing bits."""
+    classes = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"), words=3)
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to Arrow token files and read back."""
     docs = _table(spark, sf_dir, "documents")
@@ -62,6 +68,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_best_fit_packing, op4_exact_topk, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_best_fit_packing, op4_exact_topk, op5_simhash_near_dedup, op9_token_files, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
