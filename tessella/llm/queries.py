@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality, simhash, token_files, topk
+from . import common, langid, packing, quality, simhash, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labelled ones."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(common.crc_of_id("doc_id"), F.lit(4)) == 2
+    model = langid.fit(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, separator=0)
@@ -68,6 +76,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_best_fit_packing, op4_exact_topk, op5_simhash_near_dedup, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op4_exact_topk, op5_simhash_near_dedup, op9_token_files, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
