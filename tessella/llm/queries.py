@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, packing, quality, simhash, token_files, topk
+from . import common, langid, mixing, packing, quality, secrets, simhash, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents in which no source is repeated more than twice: a row for each copy."""
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), repetition_limit=2.0, keep=["doc_id", "source"])
+    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.round("_weight", 9).alias("weight"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to Arrow token files and read back."""
     docs = _table(spark, sf_dir, "documents")
@@ -76,6 +87,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op4_exact_topk, op5_simhash_near_dedup, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op4_exact_topk, op5_simhash_near_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
