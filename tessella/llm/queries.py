@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, mixing, packing, quality, secrets, simhash, token_files, topk
+from . import common, langid, lm, mixing, packing, quality, secrets, simhash, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, separator=0)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of four fifths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(common.crc_of_id("doc_id"), F.lit(5)) == 1
+    scored = lm.score_documents(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all vectors for each vector whose id is divisible by 20, of components floor(64 * x)."""
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
@@ -87,6 +95,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op4_exact_topk, op5_simhash_near_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_lm_scoring, op4_exact_topk, op5_simhash_near_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
