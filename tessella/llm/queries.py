@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, lm, mixing, packing, quality, secrets, simhash, token_files, topk
+from . import common, langid, lines, lm, mixing, packing, quality, secrets, simhash, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that are cut from every document, and a hash of what remains."""
+    cut = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    gone = F.coalesce("_deleted", F.array().cast("array<int>"))
+    return cut.select("doc_id", F.size(gone).cast("long").alias("n_deleted"), F.array_join(gone.cast("array<string>"), ",").alias("deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
@@ -95,6 +102,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_lm_scoring, op4_exact_topk, op5_simhash_near_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_lm_scoring, op4_exact_topk, op5_simhash_near_dedup, op6_line_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL, "op6_line_dedup": lines.SQL}

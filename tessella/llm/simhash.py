@@ -207,3 +207,128 @@ def near_duplicate_classes(docs: DataFrame, *, words: int = 3, id_col: str = "do
     by_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.join(by_root, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- classes at a shingle similarity -----------------------------------------
+
+#: 64-bit words of a sketch, and pairs of its segments that give keys.
+SKETCH_WORDS, KEY_PAIRS = 4, 4
+_SKETCH = [f"_s{k}" for k in range(SKETCH_WORDS)]
+
+
+def bit_sums(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each document's hashes have each bit: documents x 64.
+
+    Bytes are added eight at a time, in runs of at most 255.
+    """
+    ends = np.cumsum(counts)
+    runs = -(-counts // 255)
+    doc = np.repeat(np.arange(len(counts)), runs)
+    within = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs)
+    starts = (ends - counts)[doc] + 255 * within
+    out = np.zeros((len(counts), 64), np.int64)
+    if len(hashes):
+        lanes = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view("<u8")
+        parts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).astype(np.int64)
+        filled = np.flatnonzero(runs)
+        out[filled] = np.add.reduceat(parts, (np.cumsum(runs) - runs)[filled], axis=0)
+    return out
+
+
+def sketches(column: pa.Array, words: int) -> np.ndarray:
+    """Documents x SKETCH_WORDS: majority bits over the shingles, each hashed anew for each word of the sketch."""
+    out = []
+    for _, _, data, offsets in common.text_chunks(column):
+        data = common.lower(data)
+        starts, ends, n = common.word_spans(data, offsets)
+        h = common.span_hashes(data, starts, ends)
+        first, k = np.cumsum(n) - n, np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+        at = np.repeat(first, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        last = np.repeat(first + n, k)
+        own = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(words):
+                inside = at + j < last
+                own = common.mix(own * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(at + j, max(len(h) - 1, 0))], np.uint64(0))) if len(h) else own
+            bits = [bit_sums(common.mix(own + np.uint64(w + 1) * np.uint64(0xC2B2AE3D27D4EB4F)), k) for w in range(SKETCH_WORDS)]
+        out.append(np.stack([np.packbits(2 * b > k[:, None], axis=1, bitorder="little").view("<u8")[:, 0] for b in bits], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, SKETCH_WORDS), np.uint64)
+
+
+def _sketch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair of segments gives a key for every pair of codewords within 4 bits of them."""
+    for batch in batches:
+        node = batch.column(0).to_numpy()
+        words = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
+        bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(node), -1), axis=1, bitorder="little")[:, : 2 * KEY_PAIRS * SEGMENT]
+        segments = bits.reshape(len(node), 2 * KEY_PAIRS, SEGMENT) @ (1 << np.arange(SEGMENT, dtype=np.int64))
+        for j in range(KEY_PAIRS):
+            a, b = codeword_indices(segments[:, 2 * j]), codeword_indices(segments[:, 2 * j + 1])
+            keys = np.where((a[:, :, None] >= 0) & (b[:, None, :] >= 0), (j << 24) + (a[:, :, None] << 12) + b[:, None, :], -1).reshape(len(node), -1)
+            row, col = np.nonzero(keys >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, col]), pa.array(node[row])], names=["key", "node"])
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of two sketches at a Jaccard similarity of their shingles, and a standard deviation."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = 64 * SKETCH_WORDS
+    return round(n * p + (n * p * (1 - p)) ** 0.5)
+
+
+def link_sketches(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between similar sketches (node and its words).
+
+    Documents that share a key are held against one of them, its leader, by the
+    number of differing bits; those that it doesn't match stay for the next
+    round and another leader, until no key has two.  So a key that a third of
+    all documents share costs a row for each of them, not for each pair.
+    """
+    most = most_bits(similarity)
+    left = nodes.select(F.col("node").alias("_n"), *(F.col(c).alias(f"{c}l") for c in _SKETCH))
+    right = nodes.select(F.col("node").alias("_m"), *(F.col(c).alias(f"{c}r") for c in _SKETCH))
+    bits = sum((F.bit_count(F.col(f"{c}l").bitwiseXOR(F.col(f"{c}r"))) for c in _SKETCH), F.lit(0))
+    keys, links = nodes.select("node", *_SKETCH).mapInArrow(_sketch_keys, "key long, node long"), None
+    while True:
+        # a leader is least by a hash that differs from key to key
+        place = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("n"))
+        led = keys.groupBy("key").agg(F.min(place)["n"].alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+        keys = common.checkpoint(keys.join(led, "key").where("node <> leader"))
+        if keys.isEmpty():
+            return links if links is not None else nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+        pairs = keys.select("node", "leader").distinct()
+        judged = pairs.join(left, F.col("node") == F.col("_n")).join(right, F.col("leader") == F.col("_m")).select("node", "leader").where(bits <= most)
+        near = common.checkpoint(judged)
+        found = near.select(F.col("node").alias("u"), F.col("leader").alias("v"))
+        links = found if links is None else links.unionByName(found)
+        keys = keys.join(near, ["node", "leader"], "left_anti").select("key", "node")
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class of near duplicates, the one with the least id, with all its columns.
+
+    Classes are reached over links at a similarity of the texts' shingles, as
+    their sketches of 256 bits tell it.  Defined cases: null, empty and
+    wordless texts are one class; null ids come last; of rows with the same id
+    the text that hashes lowest stays; of equal rows one stays.
+    """
+    common.small_batches(docs.sparkSession)
+    key = [F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col))]
+    keyed = docs.withColumns({"_k1": key[0], "_k2": key[1]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = sketches(batch.column(3), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(SKETCH_WORDS))], names=["id", "_k1", "_k2", *_SKETCH])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("_k1", "_k2", *_SKETCH))])
+    rows = keyed.select(F.col(id_col), "_k1", "_k2", text_col).mapInArrow(run, schema).withColumn("node", F.xxhash64(*_SKETCH))
+    rows = common.checkpoint(rows)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")
+    nodes = common.checkpoint(rows.groupBy("node", *_SKETCH).agg(F.min(order).alias("least")))
+    roots = components(link_sketches(nodes, similarity))
+    classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = classed.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
+    stay = keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return stay.select(*docs.columns)
