@@ -21,8 +21,8 @@ Words are 64-bit hashes.  One lazy plan does it all:
 
 Counts cover all training documents.  A context with more than a share of the
 tokens (seen in a sample that only decides the layout) is dealt over all
-buckets by token; its totals pass through the owners.  Buckets are as many as
-input partitions, so each holds about as many tokens as an input partition.
+buckets by token; its totals pass through the owners.  Buckets are twice as
+many as input partitions, so each holds about half the tokens of one.
 All random numbers are seeded by bucket: a task that runs again gives the same.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are
@@ -47,7 +47,7 @@ from . import common
 #: Customers of a dish up to which table numbers are drawn from the exact conditional.
 EXACT = 48
 #: Tokens of a block.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 #: Sweeps below a bucket's own parent, then below the shared one: left out and averaged.
 START_SWEEPS, BURN_SWEEPS, SAMPLES = 2, 2, 3
 #: Strengths of the context restaurants and of the parent.
@@ -109,10 +109,12 @@ def _blocks(buckets: int, hot: np.ndarray):
     def flush(number: int, parts: list, ids: list, n_docs: int) -> Iterator[pa.RecordBatch]:
         u, w, code = (np.concatenate([p[k] for p in parts]) for k in range(3))
         sizes = np.concatenate([p[3] for p in parts]).astype("<i8")
+        parts.clear()
         known = np.unique(np.concatenate([w, [_BEGIN]]))
         bucket = _bucket(u, w, hot, buckets)
         ui, wi = np.searchsorted(known, u), np.searchsorted(known, w)
         n = len(known)
+        del u, w
         order = np.argsort((bucket * n + ui) * n + wi)
         bucket, ui, wi, code = bucket[order], ui[order], wi[order], code[order]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -140,7 +142,7 @@ def _blocks(buckets: int, hot: np.ndarray):
             at = 0
             for u, w, sizes in _tokens(batch.column(1)):
                 k = np.arange(at, at + len(sizes))
-                parts.append((u, w, np.repeat((docs + k) * 2 + train[k], sizes), sizes))
+                parts.append((u, w, np.repeat(((docs + k) * 2 + train[k]).astype(np.int32), sizes), sizes))
                 at += len(sizes)
                 tokens += len(u)
             ids.append(batch.column(0))
@@ -233,11 +235,13 @@ class _Bucket:
             self.base.append(self.base[-1] + (int(code.max()) // 2 + 1 if size else 0))
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")  # the blocks are sorted runs
-        key, code = key[order], np.concatenate(codes)[order]
+        key, code = key[order], np.concatenate(codes).astype(np.int32)[order]
+        del keys, codes, order
         self.doc, train = code >> 1, code & 1
         first = np.append(True, key[1:] != key[:-1])[: len(key)]
-        self.pair = np.cumsum(first) - 1
+        self.pair = np.cumsum(first, dtype=np.int32) - 1
         of = key[first]
+        del key, code
         self.pair_u, self.pair_w = of // n, of % n
         self.c = np.bincount(self.pair, train, len(of)).astype(np.int64)
         self.seen = np.flatnonzero(self.c)
@@ -402,7 +406,7 @@ def score_documents(docs: DataFrame, train: Column, *, buckets: int | None = Non
     """
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    buckets = buckets or max(8, rows.rdd.getNumPartitions())
+    buckets = buckets or max(8, 2 * rows.rdd.getNumPartitions())
     hot = _frequent(rows, 1 / (8 * buckets), layout_sample)
     blocks = rows.mapInArrow(_blocks(buckets, hot), _BLOCK)
     asked = blocks.groupBy("bucket").applyInArrow(_ask(buckets, hot), _ASK)
