@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars.
 
 Each round rewires every node to the least node it sees; rounds end when
-nothing changes.  Every round is checkpointed in the shared folder.
+nothing changes.  Every round is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (u, v): root is the least node of its component."""
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs = checkpoint(pairs)
+    pairs = stored(pairs, "links")
     seen = None
     while (state := _state(pairs)) != seen:
         seen = state
@@ -31,6 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the lesser neighbours of a node and itself go to the least one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        pairs = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

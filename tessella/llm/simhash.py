@@ -211,9 +211,10 @@ def near_duplicate_classes(docs: DataFrame, *, words: int = 3, id_col: str = "do
 
 # --- classes at a shingle similarity -----------------------------------------
 
-#: 64-bit words of a sketch, and pairs of its segments that give keys.
-SKETCH_WORDS, KEY_PAIRS = 4, 4
+#: 64-bit words of a sketch, and segments that give keys, each with an extreme of the shingles' hashes.
+SKETCH_WORDS, KEY_SEGMENTS = 4, 8
 _SKETCH = [f"_s{k}" for k in range(SKETCH_WORDS)]
+_EXTREMES = [f"_m{k}" for k in range(KEY_SEGMENTS)]
 
 
 def bit_sums(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -235,9 +236,12 @@ def bit_sums(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(column: pa.Array, words: int) -> np.ndarray:
-    """Documents x SKETCH_WORDS: majority bits over the shingles, each hashed anew for each word of the sketch."""
-    out = []
+def sketches(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents x SKETCH_WORDS: majority bits over the shingles, each hashed anew for each word of the sketch.
+
+    And the least and the greatest hash of each word (documents x 2 SKETCH_WORDS), 0 without shingles.
+    """
+    out, extremes = [np.zeros((0, SKETCH_WORDS), np.uint64)], [np.zeros((0, 2 * SKETCH_WORDS), np.uint64)]
     for _, _, data, offsets in common.text_chunks(column):
         data = common.lower(data)
         starts, ends, n = common.word_spans(data, offsets)
@@ -247,26 +251,36 @@ def sketches(column: pa.Array, words: int) -> np.ndarray:
         last = np.repeat(first + n, k)
         own = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
-            for j in range(words):
-                inside = at + j < last
-                own = common.mix(own * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(at + j, max(len(h) - 1, 0))], np.uint64(0))) if len(h) else own
-            bits = [bit_sums(common.mix(own + np.uint64(w + 1) * np.uint64(0xC2B2AE3D27D4EB4F)), k) for w in range(SKETCH_WORDS)]
-        out.append(np.stack([np.packbits(2 * b > k[:, None], axis=1, bitorder="little").view("<u8")[:, 0] for b in bits], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, SKETCH_WORDS), np.uint64)
+            for j in range(words if len(h) else 0):
+                own = common.mix(own * np.uint64(0x9E3779B97F4A7C15) + np.where(at + j < last, h[np.minimum(at + j, len(h) - 1)], np.uint64(0)))
+        bits, ends_of = np.zeros((len(n), SKETCH_WORDS), np.uint64), np.zeros((len(n), 2 * SKETCH_WORDS), np.uint64)
+        filled = np.flatnonzero(k)
+        for w in range(SKETCH_WORDS):
+            with np.errstate(over="ignore"):
+                hashed = common.mix(own + np.uint64(w + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
+            bits[:, w] = np.packbits(2 * bit_sums(hashed, k) > k[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+            if len(filled):
+                runs = (np.cumsum(k) - k)[filled]
+                ends_of[filled, 2 * w], ends_of[filled, 2 * w + 1] = np.minimum.reduceat(hashed, runs), np.maximum.reduceat(hashed, runs)
+        out.append(bits)
+        extremes.append(ends_of)
+    return np.concatenate(out), np.concatenate(extremes)
 
 
 def _sketch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each pair of segments gives a key for every pair of codewords within 4 bits of them."""
+    """Each segment gives a key for every codeword within 4 bits of it, with an extreme hash."""
     for batch in batches:
         node = batch.column(0).to_numpy()
         words = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
-        bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(node), -1), axis=1, bitorder="little")[:, : 2 * KEY_PAIRS * SEGMENT]
-        segments = bits.reshape(len(node), 2 * KEY_PAIRS, SEGMENT) @ (1 << np.arange(SEGMENT, dtype=np.int64))
-        for j in range(KEY_PAIRS):
-            a, b = codeword_indices(segments[:, 2 * j]), codeword_indices(segments[:, 2 * j + 1])
-            keys = np.where((a[:, :, None] >= 0) & (b[:, None, :] >= 0), (j << 24) + (a[:, :, None] << 12) + b[:, None, :], -1).reshape(len(node), -1)
-            row, col = np.nonzero(keys >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, col]), pa.array(node[row])], names=["key", "node"])
+        bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(node), -1), axis=1, bitorder="little")[:, : KEY_SEGMENTS * SEGMENT]
+        segments = bits.reshape(len(node), KEY_SEGMENTS, SEGMENT) @ (1 << np.arange(SEGMENT, dtype=np.int64))
+        for j in range(KEY_SEGMENTS):
+            codes = codeword_indices(segments[:, j])
+            row, col = np.nonzero(codes >= 0)
+            extreme = batch.column(1 + SKETCH_WORDS + j).to_numpy().view(np.uint64)
+            with np.errstate(over="ignore"):
+                keys = common.mix(extreme[row] + ((j << 12) + codes[row, col]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[row])], names=["key", "node"])
 
 
 def most_bits(similarity: float) -> int:
@@ -279,7 +293,10 @@ def most_bits(similarity: float) -> int:
 def link_sketches(nodes: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) between similar sketches (node and its words).
 
-    Documents that share a key are held against one of them, its leader, by the
+    A key is a codeword of a segment with the least or greatest hash of the
+    shingles, which similar texts share with the probability of their
+    similarity; without it, random documents would share keys as the square of
+    their number.  Documents that share a key are held against one of them, its leader, by the
     number of differing bits; those that it doesn't match stay for the next
     round and another leader, until no key has two.  So a key that a third of
     all documents share costs a row for each of them, not for each pair.
@@ -288,17 +305,17 @@ def link_sketches(nodes: DataFrame, similarity: float) -> DataFrame:
     left = nodes.select(F.col("node").alias("_n"), *(F.col(c).alias(f"{c}l") for c in _SKETCH))
     right = nodes.select(F.col("node").alias("_m"), *(F.col(c).alias(f"{c}r") for c in _SKETCH))
     bits = sum((F.bit_count(F.col(f"{c}l").bitwiseXOR(F.col(f"{c}r"))) for c in _SKETCH), F.lit(0))
-    keys, links = nodes.select("node", *_SKETCH).mapInArrow(_sketch_keys, "key long, node long"), None
+    keys, links = nodes.select("node", *_SKETCH, *_EXTREMES).mapInArrow(_sketch_keys, "key long, node long"), None
     while True:
         # a leader is least by a hash that differs from key to key
         place = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("n"))
         led = keys.groupBy("key").agg(F.min(place)["n"].alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-        keys = common.checkpoint(keys.join(led, "key").where("node <> leader"))
+        keys = common.stored(keys.join(led, "key").where("node <> leader"), "keys")
         if keys.isEmpty():
             return links if links is not None else nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
         pairs = keys.select("node", "leader").distinct()
         judged = pairs.join(left, F.col("node") == F.col("_n")).join(right, F.col("leader") == F.col("_m")).select("node", "leader").where(bits <= most)
-        near = common.checkpoint(judged)
+        near = common.stored(judged, "near")
         found = near.select(F.col("node").alias("u"), F.col("leader").alias("v"))
         links = found if links is None else links.unionByName(found)
         keys = keys.join(near, ["node", "leader"], "left_anti").select("key", "node")
@@ -319,14 +336,15 @@ def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = sketches(batch.column(3), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(SKETCH_WORDS))], names=["id", "_k1", "_k2", *_SKETCH])
+                s = np.concatenate(sketches(batch.column(3), words), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(s.shape[1]))], names=["id", "_k1", "_k2", *_SKETCH, *_EXTREMES])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("_k1", "_k2", *_SKETCH))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("_k1", "_k2", *_SKETCH, *_EXTREMES))])
     rows = keyed.select(F.col(id_col), "_k1", "_k2", text_col).mapInArrow(run, schema).withColumn("node", F.xxhash64(*_SKETCH))
-    rows = common.checkpoint(rows)
+    rows = common.stored(rows, "sketches")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")
-    nodes = common.checkpoint(rows.groupBy("node", *_SKETCH).agg(F.min(order).alias("least")))
+    nodes = rows.groupBy("node", *_SKETCH).agg(F.min(order).alias("least"), F.min(F.struct(*_EXTREMES)).alias("_m"))
+    nodes = common.stored(nodes.select("node", *_SKETCH, "least", "_m.*"), "nodes")
     roots = components(link_sketches(nodes, similarity))
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = classed.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
