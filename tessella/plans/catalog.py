@@ -200,9 +200,6 @@ def cascade_survivors(spark, d):
 
 # --- statistics --------------------------------------------------------------
 
-_STATUS = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("pending")
-
-
 @_query("""
 SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS successful, count(*) FILTER (event_type = 'error') AS failed,
        round(coalesce(avg(value), 0), 6) AS avg_duration, round(count(*) FILTER (event_type = 'purchase') * 100.0 / count(*), 6) AS success_rate
@@ -210,7 +207,8 @@ FROM events GROUP BY user_id
 """)
 def invocation_stats(spark, d):
     """Totals, success rate and mean duration by tool."""
-    out = stats.invocation_stats(_t(spark, d, "events").withColumn("status", _STATUS), key="user_id", duration="value")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("pending")
+    out = stats.invocation_stats(_t(spark, d, "events").withColumn("status", status), key="user_id", duration="value")
     return out.withColumns({c: F.round(c, 6) for c in ("avg_duration", "success_rate")})
 
 
