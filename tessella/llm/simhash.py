@@ -213,6 +213,8 @@ def near_duplicate_classes(docs: DataFrame, *, words: int = 3, id_col: str = "do
 
 #: 64-bit words of a sketch, and segments that give keys, each with an extreme of the shingles' hashes.
 SKETCH_WORDS, KEY_SEGMENTS = 4, 8
+#: All segments of a sketch.
+SEGMENTS = 64 * SKETCH_WORDS // SEGMENT
 _SKETCH = [f"_s{k}" for k in range(SKETCH_WORDS)]
 _EXTREMES = [f"_m{k}" for k in range(KEY_SEGMENTS)]
 
@@ -267,22 +269,84 @@ def sketches(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(extremes)
 
 
+def _sketch_segments(words: np.ndarray) -> np.ndarray:
+    """The 23-bit segments of sketches: documents x SEGMENTS."""
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT]
+    return bits.reshape(len(words), SEGMENTS, SEGMENT) @ (1 << np.arange(SEGMENT, dtype=np.int64))
+
+
+def _words_of(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([batch.column(first + k).to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
+
+
 def _sketch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each segment gives a key for every codeword within 4 bits of it, with an extreme hash."""
+    """Each segment gives a key for every codeword within 4 bits of it, with an extreme hash; the low 4 bits of a key tell the segment."""
     for batch in batches:
-        node = batch.column(0).to_numpy()
-        words = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
-        bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(node), -1), axis=1, bitorder="little")[:, : KEY_SEGMENTS * SEGMENT]
-        segments = bits.reshape(len(node), KEY_SEGMENTS, SEGMENT) @ (1 << np.arange(SEGMENT, dtype=np.int64))
+        node, segments = batch.column(0).to_numpy(), _sketch_segments(_words_of(batch, 1))
         for j in range(KEY_SEGMENTS):
             codes = codeword_indices(segments[:, j])
             row, col = np.nonzero(codes >= 0)
             extreme = batch.column(1 + SKETCH_WORDS + j).to_numpy().view(np.uint64)
             with np.errstate(over="ignore"):
                 keys = common.mix(extreme[row] + ((j << 12) + codes[row, col]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+            keys = keys >> np.uint64(4) << np.uint64(4) | np.uint64(j)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[row])], names=["key", "node"])
+
+
+def _narrower_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A key with each codeword of every other segment."""
+    for batch in batches:
+        key, node, segments = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _sketch_segments(_words_of(batch, 2))
+        for j in range(SEGMENTS):
+            codes = np.where((key & np.uint64(15) != np.uint64(j))[:, None], codeword_indices(segments[:, j]), -1)
+            row, col = np.nonzero(codes >= 0)
+            with np.errstate(over="ignore"):
+                keys = common.mix(key[row] + ((j << 12) + codes[row, col] + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[row])], names=["key", "node"])
 
 
+def clusters(words: np.ndarray, most: int) -> np.ndarray:
+    """For groups of sketches (groups x members x words): the least member that each reaches over links of at most ``most`` bits."""
+    n = words.shape[1]
+    near = np.zeros((len(words), n, n), np.uint16)
+    for k in range(SKETCH_WORDS):
+        near += np.bitwise_count(words[:, :, None, k] ^ words[:, None, :, k])
+    near = near <= most
+    root = np.broadcast_to(np.arange(n, dtype=np.int16), near.shape[:2])
+    while True:
+        least = np.where(near, root[:, None, :], np.int16(n)).min(2)
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _group_links(most: int):
+    """Trees of links of groups (a list of node and words), groups of one size at a time."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            sizes, members = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+            starts = np.cumsum(sizes) - sizes
+            fields = members.flatten()
+            node = fields[0].to_numpy()
+            words = np.stack([f.to_numpy().view(np.uint64) for f in fields[1:]], axis=1)
+            found = [np.zeros((0, 2), np.int64)]
+            for n in np.unique(sizes):
+                of = starts[sizes == n]
+                step = max(1, (1 << 20) // int(n * n))
+                for a in range(0, len(of), step):
+                    at = of[a : a + step, None] + np.arange(n)
+                    root = clusters(words[at], most)
+                    g, m = np.nonzero(root != np.arange(n))
+                    found.append(np.stack([node[at[g, m]], node[at[g, root[g, m]]]], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return run
+
+
 def most_bits(similarity: float) -> int:
     """Differing bits of two sketches at a Jaccard similarity of their shingles, and a standard deviation."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -290,35 +354,53 @@ def most_bits(similarity: float) -> int:
     return round(n * p + (n * p * (1 - p)) ** 0.5)
 
 
-def link_sketches(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between similar sketches (node and its words).
+def link_sketches(nodes: DataFrame, similarity: float, split: int = SPLIT) -> DataFrame:
+    """Links (u, v) between similar sketches (node, its words and extremes).
 
     A key is a codeword of a segment with the least or greatest hash of the
     shingles, which similar texts share with the probability of their
     similarity; without it, random documents would share keys as the square of
-    their number.  Documents that share a key are held against one of them, its leader, by the
-    number of differing bits; those that it doesn't match stay for the next
-    round and another leader, until no key has two.  So a key that a third of
-    all documents share costs a row for each of them, not for each pair.
+    their number.  A group of up to ``split`` documents with a key is verified
+    whole, in one place, and leaves a tree of links for each cluster.  In a
+    greater one, all are held against one of them, its leader: those that
+    match are linked with it and leave the group.  What is left gets keys with
+    a codeword of every other segment: texts that only share a passage part
+    there, and similar ones share one of ten.  Further rounds of leaders bring
+    any group below ``split``.  So a key that a third of all documents share
+    costs rows for each of them, not for each pair.
     """
     most = most_bits(similarity)
+    sketch = nodes.select("node", *_SKETCH)
     left = nodes.select(F.col("node").alias("_n"), *(F.col(c).alias(f"{c}l") for c in _SKETCH))
     right = nodes.select(F.col("node").alias("_m"), *(F.col(c).alias(f"{c}r") for c in _SKETCH))
     bits = sum((F.bit_count(F.col(f"{c}l").bitwiseXOR(F.col(f"{c}r"))) for c in _SKETCH), F.lit(0))
-    keys, links = nodes.select("node", *_SKETCH, *_EXTREMES).mapInArrow(_sketch_keys, "key long, node long"), None
-    while True:
+
+    def counted(keys: DataFrame) -> DataFrame:
+        shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        return common.stored(keys.join(shared, "key").select("key", "node", "n"), "keys")
+
+    def verified(keys: DataFrame) -> DataFrame:
+        members = keys.where(F.col("n") <= split).select("key", "node").join(sketch, "node")
+        groups = members.groupBy("key").agg(F.collect_list(F.struct("node", *_SKETCH)).alias("members")).where(F.size("members") > 1)
+        return common.stored(groups.select("members").mapInArrow(_group_links(most), "u long, v long").distinct(), "near")
+
+    common.small_batches(nodes.sparkSession)
+    keys = counted(nodes.select("node", *_SKETCH, *_EXTREMES).mapInArrow(_sketch_keys, "key long, node long"))
+    links, narrow = verified(keys), False
+    while not (keys := keys.where(F.col("n") > split).select("key", "node")).isEmpty():
         # a leader is least by a hash that differs from key to key
         place = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("n"))
-        led = keys.groupBy("key").agg(F.min(place)["n"].alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-        keys = common.stored(keys.join(led, "key").where("node <> leader"), "keys")
-        if keys.isEmpty():
-            return links if links is not None else nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-        pairs = keys.select("node", "leader").distinct()
+        led = keys.groupBy("key").agg(F.min(place)["n"].alias("leader"))
+        others = common.stored(keys.join(led, "key").where("node <> leader"), "keys")
+        pairs = others.select("node", "leader").distinct()
         judged = pairs.join(left, F.col("node") == F.col("_n")).join(right, F.col("leader") == F.col("_m")).select("node", "leader").where(bits <= most)
         near = common.stored(judged, "near")
-        found = near.select(F.col("node").alias("u"), F.col("leader").alias("v"))
-        links = found if links is None else links.unionByName(found)
-        keys = keys.join(near, ["node", "leader"], "left_anti").select("key", "node")
+        keys = others.join(near, ["node", "leader"], "left_anti").select("key", "node")
+        if not narrow:
+            keys, narrow = keys.join(sketch, "node").select("key", "node", *_SKETCH).mapInArrow(_narrower_keys, "key long, node long"), True
+        keys = counted(keys)
+        links = links.unionByName(near.select(F.col("node").alias("u"), F.col("leader").alias("v"))).unionByName(verified(keys))
+    return links
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -183,6 +183,27 @@ def test_line_dedup_keeps_the_first_copy(odd):
     assert len(got[1].split()) == 60 and got[4] == "" and got[2] is None and got[3] == ""
 
 
+@pytest.mark.parametrize("split", [8, 512])
+def test_links_of_sketches_that_share_an_extreme(spark, split):
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 2, (6, 256), np.uint8)
+    rows, of = [*rng.integers(0, 2, (150, 256), np.uint8)], [*range(-150, 0)]
+    for c, bits in enumerate(centres):
+        for _ in range(25):
+            copy = bits.copy()
+            copy[rng.choice(256, 3, replace=False)] ^= 1
+            rows.append(copy)
+            of.append(c)
+    words = np.packbits(np.array(rows), axis=1, bitorder="little").view("<i8")
+    names = ["node", *simhash._SKETCH, *simhash._EXTREMES]
+    nodes = spark.createDataFrame([(k, *map(int, w), *[7] * simhash.KEY_SEGMENTS) for k, w in enumerate(words)], ", ".join(f"{n} long" for n in names))
+    roots = {r.node: r.root for r in simhash.components(simhash.link_sketches(nodes, 0.8, split)).collect()}
+    classes = collections.defaultdict(set)
+    for k, c in enumerate(of):
+        classes[roots.get(k, k)].add(c)
+    assert len(classes) == 156 and all(len(c) == 1 for c in classes.values())
+
+
 def test_keep_one(odd):
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd).collect()) == [0, 1, 2, 5]  # 3 is empty like 2; 4 repeats 1
 
