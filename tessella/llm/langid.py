@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ CACHE_WORDS = 200_000
 START = "▁"  # the vocabulary's mark of a word's start
 #: Probability of a letter that no piece spells.
 UNKNOWN = 1e-7
+#: Base of the hashes of spellings (any odd number of 64 bits).
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,10 @@ class LanguageModel:
     pieces: dict[str, int]
     probabilities: np.ndarray
 
+    @cached_property
+    def spellings(self) -> _Pieces:
+        return _Pieces(self.pieces)
+
 
 def vocabulary(path: str) -> dict[str, int]:
     """Pieces of lower-case letters, with or without the mark of a start."""
@@ -64,20 +71,46 @@ def letters(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
-def _lattice(words: list[str], pieces: dict[str, int], longest: int, unknown: int) -> np.ndarray:
-    """Piece that ends at each place with each length (words x places x lengths), or -1."""
-    n = max(map(len, words))
-    found = np.full((len(words), n, longest), -1, np.int32)
-    for row, word in zip(found, words, strict=True):
-        for end in range(1, len(word) + 1):
-            at = row[end - 1]
-            for k in range(1, min(longest, end) + 1):
-                p = pieces.get(word[end - k : end])
-                if p is not None:
-                    at[k - 1] = p
-            if at[0] < 0:
-                at[0] = unknown
-    return found
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points, a row for each text, with zeros after its end."""
+    return np.array(texts).view(np.uint32).reshape(len(texts), -1)
+
+
+def _spelling_hashes(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For each length, hashes of the letters that end at each place; those of a length start at its first possible end."""
+    hashes = np.ones(codes.shape, np.uint64)
+    for k in range(1, min(longest, codes.shape[1]) + 1):
+        hashes = (hashes if k == 1 else hashes[:, :-1]) * HASH_BASE + codes[:, k - 1 :]
+        yield hashes
+
+
+class _Pieces:
+    """Finds pieces by 64-bit hashes of their letters; a table of bits turns most other spellings away."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.longest = max(map(len, pieces), default=1)
+        own = np.zeros(len(pieces), np.uint64)
+        if pieces:
+            sizes = np.array([len(x) for x in pieces])
+            for k, hashes in enumerate(_spelling_hashes(_codes(list(pieces)), self.longest), 1):
+                own[sizes == k] = hashes[sizes == k, 0]
+        order = np.argsort(own)
+        self.hashes, self.ids = own[order], np.fromiter(pieces.values(), np.int32, len(pieces))[order]
+        self.known = np.zeros(1 << 20, bool)
+        self.known[own >> np.uint64(44)] = True
+
+    def lattice(self, words: list[str], unknown: int) -> np.ndarray:
+        """Piece that ends at each place with each length (words x places x lengths), or -1."""
+        codes = _codes(words)
+        found = np.full((*codes.shape, self.longest), -1, np.int32)
+        for k, hashes in enumerate(_spelling_hashes(codes, self.longest), 1):
+            row, end = np.nonzero(self.known[hashes >> np.uint64(44)])
+            wanted = hashes[row, end]
+            at = np.minimum(np.searchsorted(self.hashes, wanted), max(len(self.hashes) - 1, 0))
+            same = self.hashes[at] == wanted
+            found[row[same], end[same] + k - 1, k - 1] = self.ids[at[same]]
+        found[..., 0][(found[..., 0] < 0) & (codes > 0)] = unknown
+        return found
 
 
 def _forward(found: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -108,36 +141,35 @@ def _forward(found: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndar
 
 def word_log_probabilities(words: list[str], model: LanguageModel) -> np.ndarray:
     """log P(word) in each language, summed over all segmentations."""
-    longest = max(map(len, model.pieces), default=1)
     table = np.vstack([model.probabilities, np.full((1, len(model.languages)), UNKNOWN), np.zeros((1, len(model.languages)))])
     out = np.zeros((len(words), len(model.languages)))
-    for rows, found, sizes in _lattices(words, model.pieces, longest, len(model.pieces)):
+    for rows, found, sizes in _lattices(words, model.spellings, len(model.pieces)):
         out[rows] = _forward(found, sizes, table)
     return out
 
 
-def _lattices(words: list[str], pieces: dict[str, int], longest: int, unknown: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _lattices(words: list[str], pieces: _Pieces, unknown: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Words of similar length together."""
     marked = [START + w for w in words]
     order = sorted(range(len(words)), key=lambda i: len(marked[i]))
     at = 0
     while at < len(order):
         to = at + 1
-        while to < len(order) and (to - at) * len(marked[order[to]]) * longest < 1 << 19 and len(marked[order[to]]) <= len(marked[order[at]]) + 2:
+        while to < len(order) and (to - at) * len(marked[order[to]]) * pieces.longest < 1 << 19 and len(marked[order[to]]) <= len(marked[order[at]]) + 2:
             to += 1
         own = order[at:to]
         texts = [marked[i] for i in own]
-        yield np.array(own), _lattice(texts, pieces, longest, unknown), np.array([len(t) for t in texts])
+        yield np.array(own), pieces.lattice(texts, unknown), np.array([len(t) for t in texts])
         at = to
 
 
 def _expected(words: list[str], counts: np.ndarray, model: LanguageModel) -> np.ndarray:
     """Expected uses of the pieces, for words with counts in each language."""
-    longest = max(map(len, model.pieces), default=1)
+    longest = model.spellings.longest
     unknown, nothing = len(model.pieces), len(model.pieces) + 1
     table = np.vstack([model.probabilities, np.full((1, len(model.languages)), UNKNOWN), np.zeros((1, len(model.languages)))])
     uses = np.zeros((len(model.pieces) + 2, len(model.languages)))
-    for rows, found, sizes in _lattices(words, model.pieces, longest, unknown):
+    for rows, found, sizes in _lattices(words, model.spellings, unknown):
         w, n, _ = found.shape
         if n > 64:  # such words are rare and teach little; their letters would need scaled sums
             continue
