@@ -293,18 +293,6 @@ def _sketch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[row])], names=["key", "node"])
 
 
-def _narrower_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A key with each codeword of every other segment."""
-    for batch in batches:
-        key, node, segments = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _sketch_segments(_words_of(batch, 2))
-        for j in range(SEGMENTS):
-            codes = np.where((key & np.uint64(15) != np.uint64(j))[:, None], codeword_indices(segments[:, j]), -1)
-            row, col = np.nonzero(codes >= 0)
-            with np.errstate(over="ignore"):
-                keys = common.mix(key[row] + ((j << 12) + codes[row, col] + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[row])], names=["key", "node"])
-
-
 def clusters(words: np.ndarray, most: int) -> np.ndarray:
     """For groups of sketches (groups x members x words): the least member that each reaches over links of at most ``most`` bits."""
     n = words.shape[1]
@@ -347,6 +335,53 @@ def _group_links(most: int):
     return run
 
 
+def reach(words: np.ndarray, most: int) -> np.ndarray:
+    """The least member that each of one group of any size (members x words) reaches over links of at most ``most`` bits.
+
+    Each member is held against those not yet reached, so one that reaches all costs a row and not a square.
+    """
+    root, left = np.zeros(len(words), np.int64), np.arange(len(words))
+    while len(left):
+        start, front, left = left[0], left[:1], left[1:]
+        root[start] = start
+        while len(front) and len(left):
+            near, step = np.zeros(len(left), bool), max(1, (1 << 18) // len(left))
+            for at in range(0, len(front), step):
+                far = np.flatnonzero(~near)
+                bits = np.zeros((len(front[at : at + step]), len(far)), np.uint16)
+                for k in range(words.shape[1]):
+                    bits += np.bitwise_count(words[front[at : at + step], None, k] ^ words[None, left[far], k])
+                near[far] = (bits <= most).any(0)
+            front, left = left[near], left[~near]
+            root[front] = start
+    return root
+
+
+def _block_links(most: int):
+    """Links of a block of a group with itself (a tree) or with another block (between trees of the two)."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for r in range(batch.num_rows):
+                sides = [[f.to_numpy() for f in batch.column(c)[r].values.flatten()] for c in (2, 3)]
+                nodes = [f[0] for f in sides]
+                words = [np.stack([w.view(np.uint64) for w in f[1:]], axis=1) for f in sides]
+                if batch.column(0)[r].as_py() == batch.column(1)[r].as_py():
+                    node, root = nodes[0], reach(words[0], most)
+                    firsts = np.arange(len(node))
+                else:
+                    node, root = np.concatenate(nodes), reach(np.concatenate(words), most)
+                    firsts = np.concatenate([np.unique(reach(words[0], most)), np.unique(reach(words[1], most)) + len(nodes[0])])
+                firsts = firsts[root[firsts] != firsts]
+                found.append(np.stack([node[firsts], node[root[firsts]]], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return run
+
+
 def most_bits(similarity: float) -> int:
     """Differing bits of two sketches at a Jaccard similarity of their shingles, and a standard deviation."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -360,47 +395,31 @@ def link_sketches(nodes: DataFrame, similarity: float, split: int = SPLIT) -> Da
     A key is a codeword of a segment with the least or greatest hash of the
     shingles, which similar texts share with the probability of their
     similarity; without it, random documents would share keys as the square of
-    their number.  A group of up to ``split`` documents with a key is verified
-    whole, in one place, and leaves a tree of links for each cluster.  In a
-    greater one, all are held against one of them, its leader: those that
-    match are linked with it and leave the group.  What is left gets keys with
-    a codeword of every other segment: texts that only share a passage part
-    there, and similar ones share one of ten.  Further rounds of leaders bring
-    any group below ``split``.  So a key that a third of all documents share
-    costs rows for each of them, not for each pair.
+    their number.  All members of a key are verified with each other: a group
+    of up to ``split`` documents in one place, a greater one in blocks of about
+    twice as many, of which each pair is a row.  Either leaves trees of links,
+    not a row for each pair of documents, so the size of a group doesn't change
+    which documents are joined.
     """
     most = most_bits(similarity)
     sketch = nodes.select("node", *_SKETCH)
-    left = nodes.select(F.col("node").alias("_n"), *(F.col(c).alias(f"{c}l") for c in _SKETCH))
-    right = nodes.select(F.col("node").alias("_m"), *(F.col(c).alias(f"{c}r") for c in _SKETCH))
-    bits = sum((F.bit_count(F.col(f"{c}l").bitwiseXOR(F.col(f"{c}r"))) for c in _SKETCH), F.lit(0))
-
-    def counted(keys: DataFrame) -> DataFrame:
-        shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        return common.stored(keys.join(shared, "key").select("key", "node", "n"), "keys")
-
-    def verified(keys: DataFrame) -> DataFrame:
-        members = keys.where(F.col("n") <= split).select("key", "node").join(sketch, "node")
-        groups = members.groupBy("key").agg(F.collect_list(F.struct("node", *_SKETCH)).alias("members")).where(F.size("members") > 1)
-        return common.stored(groups.select("members").mapInArrow(_group_links(most), "u long, v long").distinct(), "near")
+    member = F.collect_list(F.struct("node", *_SKETCH))
 
     common.small_batches(nodes.sparkSession)
-    keys = counted(nodes.select("node", *_SKETCH, *_EXTREMES).mapInArrow(_sketch_keys, "key long, node long"))
-    links, narrow = verified(keys), False
-    while not (keys := keys.where(F.col("n") > split).select("key", "node")).isEmpty():
-        # a leader is least by a hash that differs from key to key
-        place = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("n"))
-        led = keys.groupBy("key").agg(F.min(place)["n"].alias("leader"))
-        others = common.stored(keys.join(led, "key").where("node <> leader"), "keys")
-        pairs = others.select("node", "leader").distinct()
-        judged = pairs.join(left, F.col("node") == F.col("_n")).join(right, F.col("leader") == F.col("_m")).select("node", "leader").where(bits <= most)
-        near = common.stored(judged, "near")
-        keys = others.join(near, ["node", "leader"], "left_anti").select("key", "node")
-        if not narrow:
-            keys, narrow = keys.join(sketch, "node").select("key", "node", *_SKETCH).mapInArrow(_narrower_keys, "key long, node long"), True
-        keys = counted(keys)
-        links = links.unionByName(near.select(F.col("node").alias("u"), F.col("leader").alias("v"))).unionByName(verified(keys))
-    return links
+    keys = nodes.select("node", *_SKETCH, *_EXTREMES).mapInArrow(_sketch_keys, "key long, node long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keys = common.stored(keys.join(shared, "key").select("key", "node", "n"), "keys")
+
+    few = keys.where(F.col("n") <= split).select("key", "node").join(sketch, "node")
+    groups = few.groupBy("key").agg(member.alias("members")).where(F.size("members") > 1)
+    whole = common.stored(groups.select("members").mapInArrow(_group_links(most), "u long, v long").distinct(), "near")
+
+    many = keys.where(F.col("n") > split).withColumn("blocks", F.ceil(F.col("n") / (2 * split))).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+    blocks = common.stored(many.join(sketch, "node").groupBy("key", "i", "blocks").agg(member.alias("members")), "blocks")
+    left = blocks.select("key", "i", F.col("members").alias("left"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    met = left.join(blocks.select("key", F.col("i").alias("j"), F.col("members").alias("right")), ["key", "j"])
+    between = common.stored(met.select("i", "j", "left", "right").mapInArrow(_block_links(most), "u long, v long").distinct(), "near")
+    return whole.unionByName(between)
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -204,6 +204,20 @@ def test_links_of_sketches_that_share_an_extreme(spark, split):
     assert len(classes) == 156 and all(len(c) == 1 for c in classes.values())
 
 
+def test_links_of_graded_sketches_in_a_large_group(spark):
+    """Of 602 that share every key, 600 are close to one more, and only that one to the last."""
+    rng = np.random.default_rng(6)
+    rows = [np.zeros(256, np.uint8) for _ in range(602)]
+    for row in rows[:600]:
+        row[rng.choice(np.arange(184, 256), 2, replace=False)] = 1
+    rows[600][184:220], rows[601][184:256] = 1, 1
+    words = np.packbits(np.array(rows), axis=1, bitorder="little").view("<i8")
+    names = ["node", *simhash._SKETCH, *simhash._EXTREMES]
+    nodes = spark.createDataFrame([(k, *map(int, w), *[7] * simhash.KEY_SEGMENTS) for k, w in enumerate(words)], ", ".join(f"{n} long" for n in names))
+    for split in (512, 64):
+        assert {r.node: r.root for r in simhash.components(simhash.link_sketches(nodes, 0.8, split)).collect()} == dict.fromkeys(range(602), 0)
+
+
 def test_keep_one(odd):
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd).collect()) == [0, 1, 2, 5]  # 3 is empty like 2; 4 repeats 1
 
