@@ -8,7 +8,9 @@ maximisation: forward and backward sums give the expected number of uses of
 each piece in the training words.
 
 Words are letters only, in lower case.  A letter that no piece spells has the
-same small probability in all languages.  Languages are equally likely before
+same small probability in all languages.  A word of 64 letters or more (text
+without spaces is one) is predicted whole, and learned from in consecutive
+spans of 64 with the mark of its start.  Languages are equally likely before
 the text is read.
 
 Training words come from at most about ``max_docs`` labelled documents of each
@@ -42,6 +44,8 @@ CACHE_WORDS = 200_000
 START = "▁"  # the vocabulary's mark of a word's start
 #: Probability of a letter that no piece spells.
 UNKNOWN = 1e-7
+#: Letters of a span, with the mark of a word's start, in which longer words are learned from.
+SPAN = 64
 #: Base of the hashes of spellings (any odd number of 64 bits).
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,15 +147,14 @@ def word_log_probabilities(words: list[str], model: LanguageModel) -> np.ndarray
     """log P(word) in each language, summed over all segmentations."""
     table = np.vstack([model.probabilities, np.full((1, len(model.languages)), UNKNOWN), np.zeros((1, len(model.languages)))])
     out = np.zeros((len(words), len(model.languages)))
-    for rows, found, sizes in _lattices(words, model.spellings, len(model.pieces)):
+    for rows, found, sizes in _lattices([START + w for w in words], model.spellings, len(model.pieces)):
         out[rows] = _forward(found, sizes, table)
     return out
 
 
-def _lattices(words: list[str], pieces: _Pieces, unknown: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Words of similar length together."""
-    marked = [START + w for w in words]
-    order = sorted(range(len(words)), key=lambda i: len(marked[i]))
+def _lattices(marked: list[str], pieces: _Pieces, unknown: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Marked words of similar length together."""
+    order = sorted(range(len(marked)), key=lambda i: len(marked[i]))
     at = 0
     while at < len(order):
         to = at + 1
@@ -163,31 +166,47 @@ def _lattices(words: list[str], pieces: _Pieces, unknown: int) -> Iterator[tuple
         at = to
 
 
+def _spans(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Marked words, those of more than SPAN letters cut into consecutive spans, and the word of each."""
+    spans = [(i, m[a : a + SPAN]) for i, m in enumerate(START + w for w in words) for a in range(0, len(m), SPAN)]
+    return [t for _, t in spans], np.array([i for i, _ in spans], np.int64)
+
+
 def _expected(words: list[str], counts: np.ndarray, model: LanguageModel) -> np.ndarray:
     """Expected uses of the pieces, for words with counts in each language."""
     longest = model.spellings.longest
     unknown, nothing = len(model.pieces), len(model.pieces) + 1
     table = np.vstack([model.probabilities, np.full((1, len(model.languages)), UNKNOWN), np.zeros((1, len(model.languages)))])
     uses = np.zeros((len(model.pieces) + 2, len(model.languages)))
-    for rows, found, sizes in _lattices(words, model.spellings, unknown):
+    texts, of = _spans(words)
+    for rows, found, sizes in _lattices(texts, model.spellings, unknown):
         w, n, _ = found.shape
-        if n > 64:  # such words are rare and teach little; their letters would need scaled sums
-            continue
         found = np.where(found < 0, nothing, found)
-        alpha = np.zeros((n + 1, w, table.shape[1]))
-        beta = np.zeros_like(alpha)
-        alpha[0], beta[sizes, np.arange(w)] = 1, 1
-        for j in range(1, n + 1):
-            for k in range(1, min(longest, j) + 1):
-                alpha[j] += alpha[j - k] * table[found[:, j - 1, k - 1]]
-        for j in range(n, 0, -1):
-            for k in range(1, min(longest, j) + 1):
-                beta[j - k] += beta[j] * table[found[:, j - 1, k - 1]]
-        weight = counts[rows] / np.maximum(beta[0], 1e-300)
+
+        def sums(tilt: np.ndarray, found: np.ndarray = found, sizes: np.ndarray = sizes, w: int = w, n: int = n) -> tuple[np.ndarray, np.ndarray]:
+            alpha = np.zeros((n + 1, w, table.shape[1]))
+            beta = np.zeros_like(alpha)
+            alpha[0], beta[sizes, np.arange(w)] = 1, 1
+            for j in range(1, n + 1):
+                for k in range(1, min(longest, j) + 1):
+                    alpha[j] += alpha[j - k] * (table[found[:, j - 1, k - 1]] * tilt[k])
+            for j in range(n, 0, -1):
+                for k in range(1, min(longest, j) + 1):
+                    beta[j - k] += beta[j] * (table[found[:, j - 1, k - 1]] * tilt[k])
+            return alpha, beta
+
+        tilt = np.ones((longest + 1, 1, 1))
+        alpha, beta = sums(tilt)
+        if (beta[0] < 1e-250).any():  # a factor for each letter, which cancels, brings the whole to 1
+            with np.errstate(over="ignore"):
+                factor = np.exp(-_forward(found, sizes, table) / sizes[:, None])
+            tilt = np.where(np.isfinite(factor), factor, 1.0)[None] ** np.arange(longest + 1)[:, None, None]
+            alpha, beta = sums(tilt)
+        weight = counts[of[rows]] / np.maximum(beta[0], 1e-300)
         for j in range(1, n + 1):
             for k in range(1, min(longest, j) + 1):
                 at = found[:, j - 1, k - 1]
-                np.add.at(uses, at, alpha[j - k] * table[at] * beta[j] * weight)
+                np.add.at(uses, at, alpha[j - k] * (table[at] * tilt[k]) * beta[j] * weight)
     return uses[:-2]
 
 

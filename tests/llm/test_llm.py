@@ -218,6 +218,16 @@ def test_links_of_graded_sketches_in_a_large_group(spark):
         assert {r.node: r.root for r in simhash.components(simhash.link_sketches(nodes, 0.8, split)).collect()} == dict.fromkeys(range(602), 0)
 
 
+def test_training_learns_from_long_words():
+    """Each known letter is in one expected piece, however long the word and its unknown letters."""
+    pieces = langid.vocabulary("/opt/tokenizers/piece_bpe_32k.model")
+    model = langid.LanguageModel(["a"], pieces, np.full((len(pieces), 1), 1.0 / len(pieces)))
+    sizes = np.array([len(p) for p in pieces])
+    for word in ("therefore" * 50, "\ua66e" * 60 + "there" * 20, "the" * 10 + "\ua66e" * 33):
+        known = len(word.replace("\ua66e", "")) + 1
+        assert sizes @ langid._expected([word], np.array([[3.0]]), model)[:, 0] == pytest.approx(3 * known)
+
+
 def test_keep_one(odd):
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd).collect()) == [0, 1, 2, 5]  # 3 is empty like 2; 4 repeats 1
 
