@@ -27,31 +27,47 @@ def top_k(vectors: DataFrame, query: Sequence[float], *, k: int = 10, threshold:
     return rows.orderBy(F.col("score").desc() if more else F.col("score").asc(), id_col).limit(k)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, max_queries: int = 10_000, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """query_id, rank, id, score (cosine) for a bounded set of queries; more than ``max_queries`` are an error.
+#: Rows of a block of queries or a tile of vectors, queries scored at once, and groups of tiles that get every block once.
+BLOCK_ROWS, STEP_ROWS, GROUPS = 4096, 256, 16
 
-    The queries' matrix goes to the tasks; each keeps its k best by query, and
-    a window merges those.
+
+def _pack(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Rows (ids, flat) of up to BLOCK_ROWS vectors, and a hash of the ids."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for a in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[a : a + BLOCK_ROWS]
+                yield pd.DataFrame({"ids": [part[id_col].to_numpy()], "flat": [np.stack(part[vector_col].to_numpy()).astype(float).ravel()]})
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, vector_col).mapInPandas(run, f"ids array<{kind}>, flat array<double>")
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, max_queries: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """query_id, rank, id, score (cosine) for any number of queries; more than ``max_queries``, if given, are an error.
+
+    Blocks of queries meet tiles of vectors in the cluster; each tile keeps its
+    k best by query, and a window merges those.
     """
-    rows = queries.select(id_col, vector_col).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
+    if max_queries is not None and queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries: search them in parts")
-    ids = np.array([r[0] for r in rows])
-    unit = np.array([r[1] for r in rows], float)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300) if len(rows) else 1
+    tiles = _pack(vectors, id_col, vector_col).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
+    blocks = _pack(queries, id_col, vector_col).select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("group"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if pdf.empty or not len(ids):
-                continue
-            v = np.stack(pdf[vector_col].to_numpy()).astype(float)
-            own, size = pdf[id_col].to_numpy(), np.linalg.norm(v, axis=1)
-            v, own = v[size > 0] / size[size > 0, None], own[size > 0]
-            scores = unit @ v.T
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+            for q_ids, q_flat, own, flat in pdf.itertuples(index=False):
+                unit, v = q_flat.reshape(len(q_ids), -1), flat.reshape(len(own), -1)
+                unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+                size = np.linalg.norm(v, axis=1)
+                v, own = v[size > 0] / size[size > 0, None], own[size > 0]
+                for a in range(0, len(q_ids), STEP_ROWS):
+                    scores = unit[a : a + STEP_ROWS] @ v.T
+                    order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(q_ids[a : a + STEP_ROWS], order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
     kind = vectors.schema[id_col].dataType.simpleString()
-    found = vectors.select(id_col, vector_col).mapInPandas(best, f"query_id {kind}, id {kind}, score double")
+    found = blocks.join(tiles, "group").select("q_ids", "q_flat", "ids", "flat").mapInPandas(best, f"query_id {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -69,6 +69,13 @@ def test_vectors(spark):
         vector_search.batch_top_k(df, df, max_queries=3)
 
 
+def test_batch_search_has_no_cap(spark):
+    rows = spark.range(10_100).select(F.col("id"), F.array(F.cos(F.col("id") / 3.0), F.sin(F.col("id") / 3.0)).alias("vector"))
+    got = vector_search.batch_top_k(rows.where("id < 19"), rows, k=2).where("rank = 1").collect()
+    assert len(got) == 10_100 and all(r.score > 0.98 for r in got)
+    assert all(r.id == r.query_id for r in got if r.query_id < 19)
+
+
 def test_chunk_numbers(spark):
     df = spark.createDataFrame([(n, "x" * n) for n in (0, 1, 1000, 1001, 1800, 1801)], "doc_id int, text string")
     got = {r.doc_id: r.n for r in text.chunk_fixed(df).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
