@@ -217,7 +217,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(counts.items())
         return pa.RecordBatch.from_pydict({"lang": [k[0] for k, _ in rows], "word": [k[1] for k, _ in rows], "n": [n for _, n in rows]}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
-    for batch in batches:
+    for batch in common.slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts.update((lang, w) for w in map(letters, (text or "").split()) if w)
             if len(counts) > CACHE_WORDS:
@@ -228,7 +228,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, train: Column, vocabulary_path: str, *, max_docs: int = 1000, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit piece probabilities to the training documents (those where ``train`` holds)."""
-    common.small_batches(docs.sparkSession)
     pieces = vocabulary(vocabulary_path)
     labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("place"))
@@ -301,14 +300,11 @@ class _Scorer:
 
 def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score, the share of the predicted language in the sum of all languages' probabilities."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         names = np.array([*model.languages, "und"], object)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in common.slices(batches):
             sums = scorer.sums(batch.column(1))
             logs, known = sums[:, :-1], sums[:, -1] > 0
             if logs.shape[1]:

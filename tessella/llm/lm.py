@@ -135,9 +135,7 @@ def _blocks(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         parts, ids, docs, tokens = [], [], 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in common.slices(batches):
             train = np.array(batch.column(2).fill_null(False).to_pylist(), np.int64)
             at = 0
             for u, w, sizes in _tokens(batch.column(1)):
@@ -404,7 +402,6 @@ def score_documents(docs: DataFrame, train: Column, *, buckets: int | None = Non
     ``train``: the documents that the model learns from.  ``base_score`` is the
     smoothed unigram log10 probability, ``score`` the model's.
     """
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     buckets = buckets or max(8, 2 * rows.rdd.getNumPartitions())
     hot = _frequent(rows, 1 / (8 * buckets), layout_sample)

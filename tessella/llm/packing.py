@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 
 class _Plan:
@@ -124,26 +124,27 @@ def plan_packing(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and the separator, cut into pieces of ``capacity`` ids, of which the first may be shorter."""
-    common.small_batches(docs.sparkSession)
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType())]
     fields += [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(code.encode(text), code.dtype.type(separator)).astype("<u4")
-                first = (len(ids) - 1) % capacity + 1
-                for p, end in enumerate(range(first, len(ids) + 1, capacity)):
-                    begin = max(0, end - capacity)
-                    row.append(k)
-                    piece.append(p)
-                    start.append(begin)
-                    length.append(end - begin)
-                    crc.append(zlib.crc32(ids[begin:end].tobytes()))
-            arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in common.slices(batches):
+            at = 0
+            for ids, sizes in code.chunks(batch.column(1)):
+                ids, sizes = with_end(ids, sizes, separator)
+                n = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                first = (sizes - 1) % capacity + 1
+                end = first[row] + capacity * piece
+                start = np.maximum(end - capacity, 0)
+                before = (np.cumsum(sizes) - sizes)[row]
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((before + start).tolist(), (before + end).tolist(), strict=True)]
+                arrays = [batch.column(0).take(pa.array(at + row)), pa.array(piece.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (start, end - start, crc))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                at += len(sizes)
 
     return docs.select(id_col, text_col).mapInArrow(cut, T.StructType(fields))
 

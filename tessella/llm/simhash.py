@@ -107,10 +107,9 @@ def majority_bits(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (64 bits as a signed long) of each document."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             fps = np.array([majority_bits(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -405,7 +404,6 @@ def link_sketches(nodes: DataFrame, similarity: float, split: int = SPLIT) -> Da
     sketch = nodes.select("node", *_SKETCH)
     member = F.collect_list(F.struct("node", *_SKETCH))
 
-    common.small_batches(nodes.sparkSession)
     keys = nodes.select("node", *_SKETCH, *_EXTREMES).mapInArrow(_sketch_keys, "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = common.stored(keys.join(shared, "key").select("key", "node", "n"), "keys")
@@ -430,15 +428,13 @@ def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col
     wordless texts are one class; null ids come last; of rows with the same id
     the text that hashes lowest stays; of equal rows one stays.
     """
-    common.small_batches(docs.sparkSession)
     key = [F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col))]
     keyed = docs.withColumns({"_k1": key[0], "_k2": key[1]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                s = np.concatenate(sketches(batch.column(3), words), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(s.shape[1]))], names=["id", "_k1", "_k2", *_SKETCH, *_EXTREMES])
+        for batch in common.slices(batches):
+            s = np.concatenate(sketches(batch.column(3), words), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(s.shape[1]))], names=["id", "_k1", "_k2", *_SKETCH, *_EXTREMES])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("_k1", "_k2", *_SKETCH, *_EXTREMES))])
     rows = keyed.select(F.col(id_col), "_k1", "_k2", text_col).mapInArrow(run, schema).withColumn("node", F.xxhash64(*_SKETCH))

@@ -2,14 +2,16 @@
 
 Documents are sorted by id over the cluster; each task encodes its range,
 appends the end id, cuts the stream of ids into sequences of equal length and
-writes an Arrow IPC file of ``tokens`` and ``mask`` (fixed-size lists; the mask
-is false in the padding after the last id) and an index file with a row for
+writes an Arrow IPC file of ``tokens`` and ``mask`` (fixed-size lists; bytes, 0 in
+the padding after the last id, else 1) and an index file with a row for
 each document.  A file's footer holds the place of each record batch, so any
 sequence can be read from a memory map without a copy.  Ids take 16 bits where
 the vocabulary allows.
 
-A task writes under a name of its own and renames at its end, so a task that is
-run again after a lost executor leaves whole files only.
+Each run of a task writes under names of its own, and the list of files that is
+returned holds those of the run that ended, so a task that is run again after a
+lost executor does no harm: what it wrote before isn't listed.  Nothing is
+renamed, which suits object stores.
 
 Defined cases: a null text is empty (only the end id); a null ``doc_id`` sorts
 first; rows that repeat an id are kept, in the order of their texts' hashes; an
@@ -31,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 #: Ids of a sequence, and sequences of a record batch.
 SEQUENCE_LENGTH, BATCH_SEQUENCES = 2048, 64
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    uri = "s3://" + uri.removeprefix("s3a://") if uri.startswith("s3a://") else uri
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
@@ -46,11 +49,11 @@ class _Writer:
 
     def __init__(self, sink, dtype: np.dtype, length: int):
         self.length, self.dtype = length, dtype
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out, self.waiting, self.n = pa.ipc.new_file(sink, self.schema), [], 0
 
     def _write(self, ids: np.ndarray, valid: int) -> None:
-        mask = np.arange(len(ids)) < valid
+        mask = (np.arange(len(ids)) < valid).astype(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.out.write_batch(pa.record_batch(columns, schema=self.schema))
 
@@ -89,10 +92,10 @@ class TokenFile:
         return self._flat
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view) and mask of the i-th sequence."""
+        """Ids and mask of the i-th sequence, both views of the file."""
         k, j = divmod(i, BATCH_SEQUENCES)
         batch = self.reader.get_batch(k)
-        return batch.column(0)[j].values.to_numpy(), batch.column(1)[j].values.to_numpy(zero_copy_only=False)
+        return batch.column(0)[j].values.to_numpy(), batch.column(1)[j].values.to_numpy()
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Ids start to start + n of the file's stream."""
@@ -111,7 +114,6 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id
     The rows are checkpointed: the files are written once, when this is called.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
@@ -119,30 +121,28 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id
         system, base = _file_system(directory)
         own, part = uuid.uuid4().hex, TaskContext.get().partitionId()
         system.create_dir(base, recursive=True)
-        names = [f"{base}/part-{part:06d}.{kind}.arrow" for kind in ("tokens", "index")]
-        code, docs_at, n = encoder(tokenizer), [], 0
+        names = [f"{base}/part-{part:06d}-{own}.{kind}.arrow" for kind in ("tokens", "index")]
+        code, n_docs, n = encoder(tokenizer), 0, 0
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         index_schema = pa.schema([("doc_id", first.schema.field("doc_id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        with system.open_output_stream(f"{names[0]}.{own}") as sink, system.open_output_stream(f"{names[1]}.{own}") as index_sink:
+        with system.open_output_stream(names[0]) as sink, system.open_output_stream(names[1]) as index_sink:
             out, index = _Writer(sink, code.dtype, length), pa.ipc.new_file(index_sink, index_schema)
-            for batch in _then(first, batches):
-                sizes = []
-                for text in batch.column("text").to_pylist():
-                    ids = np.append(code.encode(text), code.dtype.type(end_id))
+            for batch in common.slices(_then(first, batches)):
+                at = 0
+                for ids, sizes in code.chunks(batch.column("text")):
+                    ids, sizes = with_end(ids, sizes, end_id)
                     out.add(ids)
-                    sizes.append(len(ids))
-                sizes = np.array(sizes, np.int64)
-                index.write_batch(pa.record_batch([batch.column("doc_id"), n + np.cumsum(sizes) - sizes, sizes], schema=index_schema))
-                docs_at.append(len(sizes))
-                n += int(sizes.sum())
+                    own = batch.column("doc_id").slice(at, len(sizes))
+                    index.write_batch(pa.record_batch([own, n + np.cumsum(sizes) - sizes, sizes], schema=index_schema))
+                    at += len(sizes)
+                    n_docs += len(sizes)
+                    n += len(ids)
             out.close()
             index.close()
-        for name in names:
-            system.move(f"{name}.{own}", name)
         uri = directory.rstrip("/")
-        yield pa.RecordBatch.from_pydict({"part": [part], "tokens": [f"{uri}/{names[0].rpartition('/')[2]}"], "index": [f"{uri}/{names[1].rpartition('/')[2]}"], "n_docs": [sum(docs_at)], "n_tokens": [n]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "tokens": [f"{uri}/{names[0].rpartition('/')[2]}"], "index": [f"{uri}/{names[1].rpartition('/')[2]}"], "n_docs": [n_docs], "n_tokens": [n]})
 
     return common.checkpoint(rows.drop("tie").mapInArrow(write, "part long, tokens string, index string, n_docs long, n_tokens long"))
 

@@ -113,7 +113,6 @@ def _best(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[
 
 def exact_top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k highest integer inner products of each query row with all other rows: query_id, rank, vec_id, score."""
-    common.small_batches(vectors.sparkSession, 10_000)
     vector = F.col(vector_col).cast("array<double>")
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~odd)
