@@ -1,10 +1,15 @@
 """Operator 7: secret scans with character Markov models (DataFrame functions only).
 
-Base patterns give labelled samples of secrets; words of a bounded sample of
-documents are the ordinary identifiers.  For either kind a first-order Markov
-model over the printable ASCII characters is counted.  Every long token of
-every text is scored by the mean log-likelihood ratio of its character pairs
-and reported where that reaches a threshold.
+Two first-order Markov models over the printable ASCII characters are counted
+from labelled samples: random strings (drawn from the usual alphabets of keys,
+and the values that base patterns find) and ordinary identifiers (words of a
+bounded sample of documents, base matches taken out, joined as programs and
+paths join them; runs of one character and of successive ones).  Every long
+token of every text is scored by the mean log-likelihood ratio of its character
+pairs and reported where that reaches a threshold.  The threshold is the least
+at which at most ``max_false`` of the ordinary samples that weren't counted
+would be reported; its precision and recall on held-out samples are in the
+model.
 
 Spark has no function for the places of all matches: a text is split at the
 matches, and the lengths of the parts before each match add up to its place.
@@ -15,15 +20,18 @@ Kinds: assign, access, hex (base) and markov (the method's).  A markov token
 that overlaps a base span of its text isn't reported again.
 
 Defined cases: null and empty texts have no spans; repeated rows get a row
-each; a null id is kept; without any base match there is no model and nothing
+each; a null id is kept; without any ordinary word there is no model and nothing
 is added; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import string
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,6 +43,9 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LENGTH = 6
 #: Tokens that the models score.
 TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
+#: Alphabets of random strings, and what joins the words of an ordinary identifier.
+ALPHABETS = [string.ascii_letters + string.digits + more for more in ("", "", "+/", "-_")] + [string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"]
+JOINS = ["_", "-", "/", ""]
 KINDS = ["assign", "access", "hex", "markov"]
 #: Characters 32 to 127; others count as 127.
 _CHARACTERS = 96
@@ -55,10 +66,51 @@ def _pairs_of(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(2), F.length(word)), lambda i: code(i - 1) * _CHARACTERS + code(i) + 1)
 
 
+@dataclass(frozen=True)
+class SecretModel:
+    """Log-likelihood ratios of character pairs, the least mean that is reported, and what it does on held-out samples.
+
+    ``false_share``: of ordinary samples, those reported; ``recall``: of random ones, those reported.
+    """
+
+    ratios: list[float]
+    threshold: float
+    false_share: float
+    recall: float
+
+
+def random_strings(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+    """word: n strings of 20 to 48 characters that look like keys, each drawn from one of the alphabets."""
+    draw = lambda *parts: F.xxhash64(F.lit(seed), F.col("id"), *parts)
+    alphabet = F.get(F.array(*map(F.lit, ALPHABETS)), F.pmod(draw(F.lit("a")), F.lit(len(ALPHABETS))).cast("int"))
+    rows = spark.range(n).select("id", alphabet.alias("alphabet"), F.sequence(F.lit(1), F.pmod(draw(F.lit("n")), F.lit(29)) + 20).alias("places"))
+    return rows.select(F.array_join(F.transform("places", lambda i: F.substr("alphabet", F.pmod(draw(i), F.length("alphabet")).cast("int") + 1, F.lit(1))), "").alias("word"))
+
+
+def identifiers(words: Column, seed: int = 7) -> Column:
+    """Ordinary identifiers of three successive words each, joined in one of the ways of JOINS or in camel case."""
+
+    def joined(i: Column) -> Column:
+        own = [F.get(words, i + k) for k in range(3)]
+        camel = F.concat(own[0], *map(F.initcap, own[1:]))
+        way = F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(len(JOINS) + 1)).cast("int")
+        mark = F.get(F.array(*map(F.lit, JOINS)), way)
+        return F.when(way == len(JOINS), camel).otherwise(F.concat(own[0], mark, own[1], mark, own[2]))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.size(words) - 3, F.lit(3)), joined), lambda w: F.length(w) >= 12)
+
+
+def _plain_runs(spark: SparkSession, copies: int) -> DataFrame:
+    """word: runs of one character, and of successive characters, each ``copies`` times."""
+    runs = [chr(c) * 24 for c in range(33, 127)] + [string.ascii_lowercase, string.ascii_uppercase, string.digits * 2]
+    return spark.range(copies).select(F.explode(F.array(*map(F.lit, runs))).alias("word"))
+
+
 def train(samples: DataFrame) -> list[float] | None:
     """Log-likelihood ratios of character pairs, from (word, secret) samples with words of 2 or more characters.
 
-    The counts that reach the driver are at most 2 * 96 * 96.
+    Either model is mixed with a tenth of even probabilities, so a rare pair
+    weighs little.  The counts that reach the driver are at most 2 * 96 * 96.
     """
     counted = samples.select("secret", F.explode(_pairs_of(F.col("word"))).alias("pair")).groupBy("secret", "pair").count().collect()
     n = {kind: [0.0] * _CHARACTERS**2 for kind in (True, False)}
@@ -69,22 +121,53 @@ def train(samples: DataFrame) -> list[float] | None:
     ratios = []
     for a in range(_CHARACTERS):
         own = slice(a * _CHARACTERS, (a + 1) * _CHARACTERS)
-        secret, plain = n[True][own], n[False][own]
-        k = 0.1
-        logs = [math.log((s + k) / (sum(secret) + k * _CHARACTERS)) - math.log((p + k) / (sum(plain) + k * _CHARACTERS)) for s, p in zip(secret, plain, strict=True)]
-        ratios += [round(x, 6) for x in logs]
+        p, q = ([0.9 * x / max(sum(n[kind][own]), 1.0) + 0.1 / _CHARACTERS for x in n[kind][own]] for kind in (True, False))
+        ratios += [round(math.log(x / y), 6) for x, y in zip(p, q, strict=True)]
     return ratios
 
 
-def scan(docs: DataFrame, *, threshold: float = 1.0, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mean_ratio(word: Column, ratios: list[float]) -> Column:
+    """Mean log-likelihood ratio of a word's character pairs."""
+    table = F.lit(np.array(ratios))
+    return F.aggregate(_pairs_of(word), F.lit(0.0), lambda s, p: s + F.element_at(table, p.cast("int"))) / (F.length(word) - 1)
+
+
+def fit(plain: DataFrame, found: DataFrame, *, samples: int = 10_000, max_false: float = 0.001) -> SecretModel | None:
+    """Train on half of the samples and set the threshold on the other half.
+
+    ``plain``: word, ordinary identifiers; ``found``: word, values that base
+    patterns found; ``samples``: how many random strings are drawn.
+    """
+    spark = plain.sparkSession
+    secret = random_strings(spark, samples).unionByName(found.select("word").distinct())
+    rows = secret.withColumn("secret", F.lit(True)).unionByName(plain.select("word").withColumn("secret", F.lit(False)))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("word"), F.lit(2)))
+    # runs are few kinds, counted often enough to weigh among the joined words
+    runs = _plain_runs(spark, 400).select("word", F.lit(False).alias("secret"), F.lit(0).cast("long").alias("fold"))
+    rows = common.checkpoint(rows.unionByName(runs))
+    ratios = train(rows.where("fold = 0"))
+    if ratios is None or rows.where("fold = 1 and not secret").isEmpty():
+        return None
+    # hundredths of the ratio, which lies within a few units of 0: a bounded histogram
+    held = rows.where("fold = 1").groupBy("secret", F.floor(100 * mean_ratio(F.col("word"), ratios)).cast("int").alias("at")).count().collect()
+    n = {kind: {r["at"]: r["count"] for r in held if r["secret"] == kind} for kind in (True, False)}
+    above = lambda kind, at: sum(c for k, c in n[kind].items() if k >= at) / max(1, sum(n[kind].values()))
+    places = sorted({*n[True], *n[False], max([*n[True], *n[False]]) + 1})
+    at = next(k for k in places if above(False, k) <= max_false)
+    return SecretModel(ratios, at / 100, above(False, at), above(True, at))
+
+
+def scan(docs: DataFrame, *, sample_docs: int = 600, max_false: float = 0.001, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id and spans, an array of (start, kind number, end, hit) by start and kind.
 
-    ``sample_docs``: about how many documents, those whose ids hash lowest, give ordinary words to the model.
+    ``sample_docs``: about how many documents, those whose ids hash lowest,
+    give ordinary words to the model; ``model``: one that is fitted already.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.count()
     sampled = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(min(1.0, sample_docs / max(total, 1)) * (1 << 20))
-    words = F.when(sampled, F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]{6,}"), F.lit(0)))
+    bare = F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), f"{HEX}|{ACCESS}", " ")
+    words = F.when(sampled, F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9]{3,}"), F.lit(0)))
     read = docs.select(
         F.col(id_col).alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
@@ -101,16 +184,15 @@ def scan(docs: DataFrame, *, threshold: float = 1.0, sample_docs: int = 2000, id
     placed = each.withColumn("end", end).withColumn("start", F.col("end") - long).where("hit is not null")
     value = F.regexp_extract("hit", ASSIGN, 2)
     placed = placed.where((F.col("kind") != 0) | (F.length(value) >= ASSIGN_LENGTH))
-    secrets = placed.where("kind < 3").select(F.when(F.col("kind") == 0, value).otherwise(F.col("hit")).alias("word"), F.lit(True).alias("secret"))
-    plain = read.where("words is not null").select(F.explode("words").alias("word"))
-    plain = plain.where(~F.col("word").rlike(f"{HEX}|AKIA")).select("word", F.lit(False).alias("secret"))
-    ratios = train(secrets.unionByName(plain))
-    if ratios is None:
+    if model is None:
+        valued = placed.select(F.when(F.col("kind") == 0, value).when(F.col("kind") == 1, F.col("hit")).alias("word")).where(F.length("word") >= 16)
+        plain = read.where(F.size("words") >= 3).select(F.explode(identifiers(F.col("words"))).alias("word"))
+        model = fit(plain, valued, max_false=max_false)
+    if model is None:
         placed = placed.where("kind < 3")
     else:
-        table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-        mean = F.aggregate(_pairs_of(F.col("hit")), F.lit(0.0), lambda s, p: s + F.element_at(table, p.cast("int"))) / (F.length("hit") - 1)
-        placed = placed.where((F.col("kind") < 3) | (F.when(F.col("kind") == 3, mean) >= threshold))
+        score = F.when(F.col("kind") == 3, mean_ratio(F.col("hit"), model.ratios))
+        placed = placed.where((F.col("kind") < 3) | (score >= model.threshold))
     spans = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hit"))).alias("found"))
     base = F.filter("found", lambda x: x["kind"] < 3)
     alone = lambda x: (x["kind"] < 3) | ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
