@@ -30,7 +30,6 @@ import math
 import string
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +61,9 @@ def _found(text: Column, pattern: str, kind: int) -> Column:
 
 def _pairs_of(word: Column) -> Column:
     """Codes of the character pairs of a word."""
-    code = lambda i: F.least(F.greatest(F.ascii(F.substr(word, i, F.lit(1))) - 32, F.lit(0)), F.lit(_CHARACTERS - 1))
-    return F.transform(F.sequence(F.lit(2), F.length(word)), lambda i: code(i - 1) * _CHARACTERS + code(i) + 1)
+    codes = F.transform(F.split(word, ""), lambda c: F.least(F.greatest(F.ascii(c) - 32, F.lit(0)), F.lit(_CHARACTERS - 1)))
+    paired = lambda own: F.zip_with(F.slice(own, 1, F.size(own) - 1), F.slice(own, 2, F.size(own) - 1), lambda a, b: a * _CHARACTERS + b + 1)
+    return F.flatten(F.transform(F.array(codes), paired))
 
 
 @dataclass(frozen=True)
@@ -128,11 +128,11 @@ def train(samples: DataFrame) -> list[float] | None:
 
 def mean_ratio(word: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of a word's character pairs."""
-    table = F.lit(np.array(ratios))
+    table = F.expr(f"array({','.join(f'{x}D' for x in ratios)})")
     return F.aggregate(_pairs_of(word), F.lit(0.0), lambda s, p: s + F.element_at(table, p.cast("int"))) / (F.length(word) - 1)
 
 
-def fit(plain: DataFrame, found: DataFrame, *, samples: int = 10_000, max_false: float = 0.001) -> SecretModel | None:
+def fit(plain: DataFrame, found: DataFrame, *, samples: int = 20_000, max_false: float = 0.001) -> SecretModel | None:
     """Train on half of the samples and set the threshold on the other half.
 
     ``plain``: word, ordinary identifiers; ``found``: word, values that base
@@ -157,7 +157,7 @@ def fit(plain: DataFrame, found: DataFrame, *, samples: int = 10_000, max_false:
     return SecretModel(ratios, at / 100, above(False, at), above(True, at))
 
 
-def scan(docs: DataFrame, *, sample_docs: int = 600, max_false: float = 0.001, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, sample_docs: int = 1000, max_false: float = 0.001, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id and spans, an array of (start, kind number, end, hit) by start and kind.
 
     ``sample_docs``: about how many documents, those whose ids hash lowest,
