@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes from which texts are known that give a polynomial modulo 2 ** 64 the same value, whatever its base, are far longer.
+LONG_SPAN = 256
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -150,13 +153,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: a polynomial in an odd base, scrambled with the length."""
+    """64-bit hashes of byte spans: a polynomial in an odd base, scrambled with the length; XXH64 for spans of LONG_SPAN bytes or more."""
     power, inverse = _powers(len(data))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
         h = (sums[ends] - sums[starts]) * inverse[np.minimum(starts, max(len(data) - 1, 0))]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), LONG_SPAN)
+    return h
 
 
 def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -210,12 +210,16 @@ def near_duplicate_classes(docs: DataFrame, *, words: int = 3, id_col: str = "do
 
 # --- classes at a shingle similarity -----------------------------------------
 
-#: 64-bit words of a sketch, and segments that give keys, each with an extreme of the shingles' hashes.
-SKETCH_WORDS, KEY_SEGMENTS = 4, 8
-#: All segments of a sketch.
+#: 64-bit words of a sketch, and bits by which two sketches may differ beyond the mean of their similarity, in standard deviations.
+SKETCH_WORDS, DEVIATIONS = 4, 3
+#: Segments of a sketch, each of which gives keys with an extreme of the shingles' hashes.
 SEGMENTS = 64 * SKETCH_WORDS // SEGMENT
+#: Hash functions whose least and greatest values are the extremes; the first are those of the sketch.
+FUNCTIONS = -(-SEGMENTS // 2)
+#: Candidates of a node in a group: at first, and by how much more in each round in which some are left.
+NEAREST, MORE = 2, 16
 _SKETCH = [f"_s{k}" for k in range(SKETCH_WORDS)]
-_EXTREMES = [f"_m{k}" for k in range(KEY_SEGMENTS)]
+_EXTREMES = [f"_m{k}" for k in range(SEGMENTS)]
 
 
 def bit_sums(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -237,12 +241,11 @@ def bit_sums(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents x SKETCH_WORDS: majority bits over the shingles, each hashed anew for each word of the sketch.
+def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For chunks of texts: the different 64-bit shingle hashes of each text, ascending, and their number.
 
-    And the least and the greatest hash of each word (documents x 2 SKETCH_WORDS), 0 without shingles.
+    A text of fewer words is one shingle, one without words has none.
     """
-    out, extremes = [np.zeros((0, SKETCH_WORDS), np.uint64)], [np.zeros((0, 2 * SKETCH_WORDS), np.uint64)]
     for _, _, data, offsets in common.text_chunks(column):
         data = common.lower(data)
         starts, ends, n = common.word_spans(data, offsets)
@@ -254,18 +257,37 @@ def sketches(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             for j in range(words if len(h) else 0):
                 own = common.mix(own * np.uint64(0x9E3779B97F4A7C15) + np.where(at + j < last, h[np.minimum(at + j, len(h) - 1)], np.uint64(0)))
-        bits, ends_of = np.zeros((len(n), SKETCH_WORDS), np.uint64), np.zeros((len(n), 2 * SKETCH_WORDS), np.uint64)
+        doc = np.repeat(np.arange(len(n)), k)
+        order = np.lexsort((own, doc))
+        own, doc = own[order], doc[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+        yield own[new], np.bincount(doc[new], minlength=len(n))
+
+
+def sketches(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents x SKETCH_WORDS: majority bits over the different shingles, each hashed anew for each word of the sketch.
+
+    And the least and greatest hashes (documents x SEGMENTS), and a hash of the whole set; all 0 without shingles.
+    """
+    out, extremes, names = [np.zeros((0, SKETCH_WORDS), np.uint64)], [np.zeros((0, 2 * FUNCTIONS), np.uint64)], [np.zeros(0, np.uint64)]
+    for own, k in shingle_sets(column, words):
+        bits, ends_of, name = np.zeros((len(k), SKETCH_WORDS), np.uint64), np.zeros((len(k), 2 * FUNCTIONS), np.uint64), np.zeros(len(k), np.uint64)
         filled = np.flatnonzero(k)
-        for w in range(SKETCH_WORDS):
+        runs = (np.cumsum(k) - k)[filled]
+        for w in range(FUNCTIONS):
             with np.errstate(over="ignore"):
                 hashed = common.mix(own + np.uint64(w + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
-            bits[:, w] = np.packbits(2 * bit_sums(hashed, k) > k[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+                if w == 0 and len(filled):
+                    name[filled] = common.mix(np.add.reduceat(hashed, runs) + k[filled].astype(np.uint64))
+            if w < SKETCH_WORDS:
+                bits[:, w] = np.packbits(2 * bit_sums(hashed, k) > k[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
             if len(filled):
-                runs = (np.cumsum(k) - k)[filled]
                 ends_of[filled, 2 * w], ends_of[filled, 2 * w + 1] = np.minimum.reduceat(hashed, runs), np.maximum.reduceat(hashed, runs)
         out.append(bits)
         extremes.append(ends_of)
-    return np.concatenate(out), np.concatenate(extremes)
+        names.append(name)
+    return np.concatenate(out), np.concatenate(extremes)[:, :SEGMENTS], np.concatenate(names)
 
 
 def _sketch_segments(words: np.ndarray) -> np.ndarray:
@@ -274,176 +296,201 @@ def _sketch_segments(words: np.ndarray) -> np.ndarray:
     return bits.reshape(len(words), SEGMENTS, SEGMENT) @ (1 << np.arange(SEGMENT, dtype=np.int64))
 
 
-def _words_of(batch: pa.RecordBatch, first: int) -> np.ndarray:
-    return np.stack([batch.column(first + k).to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], axis=1)
-
-
 def _sketch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each segment gives a key for every codeword within 4 bits of it, with an extreme hash; the low 4 bits of a key tell the segment."""
-    for batch in batches:
-        node, segments = batch.column(0).to_numpy(), _sketch_segments(_words_of(batch, 1))
-        for j in range(KEY_SEGMENTS):
+    for batch in common.slices(batches):
+        columns = [c.to_numpy() for c in batch.columns]
+        node, segments = columns[0], _sketch_segments(np.stack([c.view(np.uint64) for c in columns[1 : 1 + SKETCH_WORDS]], axis=1))
+        for j in range(SEGMENTS):
             codes = codeword_indices(segments[:, j])
             row, col = np.nonzero(codes >= 0)
-            extreme = batch.column(1 + SKETCH_WORDS + j).to_numpy().view(np.uint64)
+            extreme = columns[1 + SKETCH_WORDS + j].view(np.uint64)
             with np.errstate(over="ignore"):
                 keys = common.mix(extreme[row] + ((j << 12) + codes[row, col]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
             keys = keys >> np.uint64(4) << np.uint64(4) | np.uint64(j)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[row])], names=["key", "node"])
 
 
-def clusters(words: np.ndarray, most: int) -> np.ndarray:
-    """For groups of sketches (groups x members x words): the least member that each reaches over links of at most ``most`` bits."""
-    n = words.shape[1]
-    near = np.zeros((len(words), n, n), np.uint16)
-    for k in range(SKETCH_WORDS):
-        near += np.bitwise_count(words[:, :, None, k] ^ words[:, None, :, k])
-    near = near <= most
-    root = np.broadcast_to(np.arange(n, dtype=np.int16), near.shape[:2])
-    while True:
-        least = np.where(near, root[:, None, :], np.int16(n)).min(2)
-        if (least == root).all():
-            return root
-        root = least
+def most_bits(similarity: float) -> int:
+    """Differing bits of two sketches at a Jaccard similarity of their shingles, with DEVIATIONS standard deviations more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = 64 * SKETCH_WORDS
+    return round(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5)
 
 
-def _group_links(most: int):
-    """Trees of links of groups (a list of node and words), groups of one size at a time."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def candidates(left: list[np.ndarray], right: list[np.ndarray], most: int, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of nodes of unlike classes whose sketches differ in at most ``most`` bits.
+
+    A side is (node, class, words).  Each node of the left gets the ``nearest``
+    ones of the right, and the one with the least number; the flag tells
+    whether some node has more.
+    """
+    us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    words = [np.stack([w.view(np.uint64) for w in side[2:]], axis=1) for side in (left, right)]
+    step = max(1, (1 << 20) // max(1, len(right[0])))
+    order = np.argsort(right[0], kind="stable")
+    for at in range(0, len(left[0]), step):
+        own = slice(at, at + step)
+        bits = np.zeros((len(left[0][own]), len(order)), np.uint16)
+        for k in range(SKETCH_WORDS):
+            bits += np.bitwise_count(words[0][own, None, k] ^ words[1][None, order, k])
+        near = (bits <= most) & (left[1][own, None] != right[1][None, order])
+        n = near.sum(1)
+        some = np.flatnonzero(n)
+        if not len(some):
+            continue
+        more = more or bool((n > nearest).any())
+        far = np.where(near[some], bits[some], np.uint16(1 << 15))
+        kept = min(nearest, far.shape[1])
+        close = np.argpartition(far, kept - 1, axis=1)[:, :kept]
+        picked = np.concatenate([close, near[some].argmax(1)[:, None]], axis=1)  # argmax: the first of them
+        row, col = np.nonzero(np.take_along_axis(near[some], picked, 1))
+        us.append(left[0][own][some[row]])
+        vs.append(right[0][order][picked[row, col]])
+    return np.concatenate(us), np.concatenate(vs), more
+
+
+def _pairs(most: int, nearest: int):
+    """Candidate pairs of groups: rows (left, right) of members, right null for a group met with itself."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            sizes, members = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
-            starts = np.cumsum(sizes) - sizes
-            fields = members.flatten()
-            node = fields[0].to_numpy()
-            words = np.stack([f.to_numpy().view(np.uint64) for f in fields[1:]], axis=1)
-            found = [np.zeros((0, 2), np.int64)]
-            for n in np.unique(sizes):
-                of = starts[sizes == n]
-                step = max(1, (1 << 20) // int(n * n))
-                for a in range(0, len(of), step):
-                    at = of[a : a + step, None] + np.arange(n)
-                    root = clusters(words[at], most)
-                    g, m = np.nonzero(root != np.arange(n))
-                    found.append(np.stack([node[at[g, m]], node[at[g, root[g, m]]]], axis=1))
+            found, some = [np.zeros((0, 2), np.int64)], False
+            for r in range(batch.num_rows):
+                left, right = ([f.to_numpy() for f in batch.column(c)[r].values.flatten()] if batch.column(c)[r].is_valid else None for c in (0, 1))
+                for x, y in ((left, left),) if right is None else ((left, right), (right, left)):
+                    u, v, more = candidates(x, y, most, nearest)
+                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+                    some = some or more
             pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), some))], schema=schema)
 
     return run
 
 
-def reach(words: np.ndarray, most: int) -> np.ndarray:
-    """The least member that each of one group of any size (members x words) reaches over links of at most ``most`` bits.
-
-    Each member is held against those not yet reached, so one that reaches all costs a row and not a square.
-    """
-    root, left = np.zeros(len(words), np.int64), np.arange(len(words))
-    while len(left):
-        start, front, left = left[0], left[:1], left[1:]
-        root[start] = start
-        while len(front) and len(left):
-            near, step = np.zeros(len(left), bool), max(1, (1 << 18) // len(left))
-            for at in range(0, len(front), step):
-                far = np.flatnonzero(~near)
-                bits = np.zeros((len(front[at : at + step]), len(far)), np.uint16)
-                for k in range(words.shape[1]):
-                    bits += np.bitwise_count(words[front[at : at + step], None, k] ^ words[None, left[far], k])
-                near[far] = (bits <= most).any(0)
-            front, left = left[near], left[~near]
-            root[front] = start
-    return root
-
-
-def _block_links(most: int):
-    """Links of a block of a group with itself (a tree) or with another block (between trees of the two)."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _similar(similarity: float):
+    """Pairs (u, v, left, right) whose sets of shingle hashes reach the Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
+            keep = np.zeros(batch.num_rows, bool)
             for r in range(batch.num_rows):
-                sides = [[f.to_numpy() for f in batch.column(c)[r].values.flatten()] for c in (2, 3)]
-                nodes = [f[0] for f in sides]
-                words = [np.stack([w.view(np.uint64) for w in f[1:]], axis=1) for f in sides]
-                if batch.column(0)[r].as_py() == batch.column(1)[r].as_py():
-                    node, root = nodes[0], reach(words[0], most)
-                    firsts = np.arange(len(node))
-                else:
-                    node, root = np.concatenate(nodes), reach(np.concatenate(words), most)
-                    firsts = np.concatenate([np.unique(reach(words[0], most)), np.unique(reach(words[1], most)) + len(nodes[0])])
-                firsts = firsts[root[firsts] != firsts]
-                found.append(np.stack([node[firsts], node[root[firsts]]], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                a, b = (np.frombuffer(batch.column(c)[r].as_buffer(), "<u8") for c in (2, 3))
+                both = len(a) + len(b) - len(np.union1d(a, b))
+                keep[r] = both >= similarity * (len(a) + len(b) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
     return run
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of two sketches at a Jaccard similarity of their shingles, and a standard deviation."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = 64 * SKETCH_WORDS
-    return round(n * p + (n * p * (1 - p)) ** 0.5)
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, share: int = 256) -> DataFrame:
+    """The pairs (u, v) whose sets (node, shingles) reach the similarity.
+
+    A node with many pairs is dealt with its set to one place for each ``share`` of them.
+    """
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    dealt = pairs.join(many, "u").select("u", "v", F.pmod(F.hash("v"), F.col("parts")).alias("part"))
+    of_u = sets.join(many, sets["node"] == many["u"]).select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("left"))
+    of_v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("right"))
+    return dealt.join(of_u, ["u", "part"]).join(of_v, "v").select("u", "v", "left", "right").mapInArrow(_similar(similarity), "u long, v long")
 
 
-def link_sketches(nodes: DataFrame, similarity: float, split: int = SPLIT) -> DataFrame:
-    """Links (u, v) between similar sketches (node, its words and extremes).
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """key, node, n: the keys that n > 1 nodes (node, sketch, extremes) have.
 
     A key is a codeword of a segment with the least or greatest hash of the
     shingles, which similar texts share with the probability of their
     similarity; without it, random documents would share keys as the square of
-    their number.  All members of a key are verified with each other: a group
-    of up to ``split`` documents in one place, a greater one in blocks of about
-    twice as many, of which each pair is a row.  Either leaves trees of links,
-    not a row for each pair of documents, so the size of a group doesn't change
-    which documents are joined.
+    their number.
     """
-    most = most_bits(similarity)
-    sketch = nodes.select("node", *_SKETCH)
-    member = F.collect_list(F.struct("node", *_SKETCH))
-
     keys = nodes.select("node", *_SKETCH, *_EXTREMES).mapInArrow(_sketch_keys, "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keys = common.stored(keys.join(shared, "key").select("key", "node", "n"), "keys")
+    return common.stored(keys.join(shared, "key").select("key", "node", "n"), "keys")
 
-    few = keys.where(F.col("n") <= split).select("key", "node").join(sketch, "node")
-    groups = few.groupBy("key").agg(member.alias("members")).where(F.size("members") > 1)
-    whole = common.stored(groups.select("members").mapInArrow(_group_links(most), "u long, v long").distinct(), "near")
 
-    many = keys.where(F.col("n") > split).withColumn("blocks", F.ceil(F.col("n") / (2 * split))).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
-    blocks = common.stored(many.join(sketch, "node").groupBy("key", "i", "blocks").agg(member.alias("members")), "blocks")
-    left = blocks.select("key", "i", F.col("members").alias("left"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-    met = left.join(blocks.select("key", F.col("i").alias("j"), F.col("members").alias("right")), ["key", "j"])
-    between = common.stored(met.select("i", "j", "left", "right").mapInArrow(_block_links(most), "u long, v long").distinct(), "near")
-    return whole.unionByName(between)
+def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity: float, split: int = SPLIT) -> DataFrame:
+    """node, root of the classes that links at a similarity make.
 
-
-def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    In each round the nodes of a key that aren't in one class yet give
+    candidates: for each node the nearest ones of other classes by their
+    sketches, and the least.  Candidates are verified by their whole sets of
+    shingles, and classes are joined along those that pass.  Rounds go on with
+    more candidates until no node of a key has one left that wasn't tested, so
+    every pair with a common key and close sketches is either in one class or
+    tested.  A key with up to ``split`` nodes is one row of the work, one with
+    more is cut to blocks of which each pair is a row.
+    """
+    most, nearest = most_bits(similarity), NEAREST
+    member = F.collect_list(F.struct("node", "class", *_SKETCH))
+    tested = links = roots = None
+    while True:
+        sketch = nodes.select("node", F.col("node").alias("class"), *_SKETCH)
+        if roots is not None:
+            sketch = nodes.select("node", *_SKETCH).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"), *_SKETCH)
+        unlike = F.min("class") < F.max("class")
+        whole = keys.where(F.col("n") <= split).join(sketch, "node").groupBy("key").agg(member.alias("left"), unlike.alias("unlike")).where("unlike")
+        whole = whole.select("left", F.lit(None).cast(whole.schema["left"].dataType).alias("right"))
+        many = keys.where(F.col("n") > split).withColumn("blocks", F.ceil(F.col("n") / (2 * split))).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+        blocks = many.join(sketch, "node").groupBy("key", "i", "blocks").agg(member.alias("members"), F.min("class").alias("least"), F.max("class").alias("most"))
+        blocks = common.stored(blocks, "blocks")
+        open_keys = blocks.groupBy("key").agg((F.min("least") < F.max("most")).alias("unlike")).where("unlike").select("key")
+        blocks = blocks.join(open_keys, "key", "left_semi")
+        one = blocks.select("key", "i", F.col("members").alias("left"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+        other = blocks.select("key", F.col("i").alias("j"), F.col("members").alias("right"))
+        between = one.join(other, ["key", "j"]).select("left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
+        found = whole.mapInArrow(_pairs(most, nearest), "u long, v long, more boolean").unionByName(between.mapInArrow(_pairs(most, nearest), "u long, v long, more boolean"))
+        found = common.stored(found.groupBy("u", "v").agg(F.max("more").alias("more")), "candidates")
+        new = found.select("u", "v") if tested is None else found.select("u", "v").join(tested, ["u", "v"], "left_anti")
+        passed = common.stored(verified(new, sets, similarity), "similar")
+        links = passed if links is None else links.unionByName(passed)
+        tested = found.select("u", "v") if tested is None else tested.unionByName(new)
+        last = not found.where("more").limit(1).count()
+        roots = components(links)
+        if last:
+            return roots
+        nearest *= MORE
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class of near duplicates, the one with the least id, with all its columns.
 
-    Classes are reached over links at a similarity of the texts' shingles, as
-    their sketches of 256 bits tell it.  Defined cases: null, empty and
+    Classes are reached over links between documents whose sets of shingles
+    have at least the Jaccard similarity.  Defined cases: null, empty and
     wordless texts are one class; null ids come last; of rows with the same id
-    the text that hashes lowest stays; of equal rows one stays.
+    the text that hashes lowest stays; of equal rows one stays; columns may
+    have any names.
     """
-    key = [F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.xxhash64(F.lit(1), F.col(id_col).cast("string"), F.col(text_col))]
-    keyed = docs.withColumns({"_k1": key[0], "_k2": key[1]})
+    parts = [F.col(id_col).cast("string"), F.col(text_col)]
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            s = np.concatenate(sketches(batch.column(3), words), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(s.shape[1]))], names=["id", "_k1", "_k2", *_SKETCH, *_EXTREMES])
-
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("_k1", "_k2", *_SKETCH, *_EXTREMES))])
-    rows = keyed.select(F.col(id_col), "_k1", "_k2", text_col).mapInArrow(run, schema).withColumn("node", F.xxhash64(*_SKETCH))
-    rows = common.stored(rows, "sketches")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2")
-    nodes = rows.groupBy("node", *_SKETCH).agg(F.min(order).alias("least"), F.min(F.struct(*_EXTREMES)).alias("_m"))
-    nodes = common.stored(nodes.select("node", *_SKETCH, "least", "_m.*"), "nodes")
-    roots = components(link_sketches(nodes, similarity))
+            bits, extremes, name = sketches(batch.column(3), words)
+            s = np.concatenate([name[:, None], bits, extremes], axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(s.shape[1]))], names=["id", "k1", "k2", "node", *_SKETCH, *_EXTREMES])
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            at = 0
+            for own, k in shingle_sets(batch.column(1), words):
+                ends = np.concatenate([[0], np.cumsum(k)]) * 8
+                sets = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(own.astype("<u8"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(k)), sets], names=["node", "shingles"])
+                at += len(k)
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("k1", "k2", "node", *_SKETCH, *_EXTREMES))])
+    rows = common.stored(keyed.select("id", "k1", "k2", "text").mapInArrow(run, schema), "sketches")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    nodes = rows.groupBy("node").agg(F.min(order).alias("least"), F.first(F.struct(*_SKETCH, *_EXTREMES)).alias("s"))
+    nodes = common.stored(nodes.select("node", "least", "s.*"), "nodes")
+    keys = shared_keys(nodes)
+    # the texts travel once: one of each set that shares a key
+    chosen = nodes.join(keys.select("node").distinct(), "node", "left_semi").select("node", "least.k1", "least.k2")
+    texts = keyed.select("k1", "k2", "text").join(chosen, ["k1", "k2"]).select("node", "text")
+    sets = common.stored(texts.mapInArrow(whole_sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    roots = similar_roots(nodes, keys, sets, similarity, split)
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = classed.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
-    stay = keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    return stay.select(*docs.columns)
+    kept = classed.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
+    stay = keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return stay.select("row.*")

@@ -92,6 +92,34 @@ def test_op2_and_op9_ids(spark, docs):
         start += len(own)
 
 
+def test_token_ids_equal_the_library():
+    import random
+
+    import pyarrow as pa
+
+    from tessella.llm import tokens
+
+    code, rng = tokens.Encoder(queries._tokenizer()), random.Random(4)
+    alphabet = [*"ab Zé.,'!\n\t —…9ñ×÷ßsS日本\u3000\u2003\u00a0\x1c\x7f<|>", "'s", "'ll", "<|endoftext|>", " \n", "  ", "word", " word"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(4000)] + [None, "", "a <|endoftext|> b", "x" * 5000, " y" * 5000]
+    texts += ["".join(chr(rng.choice([rng.randint(1, 0x2FF), rng.randint(0x2000, 0x3100), 32, 10])) for _ in range(20)) for _ in range(4000)]
+    got = [own.tolist() for a in range(0, len(texts), 500) for ids, sizes in code.chunks(pa.array(texts[a : a + 500])) for own in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [code.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert code.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_token_ids_under_another_kind_of_tokenizer(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from tessella.llm import tokens
+
+    own = Tokenizer(models.WordLevel({"a": 0, "b.": 1, "?": 2}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    own.save(str(tmp_path / "t.json"))
+    code = tokens.Encoder(str(tmp_path / "t.json"))
+    assert not code.by_piece and code.encode("a b. c").tolist() == [0, 1, 2]
+
+
 def test_op3_base_counts_and_better_scores(spark, docs):
     tokens = {d[0]: [*WORD.findall((d[1] or "").encode().lower()), None] for d in docs}
     held = {d[0] for d in docs if zlib.crc32(str(d[0]).encode()) % 5 == 1}
@@ -149,6 +177,50 @@ def test_op5_links_random_neighbours(spark):
             assert a == b or frozenset((a, b)) in links
 
 
+def _planted(n=120):
+    """Texts that hold a random token, a long identifier, or a line of dashes."""
+    import random
+    import string
+
+    rng = random.Random(5)
+    names = ["".join(rng.choices(["ta", "re", "mon", "li", "ver", "sto", "pen", "dar"], k=3)) for _ in range(200)]
+    rows, tokens = [], {}
+    for i in range(n):
+        text = " ".join(rng.choices(names, k=80))
+        if i % 3 == 0:
+            tokens[i] = "".join(rng.choices(string.ascii_letters + string.digits, k=32))
+            text = f"é {tokens[i]} {text}"
+        elif i % 3 == 1:
+            text = f"{'_'.join(rng.choices(names, k=4))} {''.join(x.title() for x in rng.choices(names, k=4))} {'-' * 30} {text}"
+        rows.append((i, text))
+    return rows, tokens
+
+
+def test_op7_finds_planted_tokens_and_leaves_identifiers(spark):
+    rows, tokens = _planted()
+    found = {r.doc_id: [x.hit for x in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(t in found[i] for i, t in tokens.items())
+    every = sum(map(len, found.values()))
+    assert caught >= 0.9 * len(tokens) and caught >= 0.9 * every
+
+
+def test_op7_added_spans_by_brute_force(spark):
+    rows, _ = _planted(30)
+    rows.append((99, "password=abcdefghijklmnopqrstuvw x " + "q7" * 12))
+    rng = np.random.default_rng(2)
+    model = secrets.SecretModel([round(float(x), 6) for x in rng.normal(0, 1, 96 * 96)], 0.05, 0.0, 0.0)
+    code = lambda c: min(max(ord(c) - 32, 0), 95)
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect():
+        text = next(t for i, t in rows if i == r.doc_id)
+        base = [(x.start, x.end) for x in r.spans if x.kind < 3]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", text):
+            mean = np.mean([model.ratios[code(a) * 96 + code(b)] for a, b in zip(m[0], m[0][1:])])
+            if mean >= model.threshold and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append(m.span())
+        assert [(x.start, x.end) for x in r.spans if x.kind == 3] == want
+
+
 def test_op7_base_spans(spark, docs):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
     for r in queries.op7_secret_scan(spark, DATA).collect():
@@ -183,39 +255,41 @@ def test_line_dedup_keeps_the_first_copy(odd):
     assert len(got[1].split()) == 60 and got[4] == "" and got[2] is None and got[3] == ""
 
 
-@pytest.mark.parametrize("split", [8, 512])
-def test_links_of_sketches_that_share_an_extreme(spark, split):
-    rng = np.random.default_rng(5)
-    centres = rng.integers(0, 2, (6, 256), np.uint8)
-    rows, of = [*rng.integers(0, 2, (150, 256), np.uint8)], [*range(-150, 0)]
-    for c, bits in enumerate(centres):
-        for _ in range(25):
-            copy = bits.copy()
-            copy[rng.choice(256, 3, replace=False)] ^= 1
-            rows.append(copy)
-            of.append(c)
-    words = np.packbits(np.array(rows), axis=1, bitorder="little").view("<i8")
-    names = ["node", *simhash._SKETCH, *simhash._EXTREMES]
-    nodes = spark.createDataFrame([(k, *map(int, w), *[7] * simhash.KEY_SEGMENTS) for k, w in enumerate(words)], ", ".join(f"{n} long" for n in names))
-    roots = {r.node: r.root for r in simhash.components(simhash.link_sketches(nodes, 0.8, split)).collect()}
-    classes = collections.defaultdict(set)
-    for k, c in enumerate(of):
-        classes[roots.get(k, k)].add(c)
-    assert len(classes) == 156 and all(len(c) == 1 for c in classes.values())
-
-
-def test_links_of_graded_sketches_in_a_large_group(spark):
-    """Of 602 that share every key, 600 are close to one more, and only that one to the last."""
-    rng = np.random.default_rng(6)
-    rows = [np.zeros(256, np.uint8) for _ in range(602)]
-    for row in rows[:600]:
-        row[rng.choice(np.arange(184, 256), 2, replace=False)] = 1
-    rows[600][184:220], rows[601][184:256] = 1, 1
-    words = np.packbits(np.array(rows), axis=1, bitorder="little").view("<i8")
-    names = ["node", *simhash._SKETCH, *simhash._EXTREMES]
-    nodes = spark.createDataFrame([(k, *map(int, w), *[7] * simhash.KEY_SEGMENTS) for k, w in enumerate(words)], ", ".join(f"{n} long" for n in names))
-    for split in (512, 64):
-        assert {r.node: r.root for r in simhash.components(simhash.link_sketches(nodes, 0.8, split)).collect()} == dict.fromkeys(range(602), 0)
+def _exact_classes(rows, similarity=0.8, words=5):
+    """The least id of each class over links at an exact Jaccard similarity of shingles."""
+    sets = {}
+    for i, text in rows:
+        w = WORD.findall((text or "").encode().lower())
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            a, b = sets[i], sets[j]
+            if j < i and root[i] != root[j] and len(a & b) >= similarity * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return set(root.values())
+
+
+def test_keep_one_equals_exact_similarity(spark, docs):
+    kept = simhash.keep_one(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id").collect()
+    assert {r.doc_id for r in kept} == _exact_classes([(d[0], d[1]) for d in docs])
+
+
+@pytest.mark.parametrize("split", [4, 512])
+def test_keep_one_in_a_large_graded_group(spark, split):
+    """Variants of one text at similarities around the threshold: in one place, or in blocks of a group."""
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(60):
+        own = list(base)
+        for k in rng.choice(200, int(rng.integers(0, 8)), replace=False):
+            own[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(f"y{i}-{k}" for k in range(80))) for i in range(10)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), split=split).collect()}
+    want = _exact_classes(rows)
+    assert want <= kept and len(kept - want) <= 1  # a pair at the threshold shares no key with a small probability
 
 
 def test_training_learns_from_long_words():
