@@ -75,6 +75,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def packed(df: DataFrame, columns: list[str] | None = None) -> F.Column:
+    """All columns of a row in one, so that columns that an operator adds clash with none of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns or df.columns))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with more underscores before it where a column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def crc_of_id(column: str) -> F.Column:
     """crc32 of an id as text; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -15,8 +15,8 @@ occurrence stays and the lines of all later ones are deleted.  Maximal repeated
 runs are the unions of these stretches.  A stretch has at most ``min_words``
 lines, which bounds the rounds of doubling by the logarithm of that.
 
-Order is by id (nulls last), then by place in the document.  A word count is one more than
-the number of spaces in the trimmed line.
+Order is by id (nulls last), then by place in the document.  Words are runs of characters
+other than ASCII white space.
 
 Defined cases: null and empty texts have no lines and stay as they are; blank
 lines are never deleted and don't interrupt a run; rows with the same id and
@@ -29,9 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, mixing
 
 _KEYS = ["_k1", "_k2"]
+#: A passage's copies are dealt to at most so many places.
+SALTS = 64
 _BLANK = r"'\t\n\u000b\f\r '"
 
 
@@ -50,10 +52,11 @@ def _ranked(groups: DataFrame, names: list[str], rank: str) -> DataFrame:
 def repeated_lines(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_k1, _k2 (the document) and deleted, the places (from 0) of its lines in later copies of repeated runs."""
     line = F.col("_line")
-    spaces = F.octet_length(F.col("_trim")) - F.octet_length(F.replace(F.col("_trim"), F.lit(" "), F.lit("")))
-    lines = _keyed(docs, id_col, text_col).select(*_KEYS, F.col(id_col).alias("_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_pos", "_line"))
+    words = mixing.word_count(F.col("_line"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    lines = _keyed(rows, "_id", "_text").select(*_KEYS, "_id", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
     lines = lines.withColumn("_trim", F.expr(f"btrim(_line, {_BLANK})")).where("_trim <> ''")
-    lines = lines.select(*_KEYS, "_id", "_pos", F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(1), line).alias("_h2"), (spaces + 1).cast("long").alias("_words"))
+    lines = lines.select(*_KEYS, "_id", "_pos", F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(1), line).alias("_h2"), words.alias("_words"))
     lines = lines.repartition(*_KEYS).dropDuplicates([*_KEYS, "_pos"])
     in_doc = Window.partitionBy(*_KEYS)
     lines = common.stored(lines.withColumn("_seq", F.row_number().over(in_doc.orderBy("_pos"))), "lines")
@@ -95,20 +98,28 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_i
     every = F.concat(F.transform("items", lambda x, i: stretch(i, x["f"])), F.transform("items", lambda x, i: stretch(i - x["b"] + 1, x["b"])))
     found = islands.select(*_KEYS, "_id", F.explode(F.array_distinct(F.filter(every, lambda x: x["a"].isNotNull() & x["b"].isNotNull()))).alias("x")).select(*_KEYS, "_id", "x.*")
     found = found.withColumn("place", F.struct(F.col("_id").isNull().alias("none"), "_id", *_KEYS, "start"))
-    first = found.groupBy("n", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = found.join(first, ["n", "a", "b"]).where(~F.col("place").eqNullSafe(F.col("first")))
+    # a passage that very many documents have is spread over salts: least of each, then of all, and back
+    found = common.stored(found.withColumn("salt", F.pmod(F.col("_k1"), F.lit(SALTS))), "stretches")
+    each = found.groupBy("n", "a", "b", "salt").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
+    every = each.groupBy("n", "a", "b").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"), F.collect_list("salt").alias("salts")).where("copies > 1")
+    first = every.select("n", "a", "b", F.explode("salts").alias("salt"), "first")
+    later = found.join(first, ["n", "a", "b", "salt"]).where(~F.col("place").eqNullSafe(F.col("first")))
     return later.select(*_KEYS, F.explode("places").alias("pos")).groupBy(*_KEYS).agg(F.array_sort(F.collect_set("pos")).alias("deleted"))
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents and columns, with the later copies of repeated runs cut from the text, and _deleted, the places of the lines cut."""
-    deleted = repeated_lines(docs, min_words=min_words, id_col=id_col, text_col=text_col).withColumnRenamed("deleted", "_deleted")
-    joined = _keyed(docs, id_col, text_col).join(deleted, _KEYS, "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_deleted"))
+    """All documents and columns, with the later copies of repeated runs cut from the text, and the places of the lines cut.
+
+    The last column has those places; it is _deleted, or that with more underscores where a column has the name.
+    """
+    deleted = repeated_lines(docs, min_words=min_words, id_col=id_col, text_col=text_col)
+    rows = _keyed(docs.select(common.packed(docs).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    joined = rows.join(deleted, _KEYS, "left")
+    lines = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted"))
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_deleted").isNull(), F.col(text_col)).otherwise(cut)
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), "_deleted")
+    text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(cut)
+    return joined.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns), F.col("deleted").alias(common.unused("_deleted", docs.columns)))
 
 
 #: What dedup_lines cuts, for the column names of ``documents`` and min_words 50; ids are taken to be different.
@@ -117,7 +128,7 @@ WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents WHERE text IS NOT NULL
 ), filled AS (
-  SELECT doc_id, line, pos, length(trim(line, E'\\t\\n\\x0b\\f\\r ')) - length(replace(trim(line, E'\\t\\n\\x0b\\f\\r '), ' ', '')) + 1 AS words,
+  SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words,
          row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq
   FROM raw WHERE trim(line, E'\\t\\n\\x0b\\f\\r ') <> ''
 ), placed AS (

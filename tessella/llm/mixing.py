@@ -87,13 +87,15 @@ def weights(totals: DataFrame, exponent: float) -> DataFrame:
 def mix_sources(docs: DataFrame, *, repetition_limit: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows of the mixture: the columns ``keep`` (all by default), with _epoch (from 0), _weight and _place, an order within the pass.
 
-    ``budget``: words of the mixture; by default the least that gives every source one whole pass.
+    ``budget``: words of the mixture; by default the least that gives every
+    source one whole pass.  Where a column kept has one of the three names, the
+    new column's has more underscores; the three are always the last.
     """
     keep = keep or docs.columns
     # texts don't travel: only ids, sizes and sources are ranked, and the copies of a document are made at the end
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col))
-    sized = docs.withColumn("_words", word_count(F.col(text_col))).withColumn("_key", key)
-    rows = common.checkpoint(sized.select(F.col(source_col).alias("source"), "_key", "_words"))
+    sized = docs.select(common.packed(docs, keep).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("_words"), key.alias("_key"))
+    rows = common.checkpoint(sized.select("source", "_key", "_words"))
     totals = source_totals(rows, "source")
     exponent = exponent_for_entropy(totals, entropy) if entropy is not None else exponent_for_repetition(totals, repetition_limit) if repetition_limit is not None else 1.0
     plan = weights(totals, exponent)
@@ -115,8 +117,12 @@ def mix_sources(docs: DataFrame, *, repetition_limit: float | None = 2.0, entrop
     within = Window.partitionBy("_s", "_block").orderBy(F.xxhash64("_key", "full"), "_key").rowsBetween(Window.unboundedPreceding, 0)
     placed = blocked.withColumn("_upto", F.sum("_words").over(within))
     placed = placed.join(by_block, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")))
-    copies = placed.select("_key", F.col("weight").alias("_weight"), (F.col("full") + F.when((F.col("rest") > 0) & (F.col("_upto") <= F.col("_room")), 1).otherwise(0)).alias("_copies"), "_block")
-    copies = copies.groupBy("_key").agg(F.max("_weight").alias("_weight"), F.max("_copies").alias("_copies"), F.max("_block").alias("_block"))
-    mixed = sized.join(copies, "_key").where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    extra = ((F.col("rest") > 0) & (F.col("_upto") <= F.col("_room"))).cast("long")
+    copies = placed.groupBy("_key").agg(F.max("weight").alias("_weight"), F.max("full").alias("_full"), F.sum(extra).alias("_extra"), F.max("_block").alias("_block"))
+    # rows with the same id, source and text are told apart by a number, and as many of them as were placed get a copy more
+    mixed = sized.select("row", "_key").join(copies, "_key").withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_block")))
+    mixed = mixed.withColumn("_copies", F.col("_full") + (F.col("_nth") <= F.col("_extra")).cast("long"))
+    mixed = mixed.where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     place = F.struct(F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_block")), F.xxhash64("_key", "_epoch"))
-    return mixed.select(*keep, "_epoch", "_weight", place.alias("_place"))
+    added = {"_epoch": F.col("_epoch"), "_weight": F.col("_weight"), "_place": place}
+    return mixed.select(*(F.col(f"row.`{c}`").alias(c) for c in keep), *(c.alias(common.unused(name, keep)) for name, c in added.items()))

@@ -86,7 +86,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents in which no source is repeated more than twice: a row for each copy."""
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), repetition_limit=2.0, keep=["doc_id", "source"])
-    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.round("_weight", 9).alias("weight"))
+    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.round("_weight", 9).alias("weight"), F.col("_place.col1").alias("block_order"), F.col("_place.col2").alias("order_in_block"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
