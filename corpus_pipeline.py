@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later copies of runs of lines."""
     cut = lines.dedup_lines(docs)
-    return cut.withColumn("n_chars", F.when(F.col("_deleted").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    n_chars = F.when(F.col(cut.columns[-1]).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture in which no source is repeated more than twice."""
-    return mixing.mix_sources(docs, repetition_limit=2.0).select(*docs.columns)
+    """The mixture in which no source is repeated more than twice, in the order of its passes and their permutations of blocks."""
+    mixed = mixing.mix_sources(docs, repetition_limit=2.0)
+    return mixed.orderBy(mixed.columns[-3], mixed.columns[-1]).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
