@@ -216,7 +216,7 @@ SKETCH_WORDS, DEVIATIONS = 4, 3
 SEGMENTS = 64 * SKETCH_WORDS // SEGMENT
 #: Hash functions whose least and greatest values are the extremes; the first are those of the sketch.
 FUNCTIONS = -(-SEGMENTS // 2)
-#: Candidates of a node in a group: at first, and by how much more in each round in which some are left.
+#: Candidates of a node in a group: in the first round of all keys, and by how much more in each round in which some are left.
 NEAREST, MORE = 2, 16
 _SKETCH = [f"_s{k}" for k in range(SKETCH_WORDS)]
 _EXTREMES = [f"_m{k}" for k in range(SEGMENTS)]
@@ -415,19 +415,22 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     In each round the nodes of a key that aren't in one class yet give
     candidates: for each node the nearest ones of other classes by their
     sketches, and the least.  Candidates are verified by their whole sets of
-    shingles, and classes are joined along those that pass.  Rounds go on with
-    more candidates until no node of a key has one left that wasn't tested, so
-    every pair with a common key and close sketches is either in one class or
-    tested.  A key with up to ``split`` nodes is one row of the work, one with
+    shingles, and classes are joined along those that pass.  The first round
+    takes the keys of one segment only, which joins most of a large group of
+    copies, so that the keys of the others have few unlike nodes.  Rounds go on
+    with more candidates until no node of a key has one left that wasn't tested,
+    so every pair with a common key and close sketches is either in one class
+    or tested.  A key with up to ``split`` nodes is one row of the work, one with
     more is cut to blocks of which each pair is a row.
     """
-    most, nearest = most_bits(similarity), NEAREST
+    most, nearest, every = most_bits(similarity), 1, keys
     member = F.collect_list(F.struct("node", "class", *_SKETCH))
     tested = links = roots = None
     while True:
         sketch = nodes.select("node", F.col("node").alias("class"), *_SKETCH)
         if roots is not None:
             sketch = nodes.select("node", *_SKETCH).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"), *_SKETCH)
+        keys = every.where(F.col("key").bitwiseAND(F.lit(15)) == 0) if roots is None else every
         unlike = F.min("class") < F.max("class")
         whole = keys.where(F.col("n") <= split).join(sketch, "node").groupBy("key").agg(member.alias("left"), unlike.alias("unlike")).where("unlike")
         whole = whole.select("left", F.lit(None).cast(whole.schema["left"].dataType).alias("right"))
@@ -445,11 +448,11 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         passed = common.stored(verified(new, sets, similarity), "similar")
         links = passed if links is None else links.unionByName(passed)
         tested = found.select("u", "v") if tested is None else tested.unionByName(new)
-        last = not found.where("more").limit(1).count()
+        last = roots is not None and found.where("more").isEmpty()
         roots = components(links)
         if last:
             return roots
-        nearest *= MORE
+        nearest = nearest * MORE if nearest > 1 else NEAREST
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
