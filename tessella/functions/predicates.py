@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Any
 
@@ -44,9 +45,10 @@ def search(text: str, *columns: str) -> Column:
     return reduce(lambda a, b: a | b, (contains(F.col(c), text) for c in columns))
 
 
-def json_value(column: str, path: str, kind: str = "string") -> Column:
-    """A typed value of a JSON column; a missing path or a bad value is null."""
-    return F.get_json_object(F.col(column), f"$.{path}").try_cast(kind)
+def json_value(column: str, path: str | list[str], kind: str = "string") -> Column:
+    """A typed value of a JSON column at a key (dots are part of it) or a list of keys; a missing one or a bad value is null."""
+    keys = [path] if isinstance(path, str) else path
+    return F.get_json_object(F.col(column), "$" + "".join(f"['{k}']" for k in keys)).try_cast(kind)
 
 
 def json_filter(column: str, field: str, operator: str, value: Any) -> Column:
@@ -63,8 +65,7 @@ def json_present(column: str) -> Column:
 
 def glob(column: Column, pattern: str) -> Column:
     """Whole-string match where * stands for anything."""
-    quoted = r"\E.*\Q".join(pattern.split("*"))
-    return column.rlike(rf"(?s)^\Q{quoted}\E$")
+    return column.rlike("(?s)^" + ".*".join(re.sub(r"([^\w])", r"\\\1", part, flags=re.ASCII) for part in pattern.split("*")) + r"\z")
 
 
 def length_between(column: str, low: int, high: int) -> Column:
@@ -83,3 +84,26 @@ def ratio(part: Column, whole: Column, default: float = 0.0) -> Column:
 
 def millis_between(start: str, end: str) -> Column:
     return ((F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / 1000).cast("long")
+
+
+#: The shape of a UUID.
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
+
+def is_uuid(column: Column) -> Column:
+    return F.coalesce(column.rlike(UUID), F.lit(False))
+
+
+def has_prefix(column: Column, prefixes: list[str]) -> Column:
+    """Whether a text starts with one of the prefixes."""
+    return reduce(lambda a, b: a | b, (F.startswith(column, F.lit(p)) for p in prefixes), F.lit(False))
+
+
+def contains_any(column: Column, parts: list[str]) -> Column:
+    """Whether a text contains one of the parts, whatever the case."""
+    return F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(column), F.lower(p)))
+
+
+def violations(rules: dict[str, Column]) -> Column:
+    """Names of the rules that a row breaks (false or null), in their order."""
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import utc
+
 
 def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    return F.unix_micros(utc(ts))
 
 
 def sliding_count(requests: DataFrame, window_seconds: int, *, key: str = "key", ts: str = "ts") -> DataFrame:

@@ -18,12 +18,18 @@ def orphans(children: DataFrame, parents: DataFrame, fk: str, key: str) -> DataF
     return children.join(parents.select(F.col(key).alias(fk)), fk, "left_anti")
 
 
-def nest(parents: DataFrame, children: DataFrame, key: str, fk: str, columns: list[str], name: str) -> DataFrame:
-    """Parents with an array of their children's columns, sorted; empty, not null, without children.
+def nest(parents: DataFrame, children: DataFrame, key: str, fk: str, columns: list[str], name: str, *, order: list[Column] | None = None, limit: int | None = None) -> DataFrame:
+    """Parents with an array of their children's columns; empty, not null, without children.
 
+    The array is sorted by its columns, or holds the first ``limit`` children in the ``order``.
     Children are grouped before the join, so several nests of one parent don't multiply rows.
     """
-    grouped = children.groupBy(F.col(fk).alias(key)).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    if limit is None:
+        member = F.array_sort(F.collect_list(F.struct(*columns)))
+    else:
+        children = newest(children, fk, order or [F.col(c) for c in columns], limit)
+        member = F.transform(F.array_sort(F.collect_list(F.struct("rn", *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns)))
+    grouped = children.groupBy(F.col(fk).alias(key)).agg(member.alias(name))
     joined = parents.join(grouped, key, "left")
     return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
 
@@ -39,7 +45,7 @@ def delete_guard(agents: DataFrame, workflows: DataFrame, executions: DataFrame,
     running = running.groupBy(F.col("agent_id").alias("id")).agg(F.count("*").alias("running_executions"))
     active = sessions.where(F.col("status") == "ACTIVE").groupBy(F.col("agent_id").alias("id")).agg(F.count("*").alias("active_sessions"))
     out = agents.select("id").join(running, "id", "left").join(active, "id", "left").fillna(0, ["running_executions", "active_sessions"])
-    reason = F.when(F.col("running_executions") > 0, F.format_string("Agent has %d active workflows", "running_executions")).when(F.col("active_sessions") > 0, F.format_string("Agent has %d active conversation sessions", "active_sessions"))
+    reason = F.when(F.col("running_executions") > 0, F.format_string("Agent has %d active workflow(s)", "running_executions")).when(F.col("active_sessions") > 0, F.format_string("Agent has %d active conversation(s)", "active_sessions"))
     return out.withColumn("reason", reason).withColumn("can_delete", F.col("reason").isNull())
 
 

@@ -30,16 +30,45 @@ def set_where(rows: DataFrame, predicate: Column, values: dict[str, Column]) ->
     return rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def apply_changes(rows: DataFrame, changes: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
-    """The table with a DataFrame of changes by id; a null in a change keeps the old value."""
-    new = changes.select(F.col(id_col), *(F.col(c).alias(f"_new_{c}") for c in columns))
+def last_by_id(changes: DataFrame, columns: list[str], id_col: str = "id", order: str | None = None) -> DataFrame:
+    """One row for each id: the one with the greatest ``order``, and among equals (or without an order) the greatest in its columns."""
+    row = F.struct(*columns)
+    by = row if order is None else F.struct(order, *columns)
+    return changes.groupBy(id_col).agg(F.max_by(row, by).alias("_last")).select(id_col, *(F.col(f"_last.{c}").alias(c) for c in columns))
+
+
+def apply_changes(rows: DataFrame, changes: DataFrame, columns: list[str], id_col: str = "id", order: str | None = None) -> DataFrame:
+    """The table with a DataFrame of changes by id; a null in a change keeps the old value.
+
+    Of several changes of one id the last by ``order`` counts, so no row is repeated.
+    """
+    new = last_by_id(changes, columns, id_col, order).select(F.col(id_col), *(F.col(c).alias(f"_new_{c}") for c in columns))
     joined = rows.join(new, id_col, "left")
     return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else c for c in rows.columns))
 
 
-def complete_invocations(invocations: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """Invocations with results (id, result, status, duration): a missing status is 'completed', a missing duration the old one."""
+def complete_invocations(invocations: DataFrame, results: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:
+    """Invocations with results (id, result, status, duration): a missing status is 'completed', a missing duration the old one; of several results of one id the last by ``order`` counts."""
+    results = last_by_id(results, ["result", "status", "duration"], order=order)
     done = results.select("id", F.col("result").alias("_result"), F.coalesce("status", F.lit("completed")).alias("_status"), F.col("duration").alias("_duration"), F.lit(True).alias("_done"))
     joined = invocations.join(done, "id", "left")
     new = {"result": F.col("_result"), "status": F.col("_status"), "duration": F.coalesce("_duration", "duration"), "completed_at": as_of}
     return set_where(joined, F.col("_done"), new).select(*invocations.columns)
+
+
+def touch(sessions: DataFrame, activity: DataFrame, *, id_col: str = "id", at: str = "at", column: str = "last_activity") -> DataFrame:
+    """Sessions with their last activity moved up to the greatest time of theirs; it never moves back."""
+    latest = activity.groupBy(F.col(id_col)).agg(F.max(at).alias("_at"))
+    return sessions.join(latest, id_col, "left").withColumn(column, F.greatest(column, "_at")).select(*sessions.columns)
+
+
+def days_before(as_of: Column, days: int) -> Column:
+    """The time so many days earlier."""
+    return as_of - F.make_dt_interval(F.lit(days))
+
+
+def replace_json(rows: DataFrame, changes: DataFrame, column: str, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """The table with a JSON column replaced, by id, by the other columns of the changes as one JSON object."""
+    values = [c for c in changes.columns if c not in (id_col, order)]
+    new = last_by_id(changes, values, id_col, order).select(id_col, F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias(column))
+    return apply_changes(rows, new, [column], id_col)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import ratio
+from .retention import replace_json
 
 
 def invocation_stats(invocations: DataFrame, *, key: str = "tool_id", status: str = "status", duration: str = "duration") -> DataFrame:
@@ -21,6 +22,34 @@ def store_stats(embeddings: DataFrame, *, store: str = "vector_store_id", docume
     return out.withColumn("avg_chunks_per_document", ratio(F.col("total_vectors"), F.col("unique_documents")))
 
 
+def store_contract(embeddings: DataFrame, queries: DataFrame, *, store: str = "vector_store_id", document: str = "document_id", size: Column, updated: str = "created_at", millis: str = "duration_ms") -> DataFrame:
+    """Per store: total_vectors, total_documents, index_size_mb, last_updated, query_count, avg_query_time_ms; stores without queries have 0."""
+    held = embeddings.groupBy(store).agg(F.count("*").alias("total_vectors"), F.countDistinct(document).alias("total_documents"), (F.sum(size) / 1e6).alias("index_size_mb"), F.max(updated).alias("last_updated"))
+    asked = queries.groupBy(store).agg(F.count("*").alias("query_count"), F.avg(millis).alias("avg_query_time_ms"))
+    return held.join(asked, store, "left").fillna({"query_count": 0, "avg_query_time_ms": 0.0})
+
+
+def refreshed(stores: DataFrame, embeddings: DataFrame, added: DataFrame, *, store: str = "vector_store_id") -> DataFrame:
+    """Stores whose JSON ``statistics`` is computed anew, once for each store that the added embeddings name; others stay."""
+    touched = added.select(store).distinct()
+    every = embeddings.unionByName(added).join(touched, store, "left_semi")
+    new = every.groupBy(F.col(store).alias("id")).agg(F.count("*").alias("total_vectors"), F.countDistinct("document_id").alias("total_documents"))
+    return replace_json(stores, new, "statistics")
+
+
+def latency(requests: DataFrame, keys: list[Column], duration: Column, failed: Column, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Per key: n, failures, failure_rate (percent), mean, and exact percentiles p50, p95, ... of the durations."""
+    marks = [F.percentile(duration, s).alias(f"p{round(100 * s)}") for s in shares]
+    out = requests.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(failed).alias("failures"), F.avg(duration).alias("mean"), *marks)
+    return out.withColumn("failure_rate", ratio(F.col("failures") * 100, F.col("n")))
+
+
+def metric_percentiles(results: DataFrame, metrics: Column, shares: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
+    """Per metric of a map column: exact percentiles p50, p90, ... (linear between two values)."""
+    rows = results.select(F.explode(metrics).alias("metric", "v"))
+    return rows.groupBy("metric").agg(*(F.percentile("v", s).alias(f"p{round(100 * s)}") for s in shares))
+
+
 def evaluation_summary(results: DataFrame, passed: Column) -> DataFrame:
     """total, passed, failed and pass_rate (percent)."""
     out = results.agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"))

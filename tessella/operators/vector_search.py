@@ -47,11 +47,13 @@ def _pack(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def batch_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, max_queries: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """query_id, rank, id, score (cosine) for any number of queries; more than ``max_queries``, if given, are an error.
 
-    Blocks of queries meet tiles of vectors in the cluster; each tile keeps its
+    Vectors that are null or hold a null or NaN take no part.  Blocks of queries meet tiles of vectors in the cluster; each tile keeps its
     k best by query, and a window merges those.
     """
     if max_queries is not None and queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries: search them in parts")
+    good = lambda c: F.col(c).isNotNull() & ~F.exists(F.col(c).cast("array<double>"), lambda x: x.isNull() | F.isnan(x))
+    vectors, queries = vectors.where(good(vector_col)), queries.where(good(vector_col))
     tiles = _pack(vectors, id_col, vector_col).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
     blocks = _pack(queries, id_col, vector_col).select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("group"))
 
@@ -64,7 +66,11 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, max_quer
                 v, own = v[size > 0] / size[size > 0, None], own[size > 0]
                 for a in range(0, len(q_ids), STEP_ROWS):
                     scores = unit[a : a + STEP_ROWS] @ v.T
-                    order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
+                    scores, kept = np.round(scores, 9), min(k, len(own))
+                    # the k-th best score, then the smaller ids among those that reach it
+                    least = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1 : kept] if kept else scores
+                    rank = np.where(scores > least, 0, np.where(scores == least, 1, 2)) * len(own) + np.argsort(np.argsort(own))
+                    order = np.argpartition(rank, kept - 1, axis=1)[:, :kept] if kept else rank[:, :0].astype(int)
                     yield pd.DataFrame({"query_id": np.repeat(q_ids[a : a + STEP_ROWS], order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
     kind = vectors.schema[id_col].dataType.simpleString()

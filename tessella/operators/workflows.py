@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import ratio
 from ..sources.tables import checkpointed
 
 
@@ -48,8 +49,27 @@ def retryable(results: DataFrame, attempts: int = 3) -> DataFrame:
 
 
 def memory_window(messages: DataFrame, *, max_history: int = 100, context_window: int = 4000, key: str = "session_id", order: str = "created_at", id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """The newest messages of each session, at most ``max_history`` and at most ``context_window`` characters in all."""
+    """The newest messages of each session, at most ``max_history`` and at most ``context_window`` characters in all; a null text has none."""
     newest = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col(id_col).desc())
     rows = messages.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= max_history)
-    rows = rows.withColumn("_chars", F.sum(F.length(text_col)).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_chars", F.sum(F.coalesce(F.length(text_col), F.lit(0))).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where(F.col("_chars") <= context_window).drop("_rn", "_chars")
+
+
+def with_fallback(steps: DataFrame, results: DataFrame, attempts: int = 3) -> DataFrame:
+    """workflow_id, step_id, next: 'retry' for a failed step with attempts left, then its fallback step, or 'give up' without one."""
+    failed = results.where(F.col("status") == "FAILED").join(steps.select("workflow_id", "step_id", "fallback"), ["workflow_id", "step_id"])
+    following = F.when(F.col("attempts") < attempts, "retry").otherwise(F.coalesce(F.col("fallback").cast("string"), F.lit("give up")))
+    return failed.select("workflow_id", "step_id", following.alias("next"))
+
+
+def run_progress(results: DataFrame) -> DataFrame:
+    """workflow_id, total, completed, percent and duration_ms (of the completed steps) from results with start and end in milliseconds."""
+    done = F.col("status") == "COMPLETED"
+    out = results.groupBy("workflow_id").agg(F.count("*").alias("total"), F.count_if(done).alias("completed"), F.coalesce(F.sum(F.when(done, F.col("end_ms") - F.col("start_ms"))), F.lit(0)).cast("long").alias("duration_ms"))
+    return out.withColumn("percent", ratio(F.col("completed") * 100, F.col("total")))
+
+
+def assign_roles(steps: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Steps with the agent that plays their role; null where no agent does."""
+    return steps.join(mapping.select("role", "agent_id").distinct(), "role", "left")

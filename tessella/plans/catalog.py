@@ -169,7 +169,7 @@ def recent_topk(spark, d):
 WITH running AS (SELECT c_nationkey AS id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_totalprice > 250000 GROUP BY 1),
      active AS (SELECT s_nationkey AS id, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
 SELECT CAST(n_nationkey AS BIGINT) AS id, coalesce(r.n, 0) AS running_executions, coalesce(a.n, 0) AS active_sessions, coalesce(r.n, 0) = 0 AND coalesce(a.n, 0) = 0 AS can_delete,
-       CASE WHEN r.n > 0 THEN 'Agent has ' || r.n || ' active workflows' WHEN a.n > 0 THEN 'Agent has ' || a.n || ' active conversation sessions' END AS reason
+       CASE WHEN r.n > 0 THEN 'Agent has ' || r.n || ' active workflow(s)' WHEN a.n > 0 THEN 'Agent has ' || a.n || ' active conversation(s)' END AS reason
 FROM nation LEFT JOIN running r ON r.id = n_nationkey LEFT JOIN active a ON a.id = n_nationkey
 """)
 def delete_guard(spark, d):
@@ -325,14 +325,14 @@ def vector_filtered_topk(spark, d):
 
 
 @_query("""
-WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id < 8),
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, vec_id, c, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, round(c, 6) AS score FROM r WHERE rank <= 10
 """)
 def vector_batch_topk(spark, d):
-    """Eight queries at once."""
+    """Many queries at once."""
     v = _t(spark, d, "embeddings")
-    found = vector_search.batch_top_k(v, v.where("vec_id < 8"), id_col="vec_id", vector_col="embedding")
+    found = vector_search.batch_top_k(v, v.where("vec_id % 20 = 0"), id_col="vec_id", vector_col="embedding")
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
@@ -387,10 +387,10 @@ def keep_newest_n(spark, d):
     return retention.beyond_newest(_t(spark, d, "conversations"), "conv_id", [F.desc("turn")], 3).select("conv_id", "turn")
 
 
-@_query("SELECT l_orderkey % 2 = 0 AS deleted, count(*) AS n FROM lineitem WHERE l_partkey = 17 GROUP BY 1")
+@_query("SELECT l_partkey = 17 AND l_orderkey % 2 = 0 AS deleted, count(*) AS n FROM lineitem GROUP BY 1")
 def delete_by_document_counts(spark, d):
     """How many rows a bulk delete takes and leaves."""
-    stay, go = retention.delete_where(_t(spark, d, "lineitem").where("l_partkey = 17"), F.col("l_orderkey") % 2 == 0)
+    stay, go = retention.delete_where(_t(spark, d, "lineitem"), (F.col("l_partkey") == 17) & (F.col("l_orderkey") % 2 == 0))
     return stay.select(F.lit(False).alias("deleted")).unionByName(go.select(F.lit(True).alias("deleted"))).groupBy("deleted").agg(F.count("*").alias("n"))
 
 
@@ -441,7 +441,7 @@ def limiter_a_stream(spark, d):
 def last_activity_stream(spark, d):
     """Running statistics by key."""
     schema = _t(spark, d, "events").schema
-    out = limiters.run_once(limiters.last_activity(limiters.file_stream(spark, d, "events.parquet", schema)), "complete")
+    out = limiters.run_once(limiters.last_activity(limiters.file_stream(spark, d, "events.parquet", schema)), "update", "user_id")
     return out.withColumn("last_activity", F.col("last_activity").cast("timestamp_ntz"))
 
 

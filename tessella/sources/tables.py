@@ -55,9 +55,21 @@ def read(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     return reader.parquet(path)
 
 
+def read_source(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:
+    """Rows to embed from a source: ``text`` (a column text with a row for each line, or each file with wholetext), ``parquet``, ``json``, ``csv``, or ``jdbc`` with the database's URL as the path."""
+    if kind == "text":
+        return spark.read.options(**options).text(path).withColumnRenamed("value", "text")
+    if kind in ("parquet", "json", "csv"):
+        return spark.read.format(kind).options(**options).load(path)
+    if kind == "jdbc":
+        return spark.read.format("jdbc").options(url=path, **options).load()
+    raise ValueError(f"unknown source {kind!r}; known: text, parquet, json, csv, jdbc")
+
+
 def utc(column: str) -> Column:
-    """A time without zone as a UTC timestamp, which watermarks need (the session's zone is to be UTC)."""
-    return F.col(column).cast("timestamp")
+    """A time as a timestamp, which watermarks need; one without zone is taken as UTC, whatever the session's zone."""
+    c = F.col(column)
+    return F.when(F.typeof(c) == "timestamp_ntz", F.concat(c.cast("string"), F.lit("Z")).cast("timestamp")).otherwise(c.cast("timestamp"))
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -70,6 +82,22 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def with_defaults(rows: DataFrame, table: str, as_of: Column, **defaults: Column) -> DataFrame:
+    """Rows with all columns of a declared table: given defaults where a value is missing, a new id, and the times of now."""
+    schema = SCHEMAS[table]
+    times = {c: as_of for c in ("created_at", "updated_at", "last_activity") if c in schema.names}
+    filled = {"id": F.expr("uuid()"), **times, **defaults}
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    return rows.select(*((F.coalesce(have(f.name), filled[f.name]) if f.name in filled else have(f.name)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def insert_with_children(parent: DataFrame, path: str, children: list[tuple[DataFrame, str]]) -> None:
+    """Append a parent table's rows and then those of its children, so that no reader sees a child without its parent."""
+    append(parent, path)
+    for rows, at in children:
+        append(rows, at)
+
+
 def insert_missing(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in the table yet: what to append."""
     return rows.join(table.select(key), key, "left_anti")
@@ -83,8 +111,12 @@ def audit(changes: DataFrame, action: str, entity_type: str, as_of: Column, *, i
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one where none is named (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tessella-")
+    """A new path in the folder that all executors share; a local master may go without and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessella-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

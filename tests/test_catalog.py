@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tessella.plans import contracts
 from tessella.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +46,16 @@ def test_limiter_stream_equals_a_sequential_run(spark):
         allowed, _, _ = decide([t for t, _ in own], [], 2, 86400 * 10**6)
         want |= {e: a for (_, e), a in zip(own, allowed, strict=True)}
     assert {r["id"]: r["allowed"] for r in QUERIES["limiter_a_stream"](spark, DATA).collect()} == want
+
+
+def test_sessions_equal_a_sequential_run(spark):
+    from tessella.streaming.limiters import session_step
+
+    rows = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("event_id", "user_id", "event_type", "props", "unix_micros(cast(ts as timestamp)) at").collect()
+    want, sessions = {}, {}
+    for r in sorted(rows, key=lambda r: (r["at"], r["event_id"])):
+        op = contracts.SESSION_OPS[r["event_type"]]
+        ok, sessions[r["user_id"]] = session_step(sessions.get(r["user_id"]), op, r["at"], r["props"], None, 86400)
+        want[r["event_id"]] = (ok, r["props"] and sessions[r["user_id"]][0] if ok and op == "get" else None)
+    got = {r["id"]: (r["ok"], r["data"]) for r in QUERIES["session_state_stream"](spark, DATA).collect()}
+    assert got == want and any(ok for ok, _ in want.values()) and not all(ok for ok, _ in want.values())

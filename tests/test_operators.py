@@ -104,3 +104,78 @@ def test_window_boundary_and_burst(spark):
 def test_cycle_has_no_level(spark):
     steps = spark.createDataFrame([(1, "a", ["b"]), (1, "b", ["a"]), (1, "c", [])], "workflow_id int, step_id string, dependencies array<string>")
     assert {r.step_id: r.level for r in workflows.levels(steps).collect()} == {"a": None, "b": None, "c": 0}
+
+
+def test_repeated_changes_keep_one_row(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, status string")
+    changes = spark.createDataFrame([(1, "c", 1), (1, "b", 2), (3, "x", 1)], "id int, status string, at int")
+    got = retention.apply_changes(rows, changes, ["status"], order="at")
+    assert sorted(map(tuple, got.collect())) == [(1, "b"), (2, "b")]
+    assert sorted(map(tuple, retention.apply_changes(rows, changes, ["status"]).collect())) == [(1, "c"), (2, "b")]
+    open_ = spark.createDataFrame([(1, None, "running", 5, None)], "id int, result string, status string, duration int, completed_at timestamp")
+    results = spark.createDataFrame([(1, "{}", None, 7), (1, "{1}", "failed", None)], "id int, result string, status string, duration int")
+    assert retention.complete_invocations(open_, results, F.current_timestamp()).count() == 1
+
+
+def test_batch_top_k_leaves_out_nulls_and_breaks_ties_by_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (7, [2.0, 0.0]), (5, [1.0, 0.0]), (9, [0.0, 1.0]), (8, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = vector_search.batch_top_k(df, df.where("id in (0, 1)"), k=2).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.id) for r in got] == [(0, 1, 0), (0, 2, 5)]
+    assert vector_search.batch_top_k(df.limit(0), df).count() == 0
+
+
+def test_globs_and_json_keys(spark):
+    df = spark.createDataFrame([("cls:a\\E.b:id7", '{"a.b": 1, "a": {"b": 2}}'), ("cls:x", "{}")], "k string, j string")
+    assert [r.k for r in df.where(P.glob(F.col("k"), "cls:*\\E.*:id*")).collect()] == ["cls:a\\E.b:id7"]
+    assert df.where(P.glob(F.col("k"), "*")).count() == 2 and df.where(P.glob(F.col("k"), "ls*")).count() == 0
+    r = df.select(P.json_value("j", "a.b", "int").alias("dotted"), P.json_value("j", ["a", "b"], "int").alias("nested")).first()
+    assert (r.dotted, r.nested) == (1, 2)
+
+
+def test_times_without_zone_are_utc(spark):
+    from tessella.sources.tables import utc
+
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-31 02:30:00.25' AS ts")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        assert df.select(F.unix_micros(utc("ts"))).first()[0] == 1711852200250000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_memory_window_with_a_null_text(spark):
+    df = spark.createDataFrame([("s", 1, 1, "abc"), ("s", 2, 2, None)], "session_id string, created_at int, id int, content string")
+    assert workflows.memory_window(df, context_window=3).count() == 2
+
+
+def test_activity_never_moves_back_and_json_is_replaced(spark):
+    sessions = spark.createDataFrame([(1, 5, "{}"), (2, 9, "{}")], "id int, last_activity int, statistics string")
+    activity = spark.createDataFrame([(1, 7), (2, 3), (1, 6)], "id int, at int")
+    assert sorted((r.id, r.last_activity) for r in retention.touch(sessions, activity).collect()) == [(1, 7), (2, 9)]
+    new = spark.createDataFrame([(1, 3, None)], "id int, n int, at int")
+    assert {r.id: r.statistics for r in retention.replace_json(sessions, new, "statistics").collect()} == {1: '{"n":3,"at":null}', 2: "{}"}
+
+
+def test_sessions_expire():
+    from tessella.streaming.limiters import session_step
+
+    ok, s = session_step(None, "create", 0, "d", 10, 3600)
+    assert ok and s == ("d", 10_000_000)
+    assert session_step(s, "get", 9_999_999, None, None, 3600) == (True, s)
+    assert session_step(s, "get", 10_000_000, None, None, 3600) == (False, None)
+    assert session_step(s, "extend", 5_000_000, None, None, 3600) == (True, ("d", 3_605_000_000))
+    assert session_step(s, "delete", 1, None, None, 3600) == (True, None)
+    assert session_step(None, "extend", 1, None, None, 3600) == (False, None)
+
+
+def test_reading_and_inserting_with_children(spark, tmp_path):
+    from tessella.sources import tables
+
+    parent, child = (spark.createDataFrame([(1,)], "id int") for _ in range(2))
+    tables.insert_with_children(parent, str(tmp_path / "p"), [(child, str(tmp_path / "c"))])
+    assert spark.read.parquet(str(tmp_path / "p")).count() == spark.read.parquet(str(tmp_path / "c")).count() == 1
+    (tmp_path / "t.txt").write_text("one\ntwo\n")
+    assert [r.text for r in tables.read_source(spark, "text", str(tmp_path / "t.txt")).collect()] == ["one", "two"]
+    with pytest.raises(ValueError):
+        tables.read_source(spark, "tape", "x")
