@@ -211,7 +211,7 @@ def near_duplicate_classes(docs: DataFrame, *, words: int = 3, id_col: str = "do
 # --- classes at a shingle similarity -----------------------------------------
 
 #: 64-bit words of a sketch, and bits by which two sketches may differ beyond the mean of their similarity, in standard deviations.
-SKETCH_WORDS, DEVIATIONS = 4, 3
+SKETCH_WORDS, DEVIATIONS = 4, 2
 #: Segments of a sketch, each of which gives keys with an extreme of the shingles' hashes.
 SEGMENTS = 64 * SKETCH_WORDS // SEGMENT
 #: Hash functions whose least and greatest values are the extremes; the first are those of the sketch.
