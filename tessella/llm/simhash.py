@@ -297,7 +297,10 @@ def _sketch_segments(words: np.ndarray) -> np.ndarray:
 
 
 def _sketch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each segment gives a key for every codeword within 4 bits of it, with an extreme hash; the low 4 bits of a key tell the segment."""
+    """Each segment gives a key for every codeword within 4 bits of it, with an extreme hash.
+
+    The low 4 bits of a key tell the segment, the next 12 the codeword.
+    """
     for batch in common.slices(batches):
         columns = [c.to_numpy() for c in batch.columns]
         node, segments = columns[0], _sketch_segments(np.stack([c.view(np.uint64) for c in columns[1 : 1 + SKETCH_WORDS]], axis=1))
@@ -305,9 +308,8 @@ def _sketch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = codeword_indices(segments[:, j])
             row, col = np.nonzero(codes >= 0)
             extreme = columns[1 + SKETCH_WORDS + j].view(np.uint64)
-            with np.errstate(over="ignore"):
-                keys = common.mix(extreme[row] + ((j << 12) + codes[row, col]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-            keys = keys >> np.uint64(4) << np.uint64(4) | np.uint64(j)
+            low = ((codes[row, col] << 4) + j).astype(np.uint64)
+            keys = common.mix(extreme[row] + low) >> np.uint64(16) << np.uint64(16) | low
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[row])], names=["key", "node"])
 
 
@@ -318,14 +320,16 @@ def most_bits(similarity: float) -> int:
     return round(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5)
 
 
-def candidates(left: list[np.ndarray], right: list[np.ndarray], most: int, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def candidates(left: list[np.ndarray], right: list[np.ndarray], most: int, nearest: int, key: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of nodes of unlike classes whose sketches differ in at most ``most`` bits.
 
     A side is (node, class, words).  Each node of the left gets the ``nearest``
     ones of the right, and the one with the least number; the flag tells
-    whether some node has more.
+    whether some node has more.  A pair that has several codewords of the key's
+    segment in common is left to the key of the first of them.
     """
     us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    segment, code = key & 15, key >> 4 & 4095
     words = [np.stack([w.view(np.uint64) for w in side[2:]], axis=1) for side in (left, right)]
     step = max(1, (1 << 20) // max(1, len(right[0])))
     order = np.argsort(right[0], kind="stable")
@@ -345,26 +349,34 @@ def candidates(left: list[np.ndarray], right: list[np.ndarray], most: int, neare
         close = np.argpartition(far, kept - 1, axis=1)[:, :kept]
         picked = np.concatenate([close, near[some].argmax(1)[:, None]], axis=1)  # argmax: the first of them
         row, col = np.nonzero(np.take_along_axis(near[some], picked, 1))
-        us.append(left[0][own][some[row]])
-        vs.append(right[0][order][picked[row, col]])
+        i, j = some[row], order[picked[row, col]]
+        a, b = (codeword_indices(_sketch_segments(w)[:, segment]) for w in (words[0][own][i], words[1][j]))
+        first = ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0) & (a[:, :, None] < code)).any((1, 2))
+        us.append(left[0][own][i[first]])
+        vs.append(right[0][j[first]])
     return np.concatenate(us), np.concatenate(vs), more
 
 
 def _pairs(most: int, nearest: int):
-    """Candidate pairs of groups: rows (left, right) of members, right null for a group met with itself."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
+    """Candidate pairs of groups: rows (key, left, right) of members, right null for a group met with itself.
+
+    Out come rows (null, u, v), and (key, null, null) of the keys of which some node has more.
+    """
+    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, some = [np.zeros((0, 2), np.int64)], False
-            for r in range(batch.num_rows):
-                left, right = ([f.to_numpy() for f in batch.column(c)[r].values.flatten()] if batch.column(c)[r].is_valid else None for c in (0, 1))
+            found, open_keys = [np.zeros((0, 2), np.int64)], set()
+            for r, key in enumerate(batch.column(0).to_pylist()):
+                left, right = ([f.to_numpy() for f in batch.column(c)[r].values.flatten()] if batch.column(c)[r].is_valid else None for c in (1, 2))
                 for x, y in ((left, left),) if right is None else ((left, right), (right, left)):
-                    u, v, more = candidates(x, y, most, nearest)
+                    u, v, more = candidates(x, y, most, nearest, key)
                     found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
-                    some = some or more
+                    open_keys |= {key} if more else set()
             pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), some))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            none = pa.nulls(len(open_keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(open_keys), pa.int64()), none, none], schema=schema)
 
     return run
 
@@ -418,12 +430,12 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     shingles, and classes are joined along those that pass.  The first round
     takes the keys of one segment only, which joins most of a large group of
     copies, so that the keys of the others have few unlike nodes.  Rounds go on
-    with more candidates until no node of a key has one left that wasn't tested,
-    so every pair with a common key and close sketches is either in one class
-    or tested.  A key with up to ``split`` nodes is one row of the work, one with
+    with more candidates over the keys that are left, until no node of a key has
+    a candidate that wasn't tested, so every pair with a common key and close
+    sketches is either in one class or tested.  A key with up to ``split`` nodes is one row of the work, one with
     more is cut to blocks of which each pair is a row.
     """
-    most, nearest, every = most_bits(similarity), 1, keys
+    most, nearest, every, shape = most_bits(similarity), 1, keys, "key long, u long, v long"
     member = F.collect_list(F.struct("node", "class", *_SKETCH))
     tested = links = roots = None
     while True:
@@ -433,7 +445,7 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         keys = every.where(F.col("key").bitwiseAND(F.lit(15)) == 0) if roots is None else every
         unlike = F.min("class") < F.max("class")
         whole = keys.where(F.col("n") <= split).join(sketch, "node").groupBy("key").agg(member.alias("left"), unlike.alias("unlike")).where("unlike")
-        whole = whole.select("left", F.lit(None).cast(whole.schema["left"].dataType).alias("right"))
+        whole = whole.select("key", "left", F.lit(None).cast(whole.schema["left"].dataType).alias("right"))
         many = keys.where(F.col("n") > split).withColumn("blocks", F.ceil(F.col("n") / (2 * split))).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
         blocks = many.join(sketch, "node").groupBy("key", "i", "blocks").agg(member.alias("members"), F.min("class").alias("least"), F.max("class").alias("most"))
         blocks = common.stored(blocks, "blocks")
@@ -441,17 +453,20 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         blocks = blocks.join(open_keys, "key", "left_semi")
         one = blocks.select("key", "i", F.col("members").alias("left"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
         other = blocks.select("key", F.col("i").alias("j"), F.col("members").alias("right"))
-        between = one.join(other, ["key", "j"]).select("left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
-        found = whole.mapInArrow(_pairs(most, nearest), "u long, v long, more boolean").unionByName(between.mapInArrow(_pairs(most, nearest), "u long, v long, more boolean"))
-        found = common.stored(found.groupBy("u", "v").agg(F.max("more").alias("more")), "candidates")
-        new = found.select("u", "v") if tested is None else found.select("u", "v").join(tested, ["u", "v"], "left_anti")
+        between = one.join(other, ["key", "j"]).select("key", "left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
+        found = whole.mapInArrow(_pairs(most, nearest), shape).unionByName(between.mapInArrow(_pairs(most, nearest), shape))
+        found = common.stored(found.distinct(), "candidates")
+        pairs = found.where("key IS NULL").select("u", "v")
+        new = pairs if tested is None else common.stored(pairs.join(tested, ["u", "v"], "left_anti"), "new")
         passed = common.stored(verified(new, sets, similarity), "similar")
         links = passed if links is None else links.unionByName(passed)
-        tested = found.select("u", "v") if tested is None else tested.unionByName(new)
-        last = roots is not None and found.where("more").isEmpty()
+        tested = new if tested is None else tested.unionByName(new)
+        left, first = found.where("key IS NOT NULL").select("key"), roots is None
         roots = components(links)
-        if last:
-            return roots
+        if not first:
+            if left.isEmpty():
+                return roots
+            every = every.join(left, "key", "left_semi")
         nearest = nearest * MORE if nearest > 1 else NEAREST
 
 
