@@ -74,10 +74,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def codeword_indices(segments: np.ndarray) -> np.ndarray:
-    """Indices (12 bits) of the codewords within 4 bits of each 23-bit word: n x 6, -1 where there is only one."""
+    """Indices (12 bits) of the codewords within 4 bits of each 23-bit word: six more places for each, -1 where there is only one."""
     low, high, patterns = _tables()
     found = patterns[low[segments & 0xFFF] ^ high[segments >> 12]]
-    return np.where(found >= 0, (segments[:, None] ^ found) >> 11, -1)
+    return np.where(found >= 0, (segments[..., None] ^ found) >> 11, -1)
 
 
 # --- fingerprints ------------------------------------------------------------
@@ -220,6 +220,8 @@ FUNCTIONS = -(-SEGMENTS // 2)
 NEAREST, MORE = 2, 16
 _SKETCH = [f"_s{k}" for k in range(SKETCH_WORDS)]
 _EXTREMES = [f"_m{k}" for k in range(SEGMENTS)]
+#: The low 32 bits of the extremes, two to a long.
+_MARKS = [f"_e{k}" for k in range(-(-SEGMENTS // 2))]
 
 
 def bit_sums(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -320,24 +322,47 @@ def most_bits(similarity: float) -> int:
     return round(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5)
 
 
-def candidates(left: list[np.ndarray], right: list[np.ndarray], most: int, nearest: int, key: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _marks(extremes: np.ndarray) -> np.ndarray:
+    """The low 32 bits of extremes (documents x SEGMENTS, 64 bits), two to a long."""
+    low = np.zeros((len(extremes), 2 * len(_MARKS)), "<u4")
+    low[:, :SEGMENTS] = extremes & np.uint64(0xFFFFFFFF)
+    return low.view("<i8")
+
+
+def _side(members: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """node, class, words of the sketch, codewords (members x SEGMENTS x 6) and marks (members x SEGMENTS)."""
+    words = np.stack([w.view(np.uint64) for w in members[2 : 2 + SKETCH_WORDS]], axis=1)
+    marks = np.stack(members[2 + SKETCH_WORDS :], axis=1).view("<u4")[:, :SEGMENTS]
+    return members[0], members[1], words, codeword_indices(_sketch_segments(words)), marks
+
+
+def _first_shared(codes: tuple[np.ndarray, np.ndarray], marks: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+    """Of pairs of members i and j of a key: those that have no key of an earlier segment, or of a lesser codeword, in common."""
+    segment, code, own = key & 15, key >> 4 & 4095, np.ones(len(i), bool)
+    for s in range(segment + 1):
+        at = np.flatnonzero(own & (marks[0][i, s] == marks[1][j, s])) if s < segment else np.flatnonzero(own)
+        a, b = codes[0][i[at], s], codes[1][j[at], s]
+        both = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)
+        own[at] = ~(both if s < segment else both & (a[:, :, None] < code)).any((1, 2))
+    return own
+
+
+def candidates(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most: int, nearest: int, key: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of nodes of unlike classes whose sketches differ in at most ``most`` bits.
 
-    A side is (node, class, words).  Each node of the left gets the ``nearest``
-    ones of the right, and the one with the least number; the flag tells
-    whether some node has more.  A pair that has several codewords of the key's
-    segment in common is left to the key of the first of them.
+    Each node of the left gets the ``nearest`` ones of the right, and the one
+    with the least number; the flag tells whether some node has more.  A pair
+    that has several keys in common is left to the first of them, which is open
+    until it has tested the pair or the two are in one class.
     """
     us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
-    segment, code = key & 15, key >> 4 & 4095
-    words = [np.stack([w.view(np.uint64) for w in side[2:]], axis=1) for side in (left, right)]
     step = max(1, (1 << 20) // max(1, len(right[0])))
     order = np.argsort(right[0], kind="stable")
     for at in range(0, len(left[0]), step):
         own = slice(at, at + step)
         bits = np.zeros((len(left[0][own]), len(order)), np.uint16)
         for k in range(SKETCH_WORDS):
-            bits += np.bitwise_count(words[0][own, None, k] ^ words[1][None, order, k])
+            bits += np.bitwise_count(left[2][own, None, k] ^ right[2][None, order, k])
         near = (bits <= most) & (left[1][own, None] != right[1][None, order])
         n = near.sum(1)
         some = np.flatnonzero(n)
@@ -349,10 +374,9 @@ def candidates(left: list[np.ndarray], right: list[np.ndarray], most: int, neare
         close = np.argpartition(far, kept - 1, axis=1)[:, :kept]
         picked = np.concatenate([close, near[some].argmax(1)[:, None]], axis=1)  # argmax: the first of them
         row, col = np.nonzero(np.take_along_axis(near[some], picked, 1))
-        i, j = some[row], order[picked[row, col]]
-        a, b = (codeword_indices(_sketch_segments(w)[:, segment]) for w in (words[0][own][i], words[1][j]))
-        first = ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0) & (a[:, :, None] < code)).any((1, 2))
-        us.append(left[0][own][i[first]])
+        i, j = at + some[row], order[picked[row, col]]
+        first = _first_shared((left[3], right[3]), (left[4], right[4]), i, j, key)
+        us.append(left[0][i[first]])
         vs.append(right[0][j[first]])
     return np.concatenate(us), np.concatenate(vs), more
 
@@ -368,7 +392,7 @@ def _pairs(most: int, nearest: int):
         for batch in batches:
             found, open_keys = [np.zeros((0, 2), np.int64)], set()
             for r, key in enumerate(batch.column(0).to_pylist()):
-                left, right = ([f.to_numpy() for f in batch.column(c)[r].values.flatten()] if batch.column(c)[r].is_valid else None for c in (1, 2))
+                left, right = (_side([f.to_numpy() for f in batch.column(c)[r].values.flatten()]) if batch.column(c)[r].is_valid else None for c in (1, 2))
                 for x, y in ((left, left),) if right is None else ((left, right), (right, left)):
                     u, v, more = candidates(x, y, most, nearest, key)
                     found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
@@ -436,12 +460,12 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     more is cut to blocks of which each pair is a row.
     """
     most, nearest, every, shape = most_bits(similarity), 1, keys, "key long, u long, v long"
-    member = F.collect_list(F.struct("node", "class", *_SKETCH))
+    member = F.collect_list(F.struct("node", "class", *_SKETCH, *_MARKS))
     tested = links = roots = None
     while True:
-        sketch = nodes.select("node", F.col("node").alias("class"), *_SKETCH)
+        sketch = nodes.select("node", F.col("node").alias("class"), *_SKETCH, *_MARKS)
         if roots is not None:
-            sketch = nodes.select("node", *_SKETCH).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"), *_SKETCH)
+            sketch = nodes.select("node", *_SKETCH, *_MARKS).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"), *_SKETCH, *_MARKS)
         keys = every.where(F.col("key").bitwiseAND(F.lit(15)) == 0) if roots is None else every
         unlike = F.min("class") < F.max("class")
         whole = keys.where(F.col("n") <= split).join(sketch, "node").groupBy("key").agg(member.alias("left"), unlike.alias("unlike")).where("unlike")
@@ -485,8 +509,8 @@ def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, split:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             bits, extremes, name = sketches(batch.column(3), words)
-            s = np.concatenate([name[:, None], bits, extremes], axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(s.shape[1]))], names=["id", "k1", "k2", "node", *_SKETCH, *_EXTREMES])
+            s = np.concatenate([name[:, None].view(np.int64), bits.view(np.int64), extremes.view(np.int64), _marks(extremes)], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(s[:, k]) for k in range(s.shape[1]))], names=["id", "k1", "k2", "node", *_SKETCH, *_EXTREMES, *_MARKS])
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -497,10 +521,10 @@ def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, split:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(k)), sets], names=["node", "shingles"])
                 at += len(k)
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("k1", "k2", "node", *_SKETCH, *_EXTREMES))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("k1", "k2", "node", *_SKETCH, *_EXTREMES, *_MARKS))])
     rows = common.stored(keyed.select("id", "k1", "k2", "text").mapInArrow(run, schema), "sketches")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
-    nodes = rows.groupBy("node").agg(F.min(order).alias("least"), F.first(F.struct(*_SKETCH, *_EXTREMES)).alias("s"))
+    nodes = rows.groupBy("node").agg(F.min(order).alias("least"), F.first(F.struct(*_SKETCH, *_EXTREMES, *_MARKS)).alias("s"))
     nodes = common.stored(nodes.select("node", "least", "s.*"), "nodes")
     keys = shared_keys(nodes)
     # the texts travel once: one of each set that shares a key
