@@ -211,12 +211,13 @@ def near_duplicate_classes(docs: DataFrame, *, words: int = 3, id_col: str = "do
 # --- classes at a shingle similarity -----------------------------------------
 
 #: 64-bit words of a sketch, and bits by which two sketches may differ beyond the mean of their similarity, in standard deviations.
-SKETCH_WORDS, DEVIATIONS = 4, 3
-#: Segments of a sketch, each of which gives keys with an extreme of the shingles' hashes.
-SEGMENTS = 64 * SKETCH_WORDS // SEGMENT
+SKETCH_WORDS, DEVIATIONS = 8, 3
+#: Words of a sketch that are cut to segments, and the segments, each of which gives keys with an extreme of the shingles' hashes.
+KEY_WORDS = 4
+SEGMENTS = 64 * KEY_WORDS // SEGMENT
 #: Hash functions whose least and greatest values are the extremes; the first are those of the sketch.
 FUNCTIONS = -(-SEGMENTS // 2)
-#: Candidates of a node in a group: in the first round of all keys, and by how much more in each round in which some are left.
+#: Candidates of a node in a group: in the first round of all keys, and how many times as many after each further round.
 NEAREST, MORE = 2, 16
 _SKETCH = [f"_s{k}" for k in range(SKETCH_WORDS)]
 _EXTREMES = [f"_m{k}" for k in range(SEGMENTS)]
@@ -277,14 +278,14 @@ def sketches(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.n
         bits, ends_of, name = np.zeros((len(k), SKETCH_WORDS), np.uint64), np.zeros((len(k), 2 * FUNCTIONS), np.uint64), np.zeros(len(k), np.uint64)
         filled = np.flatnonzero(k)
         runs = (np.cumsum(k) - k)[filled]
-        for w in range(FUNCTIONS):
+        for w in range(max(FUNCTIONS, SKETCH_WORDS)):
             with np.errstate(over="ignore"):
                 hashed = common.mix(own + np.uint64(w + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
                 if w == 0 and len(filled):
                     name[filled] = common.mix(np.add.reduceat(hashed, runs) + k[filled].astype(np.uint64))
             if w < SKETCH_WORDS:
                 bits[:, w] = np.packbits(2 * bit_sums(hashed, k) > k[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-            if len(filled):
+            if w < FUNCTIONS and len(filled):
                 ends_of[filled, 2 * w], ends_of[filled, 2 * w + 1] = np.minimum.reduceat(hashed, runs), np.maximum.reduceat(hashed, runs)
         out.append(bits)
         extremes.append(ends_of)
@@ -294,7 +295,7 @@ def sketches(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _sketch_segments(words: np.ndarray) -> np.ndarray:
     """The 23-bit segments of sketches: documents x SEGMENTS."""
-    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT]
+    bits = np.unpackbits(words[:, :KEY_WORDS].astype("<u8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT]
     return bits.reshape(len(words), SEGMENTS, SEGMENT) @ (1 << np.arange(SEGMENT, dtype=np.int64))
 
 
@@ -347,13 +348,15 @@ def _first_shared(codes: tuple[np.ndarray, np.ndarray], marks: tuple[np.ndarray,
     return own
 
 
-def candidates(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most: int, nearest: int, key: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def candidates(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most: int, nearest: int, past: int, key: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of nodes of unlike classes whose sketches differ in at most ``most`` bits.
 
-    Each node of the left gets the ``nearest`` ones of the right, and the one
-    with the least number; the flag tells whether some node has more.  A pair
-    that has several keys in common is left to the first of them, which is open
-    until it has tested the pair or the two are in one class.
+    The close nodes of the right have a fixed order for each node of the left,
+    by bits and place, whatever their classes.  Those after ``past`` and up to
+    ``nearest`` are taken, and without ``past`` the one with the least number;
+    the flag tells whether some node has more.  A pair that has several keys in
+    common is left to the first of them, which is open until it has taken the
+    pair or the two are in one class.
     """
     us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
     step = max(1, (1 << 20) // max(1, len(right[0])))
@@ -363,17 +366,19 @@ def candidates(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most
         bits = np.zeros((len(left[0][own]), len(order)), np.uint16)
         for k in range(SKETCH_WORDS):
             bits += np.bitwise_count(left[2][own, None, k] ^ right[2][None, order, k])
-        near = (bits <= most) & (left[1][own, None] != right[1][None, order])
-        n = near.sum(1)
-        some = np.flatnonzero(n)
+        near = (bits <= most) & (left[0][own, None] != right[0][None, order])
+        unlike = near & (left[1][own, None] != right[1][None, order])
+        some = np.flatnonzero(unlike.any(1))
         if not len(some):
             continue
-        more = more or bool((n > nearest).any())
-        far = np.where(near[some], bits[some], np.uint16(1 << 15))
-        kept = min(nearest, far.shape[1])
-        close = np.argpartition(far, kept - 1, axis=1)[:, :kept]
-        picked = np.concatenate([close, near[some].argmax(1)[:, None]], axis=1)  # argmax: the first of them
-        row, col = np.nonzero(np.take_along_axis(near[some], picked, 1))
+        near, unlike = near[some], unlike[some]
+        place = np.where(near, bits[some].astype(np.int64), 1 << 15) * len(order) + np.arange(len(order))
+        kept = min(nearest, len(order))
+        close = np.argpartition(place, kept - 1, axis=1)[:, :kept]
+        close = np.take_along_axis(close, np.take_along_axis(place, close, 1).argsort(1), 1)
+        more = more or bool((unlike.sum(1) > np.take_along_axis(unlike, close, 1).sum(1)).any())
+        picked = close[:, past:] if past else np.concatenate([close, unlike.argmax(1)[:, None]], axis=1)  # argmax: the first of them
+        row, col = np.nonzero(np.take_along_axis(unlike, picked, 1))
         i, j = at + some[row], order[picked[row, col]]
         first = _first_shared((left[3], right[3]), (left[4], right[4]), i, j, key)
         us.append(left[0][i[first]])
@@ -381,7 +386,7 @@ def candidates(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most
     return np.concatenate(us), np.concatenate(vs), more
 
 
-def _pairs(most: int, nearest: int):
+def _pairs(most: int, nearest: int, past: int):
     """Candidate pairs of groups: rows (key, left, right) of members, right null for a group met with itself.
 
     Out come rows (null, u, v), and (key, null, null) of the keys of which some node has more.
@@ -394,7 +399,7 @@ def _pairs(most: int, nearest: int):
             for r, key in enumerate(batch.column(0).to_pylist()):
                 left, right = (_side([f.to_numpy() for f in batch.column(c)[r].values.flatten()]) if batch.column(c)[r].is_valid else None for c in (1, 2))
                 for x, y in ((left, left),) if right is None else ((left, right), (right, left)):
-                    u, v, more = candidates(x, y, most, nearest, key)
+                    u, v, more = candidates(x, y, most, nearest, past, key)
                     found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
                     open_keys |= {key} if more else set()
             pairs = np.unique(np.concatenate(found), axis=0)
@@ -449,8 +454,8 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     """node, root of the classes that links at a similarity make.
 
     In each round the nodes of a key that aren't in one class yet give
-    candidates: for each node the nearest ones of other classes by their
-    sketches, and the least.  Candidates are verified by their whole sets of
+    candidates: for each node the nearest ones by their sketches, and the least,
+    as far as they are of other classes.  Candidates are verified by their whole sets of
     shingles, and classes are joined along those that pass.  The first round
     takes the keys of one segment only, which joins most of a large group of
     copies, so that the keys of the others have few unlike nodes.  Rounds go on
@@ -459,7 +464,7 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     sketches is either in one class or tested.  A key with up to ``split`` nodes is one row of the work, one with
     more is cut to blocks of which each pair is a row.
     """
-    most, nearest, every, shape = most_bits(similarity), 1, keys, "key long, u long, v long"
+    most, nearest, past, every, shape = most_bits(similarity), 1, 0, keys, "key long, u long, v long"
     member = F.collect_list(F.struct("node", "class", *_SKETCH, *_MARKS))
     tested = links = roots = None
     while True:
@@ -478,7 +483,7 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         one = blocks.select("key", "i", F.col("members").alias("left"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
         other = blocks.select("key", F.col("i").alias("j"), F.col("members").alias("right"))
         between = one.join(other, ["key", "j"]).select("key", "left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
-        found = whole.mapInArrow(_pairs(most, nearest), shape).unionByName(between.mapInArrow(_pairs(most, nearest), shape))
+        found = whole.mapInArrow(_pairs(most, nearest, past), shape).unionByName(between.mapInArrow(_pairs(most, nearest, past), shape))
         found = common.stored(found.distinct(), "candidates")
         pairs = found.where("key IS NULL").select("u", "v")
         new = pairs if tested is None else common.stored(pairs.join(tested, ["u", "v"], "left_anti"), "new")
@@ -491,7 +496,7 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
             if left.isEmpty():
                 return roots
             every = every.join(left, "key", "left_semi")
-        nearest = nearest * MORE if nearest > 1 else NEAREST
+        nearest, past = (NEAREST, 0) if first else (nearest * MORE, nearest)
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
