@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A chunk of documents handled at once; one longer document is a chunk alone.
@@ -68,6 +68,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that no later step reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def indexed(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """The rows of each group (not null) numbered from 0 in an order: adds part, idx and n (rows of the group).
+
+    Rows are dealt by ranges of (group, order), so a large group spans many
+    partitions; a row's number is its place in its partition (part) after the
+    rows that the partitions before hold of its group.  The sorted rows are a
+    table in the shared folder, so numbers don't change if a task runs again.
+    """
+    tie = unused("_tie", df.columns)
+    dealt = df.withColumn(tie, F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(group, *order, tie).sortWithinPartitions(group, *order, tie).drop(tie).withColumn("idx", F.monotonically_increasing_id())
+    rows = stored(dealt, name).withColumn("part", F.shiftright("idx", 33))
+    runs = rows.groupBy("part", group).agg(F.min("idx").alias("first"), F.count("*").alias("run"))
+    before = Window.partitionBy(group).orderBy("part")
+    runs = runs.withColumns({"n": F.sum("run").over(Window.partitionBy(group)), "shift": F.sum("run").over(before) - F.col("run") - F.col("first")})
+    runs = runs.select("part", group, "n", "shift")
+    return rows.join(runs, ["part", group]).withColumn("idx", F.col("idx") + F.col("shift")).drop("shift")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches of whole texts in parts of at most ``rows`` rows, so that what is made of them fits a Python worker; none is empty."""
     for batch in batches:
@@ -155,7 +181,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get(0, ())) < n:
+    """Powers of the base for n bytes, and of its inverse; made on first use, also for no bytes at all."""
+    if len(_POWERS.get(0, ())) < max(n, 1):
         size = max(n, CHUNK_BYTES + 1)
         for k, p in ((0, _P), (1, _PINV)):
             run = np.full(size, p, np.uint64)
