@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, lines, lm, mixing, packing, quality, secrets, simhash, token_files, topk
+from . import common, langid, lines, lm, merkle, mixing, packing, quality, secrets, simhash, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_lm_scoring, op4_exact_topk, op5_simhash_near_dedup, op6_line_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether what a receiver has of it folds to the root."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    hit = F.col("doc_id").isNotNull() & (common.crc_of_id("doc_id") % 7 == 0)
+    bad = F.when(hit, merkle.leaf(*(more if c == "n_chars" else F.col(c) for c in columns)))
+    return merkle.manifest(docs, columns, tampered=bad)
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_lm_scoring, op4_exact_topk, op5_simhash_near_dedup, op6_line_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules, op12_merkle_manifest)}
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL, "op6_line_dedup": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL, "op6_line_dedup": lines.SQL, "op12_merkle_manifest": merkle.SQL}
