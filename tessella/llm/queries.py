@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, lines, lm, merkle, mixing, packing, quality, secrets, simhash, token_files, topk
+from . import common, hard_negatives, langid, lines, lm, merkle, mixing, packing, pages, quality, secrets, simhash, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for each vector whose id is divisible by 50 and its five best of the same label, of components floor(256 * x)."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0, scale=256.0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 3
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and whether what a receiver has of it folds to the root."""
     docs = _table(spark, sf_dir, "documents")
@@ -112,6 +136,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, columns, tampered=bad)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_lm_scoring, op4_exact_topk, op5_simhash_near_dedup, op6_line_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules, op12_merkle_manifest)}
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    table = _table(spark, sf_dir, "pages")
+    return pages.extract(table, pages.fit(table))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_language_id, op2_best_fit_packing, op3_lm_scoring, op4_exact_topk, op5_simhash_near_dedup, op6_line_dedup, op7_secret_scan, op8_source_mixing, op9_token_files, op10_quality_rules, op11_hard_negatives, op12_merkle_manifest, op13_html_extraction)}
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL, "op6_line_dedup": lines.SQL, "op12_merkle_manifest": merkle.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": OP4_SQL, "op6_line_dedup": lines.SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle_manifest": merkle.SQL}

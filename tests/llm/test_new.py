@@ -1,12 +1,16 @@
 """The operators on vectors, manifests and pages against SQL or brute force."""
 
 import random
+import re
 from hashlib import sha256
+from html import unescape
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import merkle
+from tessella.llm import hard_negatives, merkle, pages, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -53,3 +57,105 @@ def test_op12_equals_one_process(spark, fanout, monkeypatch):
             want.append((i, own, subroot, root, _h(*(a + b for a, b in way + top)), folded, folded == root))
     assert sorted(map(tuple, got)) == sorted(want) and {r.verified for r in got} == {True, False}
     assert merkle.manifest(df.limit(0), ["id"], id_col="id").count() == 0
+
+
+def _mined(rows, positives, negatives, scale):
+    """Brute force in whole numbers: rows (id, label, vector), anchors of ids divisible by 5."""
+    good = [(i, lab, [int(np.floor(x * scale)) for x in v]) for i, lab, v in rows if None not in (i, lab, v) and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a in sorted({(i, lab, tuple(v)) for i, lab, v in good if i % 5 == 0}):
+        scored = sorted((-sum(x * y for x, y in zip(a[2], v)), i, lab) for i, lab, v in good if i != a[0])  # noqa: B905
+        for p, pid, _ in [r for r in scored if r[2] == a[1]][:positives]:
+            fit = [r for r in scored if r[2] != a[1] and 50 * -p <= 100 * -r[0] <= 95 * -p][:negatives]
+            out += [(a[0], pid, k + 1, n, -p, -s) for k, (s, n, _) in enumerate(fit)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [256.0, 1e9])
+def test_op11_equals_brute_force(spark, scale, monkeypatch):
+    """Small tiles and chunks, unequal lengths, ties, repeated rows, bad rows; sums within and beyond 2 ** 53."""
+    for name, size in (("BLOCK_ROWS", 3), ("TILE_ROWS", 7), ("CHUNK_DIMS", 4)):
+        monkeypatch.setattr(hard_negatives, name, size)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(rng.integers(3)), [float(x) for x in np.round(rng.random(int(rng.choice([5, 9]))), 1)]) for i in rng.permutation(60)]
+    rows += [rows[0], rows[1], (101, None, [1.0]), (102, 1, None), (103, 1, [1.0, None]), (104, 1, [float("nan")]), (105, 1, [float("inf")]), (None, 1, [1.0]), (110, 9, [1.0, 1.0])]
+    rows += [next((i, lab, v) for i, lab, v in rows if i == 5)]
+    df = spark.createDataFrame(rows, "id long, kind int, v array<double>").withColumn("mark", F.lit("x")).repartition(3)
+    how = {"scale": scale, "id_col": "id", "vector_col": "v"}
+    got = hard_negatives.hard_negatives(df, F.col("kind"), F.col("id") % 5 == 0, **how).collect()
+    want = _mined(rows, 5, 3, scale)
+    assert sorted(map(tuple, got)) == want and len(want) > 50
+    assert hard_negatives.hard_negatives(df.limit(0), F.col("kind"), F.col("id") % 5 == 0, **how).count() == 0
+
+
+def test_scores_on_the_wire():
+    rng = np.random.default_rng(1)
+    for s in (rng.integers(-(1 << 40), 1 << 40, (3, 5)), np.zeros((2, 2), np.int64), np.array([[-(1 << 63), (1 << 63) - 1]]), np.array([[1 << 70, -5]], object)):
+        assert (hard_negatives.from_wire(*hard_negatives.to_wire(s), s.shape) == s).all()
+
+
+#: Pages and the text of their content.
+PAGES = {
+    "semantic": (
+        """<!doctype html><HTML><head><title>Site</title><script>var a = "<article>no</article>";</script></head><body class="has-sidebar"><header><h1>Site name</h1></header>
+        <nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies <button>ok</button></div><main><article class="post"><header><h1>Title</h1></header>
+        <p>First &amp; <b>bold</b>&nbsp;text,\n two   lines<br>and more &lt;b&gt;.</p><div class="ad-slot">Buy now</div><ul><li>one<li>two</ul>
+        <table><tr><td>a</td><td>b</td></tr></table><figure><img src="x" alt="y>z"><figcaption>A caption</figcaption></figure><form><label>Mail</label></form>
+        <p>End</p><section id="comments"><article class="comment"><p>Nice post, I really like it a lot</p></article></section></article>
+        <aside>Other stories you may want to read today</aside></main><footer>&copy; all rights</footer></body></html>""",
+        "Title\nFirst & bold text, two lines and more <b>.\none\ntwo\na\nb\nA caption\nEnd",
+    ),
+    "divisions": (
+        """<body><div id="header">My site</div><div class="menu"><ul><li><a href=1>one link</a></li></ul></div><div class="wrap with-sidebar"><div class="text"><h2>Head</h2>
+        <p>Some words that make a paragraph of the article, enough of them.</p><p>More words with <a href="/x">a link</a> inside of the paragraph.</p></div>
+        <div><ul><li><a href=a>link one</a></li><li><a href=b>link two</a></li></ul></div><div class="sideBar">Side words are here</div></div>
+        <div id=comments><p>I have a long opinion about this text and tell it here</p></div></body>""",
+        "Head\nSome words that make a paragraph of the article, enough of them.\nMore words with a link inside of the paragraph.",
+    ),
+    "unclosed": ("<nav><ul><li>a b c<article><h1>One</h1><p>two three<p class='ad'>buy this<p>four</article><p>after the end of it", "One\ntwo three\nfour"),
+    "no tags": ("just  some\twords", "just some words"),
+    "quotes": ("<article><p title='it\">s'>in > \"quotes\" 1 < 2</p></article>", 'in > "quotes" 1 < 2'),
+    "only comments": ("<!-- a b c --><![CDATA[ x ]]><script>x</script", ""),
+    "empty": ("", ""),
+    "null": (None, ""),
+}
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return pages.fit(spark.read.parquet(f"{DATA}/pages.parquet"))
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_op13_pages(weights, name):
+    html, text = PAGES[name]
+    assert pages.main_text(html or "", weights) == text
+    assert pages.main_text(html or "", {}) == text
+
+
+def test_op13_takes_the_article_of_every_page(spark):
+    rows = duckdb.sql(f"SELECT page_id, url, html FROM '{DATA}/pages.parquet'").fetchall()
+    want = {}
+    for i, url, html in rows:
+        inner = re.search("<article>(.*)</article>", html, re.S)[1].replace("<br>", " ")
+        blocks = (" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner))
+        want[i] = (url, "\n".join(b for b in blocks if b))
+    got = queries.op13_html_extraction(spark, DATA).collect()
+    assert {r.page_id: (r.url, r.text) for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_op13_odd_tables(spark):
+    rows = [(1, "u", "<p>one two three</p>", "x"), (1, "u", "<p>one two three</p>", "x"), (None, None, None, None), (3, "v", "<p>" + "w " * 300_000, "")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, text string")
+    got = [(r.page_id, r.url, r.text[:13], r.n_chars) for r in pages.extract(df, pages.fit(df)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "u", "one two three", 13), (1, "u", "one two three", 13), (None, None, "", 0), (3, "v", "w w w w w w w", 599_999)], key=repr)
+    assert pages.extract(df.limit(0), pages.fit(df.limit(0))).count() == 0
+
+
+def test_best_region_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        s = [rng.choice([-2, -1, 0, 1]) for _ in range(rng.randrange(9))]
+        every = [(sum(s[a:b]), b - a, -a) for a in range(len(s)) for b in range(a + 1, len(s) + 1)]
+        a, b = pages.best_region(s)
+        assert (sum(s[a:b]), b - a) == (max(every)[:2] if every and max(every)[0] > 0 else (0, 0))
