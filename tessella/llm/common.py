@@ -65,14 +65,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder, for wide rows of which later steps read few columns."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.stored_at = path
+    return out
 
 
-def removed(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of the shared folder that no later step reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def remove(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once no later step reads it."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def indexed(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:

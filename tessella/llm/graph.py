@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars.
 
 Each round rewires every node to the least node it sees; rounds end when
-nothing changes.  Every round is a table in the shared folder.
+nothing changes.  Every round is a table in the shared folder, and the one
+before it is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import remove, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the lesser neighbours of a node and itself go to the least one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        before, pairs = pairs, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        remove(before)
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

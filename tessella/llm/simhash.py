@@ -478,6 +478,7 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         many = keys.where(F.col("n") > split).withColumn("blocks", F.ceil(F.col("n") / (2 * split))).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
         blocks = many.join(sketch, "node").groupBy("key", "i", "blocks").agg(member.alias("members"), F.min("class").alias("least"), F.max("class").alias("most"))
         blocks = common.stored(blocks, "blocks")
+        written = blocks
         open_keys = blocks.groupBy("key").agg((F.min("least") < F.max("most")).alias("unlike")).where("unlike").select("key")
         blocks = blocks.join(open_keys, "key", "left_semi")
         one = blocks.select("key", "i", F.col("members").alias("left"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
@@ -485,12 +486,15 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         between = one.join(other, ["key", "j"]).select("key", "left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
         found = whole.mapInArrow(_pairs(most, nearest, past), shape).unionByName(between.mapInArrow(_pairs(most, nearest, past), shape))
         found = common.stored(found.distinct(), "candidates")
+        common.remove(written)
         pairs = found.where("key IS NULL").select("u", "v")
-        new = pairs if tested is None else common.stored(pairs.join(tested, ["u", "v"], "left_anti"), "new")
+        new = common.stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "new")
+        left = common.stored(found.where("key IS NOT NULL").select("key"), "open")
+        common.remove(found)
         passed = common.stored(verified(new, sets, similarity), "similar")
         links = passed if links is None else links.unionByName(passed)
         tested = new if tested is None else tested.unionByName(new)
-        left, first = found.where("key IS NOT NULL").select("key"), roots is None
+        first = roots is None
         roots = components(links)
         if not first:
             if left.isEmpty():
@@ -531,6 +535,7 @@ def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, split:
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
     nodes = rows.groupBy("node").agg(F.min(order).alias("least"), F.first(F.struct(*_SKETCH, *_EXTREMES, *_MARKS)).alias("s"))
     nodes = common.stored(nodes.select("node", "least", "s.*"), "nodes")
+    common.remove(rows)
     keys = shared_keys(nodes)
     # the texts travel once: one of each set that shares a key
     chosen = nodes.join(keys.select("node").distinct(), "node", "left_semi").select("node", "least.k1", "least.k2")
