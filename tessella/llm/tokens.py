@@ -24,9 +24,9 @@ from tokenizers import Tokenizer
 from . import common
 
 #: Different pieces kept by a worker before they are dropped; about 30 bytes each.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Bytes of texts cut at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Letters, perhaps after a space: one pre-token.
 _WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
@@ -76,9 +76,9 @@ class Encoder:
     """Ids of texts under one tokenizer file."""
 
     def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
-        self.tokenizer = Tokenizer.from_str(json.dumps(said))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.added = [t["content"] for t in said.get("added_tokens") or []]
