@@ -36,9 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture in which no source is repeated more than twice, in the order of its passes and their permutations of blocks."""
-    mixed = mixing.mix_sources(docs, repetition_limit=2.0)
-    return mixed.orderBy(mixed.columns[-3], mixed.columns[-1]).select(*docs.columns)
+    """The mixture in which no source is repeated more than twice; packing needs no order, so its permutations aren't sorted."""
+    return mixing.mix_sources(docs, repetition_limit=2.0).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
