@@ -12,8 +12,12 @@ def chunk_fixed(docs: DataFrame, *, size: int = 1000, overlap: int = 200, id_col
         raise ValueError("0 <= overlap < size")
     step, n = size - overlap, F.length(text_col)
     last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int"))
-    rows = docs.where(n > 0).select(F.col(id_col), F.col(text_col).alias("_text"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    return rows.select(id_col, "chunk_index", F.substr("_text", F.col("chunk_index") * step + 1, F.lit(size)).alias("content"))
+    # cut once to pieces of a step, of which a chunk takes a few: linear in the text
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    rows = docs.where(n > 0).select(F.col(id_col), pieces.alias("_pieces"), last.alias("_last"))
+    content = F.substr(F.array_join(F.slice("_pieces", F.col("_k") + 1, -(-size // step)), ""), F.lit(1), F.lit(size))
+    chunks = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda k: k)
+    return rows.select(id_col, "_pieces", F.explode(chunks).alias("_k")).select(id_col, F.col("_k").alias("chunk_index"), content.alias("content"))
 
 
 def chunk_separated(docs: DataFrame, *, separator: str = ". ", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,6 +34,11 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
 
 
+def is_finite(a: Column) -> Column:
+    """Whether a vector is there and each component is a finite number."""
+    return a.isNotNull() & ~F.exists(a.cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
 def has_dimension(a: Column, n: int) -> Column:
     return F.size(a) == n
 

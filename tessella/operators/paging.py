@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import where
+from ..sources.tables import checkpointed
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,30 @@ def page(df: DataFrame, at: Page | None, filters: dict[str, Any] | None = None,
     return found if at is None else found.offset((at.page - 1) * at.size).limit(at.size)
 
 
+def page_index(df: DataFrame, filters: dict[str, Any] | None = None, order: dict[str, str] | None = None, id_col: str = "id") -> DataFrame:
+    """The place (from 0) of every id in an order, as a table for any number of deep pages; ids are taken to be different.
+
+    Rows are dealt by ranges of the order, and a row's place is its place in its
+    range after the rows of the ranges before, so no task sorts more than a
+    range.  Files hold consecutive places, so a page reads few of them.
+    """
+    columns = order_by(order, id_col)
+    names = dict.fromkeys([*(order or {"created_at": ""}), id_col])
+    dealt = df.where(where(filters)).select(*names).repartitionByRange(*columns).sortWithinPartitions(*columns)
+    rows = checkpointed(dealt.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    counts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return rows.withColumn("_part", part).join(counts, "_part").select("_id", (F.col("_at") + F.col("_shift")).alias("_place"))
+
+
+def deep_page(df: DataFrame, index: DataFrame, at: Page, id_col: str = "id") -> DataFrame:
+    """The rows of a page, however deep, in their order: the ids at its places, at most a page of them, meet the table."""
+    first = (at.page - 1) * at.size
+    ids = index.where(F.col("_place").between(first, first + at.size - 1)).limit(at.size)
+    return df.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).orderBy("_place").drop("_id", "_place")
+
+
 def envelope(df: DataFrame, at: Page, filters: dict[str, Any] | None = None) -> DataFrame:
     """One row: page, size, total, total_pages, has_next, has_prev."""
     total = df.where(where(filters)).agg(F.count("*").alias("total"))

@@ -57,3 +57,15 @@ def cascade(tables: dict[str, DataFrame], table: str, removed: DataFrame) -> dic
             gone = tables[child].join(removed.select(F.col("id").alias(fk)), fk, "left_semi").select("id")
             out |= cascade(tables, child, gone)
     return out
+
+
+#: The JSON of a session's context, as far as it is searched.
+CONTEXT = "user_preferences map<string,string>, conversation_summary string, key_entities array<string>, topics array<string>, sentiment string, language string, timezone string"
+
+
+def context_values(sessions: DataFrame, context: str = "context") -> DataFrame:
+    """kind (topic, entity, language), name and how many sessions' contexts have it; a context without a language is in en."""
+    c = F.from_json(context, CONTEXT)
+    pairs = lambda kind, names: F.transform(F.array_distinct(F.coalesce(names, F.array().cast("array<string>"))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    every = F.concat(pairs("topic", c["topics"]), pairs("entity", c["key_entities"]), pairs("language", F.array(F.coalesce(c["language"], F.lit("en")))))
+    return sessions.select(F.explode(every).alias("x")).select("x.*").groupBy("kind", "name").agg(F.count("*").alias("sessions"))

@@ -13,9 +13,26 @@ def archive_old(sessions: DataFrame, cutoff: Column, *, activity: str = "last_ac
     return sessions.withColumn("changed", old).withColumn(status, F.when(F.col("changed"), "ARCHIVED").otherwise(F.col(status)))
 
 
-def beyond_newest(rows: DataFrame, key: str, order: list[Column], keep: int = 100) -> DataFrame:
-    """The rows of each key that aren't among its first ``keep``: what retention deletes."""
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") > keep).drop("_rn")
+def split_newest(rows: DataFrame, key: str, at: str, id_col: str, keep: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(what stays, what goes): the ``keep`` newest rows of each key by time and then id, and the others.
+
+    The last row that stays is the cut of its key.  Each task passes on at most
+    ``keep`` rows of a key to find it, and the others are compared with the cut
+    where they are, so a key of any size isn't ranked in one task.  A null time
+    is the newest; rows equal to the cut stay; rows without a key are one key.
+    """
+    place = F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("at"), F.col(id_col).alias("id"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_place")))
+    cut = rows.select(F.col(key).alias("_key"), place.alias("_place")).withColumn("_nth", nth).where(F.col("_nth") <= keep).where(F.col("_nth") == keep)
+    cut = cut.select(F.struct("_key").alias("_of"), F.col("_place").alias("_cut"))
+    placed = rows.withColumn("_of", F.struct(F.col(key).alias("_key"))).join(cut, "_of", "left")
+    gone = F.coalesce(place < F.col("_cut"), F.lit(False))
+    return placed.where(~gone).select(*rows.columns), placed.where(gone).select(*rows.columns)
+
+
+def delete_listed(rows: DataFrame, gone: DataFrame, ids: list[str]) -> DataFrame:
+    """What stays after deleting the rows that a list names by their ids."""
+    return rows.join(gone.select(*ids).distinct(), ids, "left_anti").select(*rows.columns)
 
 
 def delete_where(rows: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
@@ -37,20 +54,32 @@ def last_by_id(changes: DataFrame, columns: list[str], id_col: str = "id", order
     return changes.groupBy(id_col).agg(F.max_by(row, by).alias("_last")).select(id_col, *(F.col(f"_last.{c}").alias(c) for c in columns))
 
 
+def _last_value(column: str, order: str | None) -> Column:
+    """The value that is there with the greatest order, and among equals (or without an order) the greatest one."""
+    by = F.struct(*(F.col(c) for c in (order, column) if c is not None))
+    return F.max_by(column, F.when(F.col(column).isNotNull(), by)).alias(column)
+
+
+def merged_by_id(changes: DataFrame, columns: list[str], id_col: str = "id", order: str | None = None) -> DataFrame:
+    """One row for each id: of each column the last value that isn't null, as if the changes were made one after another."""
+    return changes.groupBy(id_col).agg(*(_last_value(c, order) for c in columns))
+
+
 def apply_changes(rows: DataFrame, changes: DataFrame, columns: list[str], id_col: str = "id", order: str | None = None) -> DataFrame:
     """The table with a DataFrame of changes by id; a null in a change keeps the old value.
 
-    Of several changes of one id the last by ``order`` counts, so no row is repeated.
+    Several changes of one id are merged column by column in the ``order``, so each may name other columns and no row is repeated.
     """
-    new = last_by_id(changes, columns, id_col, order).select(F.col(id_col), *(F.col(c).alias(f"_new_{c}") for c in columns))
+    new = merged_by_id(changes, columns, id_col, order).select(F.col(id_col), *(F.col(c).alias(f"_new_{c}") for c in columns))
     joined = rows.join(new, id_col, "left")
     return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else c for c in rows.columns))
 
 
 def complete_invocations(invocations: DataFrame, results: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:
-    """Invocations with results (id, result, status, duration): a missing status is 'completed', a missing duration the old one; of several results of one id the last by ``order`` counts."""
-    results = last_by_id(results, ["result", "status", "duration"], order=order)
-    done = results.select("id", F.col("result").alias("_result"), F.coalesce("status", F.lit("completed")).alias("_status"), F.col("duration").alias("_duration"), F.lit(True).alias("_done"))
+    """Invocations with results (id, result, status, duration): a missing status is 'completed', a missing duration the one before it; of several results of one id the last by ``order`` counts."""
+    last, whole = last_by_id(results, ["result", "status", "duration"], order=order), merged_by_id(results, ["duration"], order=order)
+    done = last.drop("duration").join(whole, "id")
+    done = done.select("id", F.col("result").alias("_result"), F.coalesce("status", F.lit("completed")).alias("_status"), F.col("duration").alias("_duration"), F.lit(True).alias("_done"))
     joined = invocations.join(done, "id", "left")
     new = {"result": F.col("_result"), "status": F.col("_status"), "duration": F.coalesce("_duration", "duration"), "completed_at": as_of}
     return set_where(joined, F.col("_done"), new).select(*invocations.columns)

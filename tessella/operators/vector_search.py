@@ -9,19 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import METRICS, literal
+from ..functions.vectors import METRICS, is_finite, literal
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], *, k: int = 10, threshold: float | None = None, metric: str = "cosine", where: Column | None = None, id_col: str = "id", vector_col: str = "vector", keep: Sequence[str] = ()) -> DataFrame:
     """The k best rows: id, score and the columns kept.
 
-    A threshold is strict.  Ties go to the smaller id; a vector of norm 0 has no cosine and isn't returned.
+    A threshold is strict.  Ties go to the smaller id.  A vector of norm 0 has no cosine; neither it nor one that is null, of
+    another length or holds a null, NaN or infinity is returned.
     """
     if not 1 <= k <= 100:
         raise ValueError("1 <= k <= 100")
     score, more = METRICS[metric]
     rows = vectors if where is None else vectors.where(where)
-    rows = rows.select(id_col, score(F.col(vector_col), literal(query)).alias("score"), *keep).where("score is not null")
+    rows = rows.where(is_finite(F.col(vector_col))).select(id_col, score(F.col(vector_col), literal(query)).alias("score"), *keep).where("score is not null and not isnan(score)")
     if threshold is not None:
         rows = rows.where(F.col("score") > threshold if more else F.col("score") < threshold)
     return rows.orderBy(F.col("score").desc() if more else F.col("score").asc(), id_col).limit(k)
@@ -32,48 +33,56 @@ BLOCK_ROWS, STEP_ROWS, GROUPS = 4096, 256, 16
 
 
 def _pack(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows (ids, flat) of up to BLOCK_ROWS vectors, and a hash of the ids."""
+    """Rows (dim, ids, flat) of up to BLOCK_ROWS vectors of one length, none of norm 0."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for a in range(0, len(pdf), BLOCK_ROWS):
-                part = pdf.iloc[a : a + BLOCK_ROWS]
-                yield pd.DataFrame({"ids": [part[id_col].to_numpy()], "flat": [np.stack(part[vector_col].to_numpy()).astype(float).ravel()]})
+            for dim, same in pdf.groupby(pdf[vector_col].map(len)):
+                flat = np.stack(same[vector_col].to_numpy()).astype(float)
+                some = np.abs(flat).max(1, initial=0) > 0
+                ids, flat = same[id_col].to_numpy()[some], flat[some]
+                for a in range(0, len(ids), BLOCK_ROWS):
+                    yield pd.DataFrame({"dim": [dim], "ids": [ids[a : a + BLOCK_ROWS]], "flat": [flat[a : a + BLOCK_ROWS].ravel()]})
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, vector_col).mapInPandas(run, f"ids array<{kind}>, flat array<double>")
+    return rows.select(id_col, vector_col).mapInPandas(run, f"dim int, ids array<{kind}>, flat array<double>")
+
+
+def k_best(unit: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of the k best vectors for each query, both of norm 1; scores to nine digits, ties to the smaller id."""
+    place, found = np.argsort(np.argsort(ids, kind="stable"), kind="stable"), []
+    for a in range(0, len(unit), STEP_ROWS):
+        scores, kept = np.round(unit[a : a + STEP_ROWS] @ v.T, 9), min(k, len(ids))
+        # the k-th best score, then the smaller ids among those that reach it
+        least = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1 : kept]
+        rank = np.where(scores > least, 0, np.where(scores == least, 1, 2)) * len(ids) + place
+        order = np.argpartition(rank, kept - 1, axis=1)[:, :kept]
+        found.append((np.repeat(np.arange(a, a + len(scores)), kept), order.ravel(), np.take_along_axis(scores, order, 1).ravel()))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, max_queries: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """query_id, rank, id, score (cosine) for any number of queries; more than ``max_queries``, if given, are an error.
 
-    Vectors that are null or hold a null or NaN take no part.  Blocks of queries meet tiles of vectors in the cluster; each tile keeps its
-    k best by query, and a window merges those.
+    Vectors that are null, of norm 0 or hold a null, NaN or infinity take no part, and a query meets vectors of its length only.
+    Blocks of queries meet tiles of vectors in the cluster; each tile keeps its k best by query, and a window merges those.
     """
     if max_queries is not None and queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries: search them in parts")
-    good = lambda c: F.col(c).isNotNull() & ~F.exists(F.col(c).cast("array<double>"), lambda x: x.isNull() | F.isnan(x))
-    vectors, queries = vectors.where(good(vector_col)), queries.where(good(vector_col))
+    vectors, queries = (df.where(is_finite(F.col(vector_col))) for df in (vectors, queries))
     tiles = _pack(vectors, id_col, vector_col).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
-    blocks = _pack(queries, id_col, vector_col).select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("group"))
+    blocks = _pack(queries, id_col, vector_col).select("dim", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("group"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for q_ids, q_flat, own, flat in pdf.itertuples(index=False):
                 unit, v = q_flat.reshape(len(q_ids), -1), flat.reshape(len(own), -1)
-                unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-                size = np.linalg.norm(v, axis=1)
-                v, own = v[size > 0] / size[size > 0, None], own[size > 0]
-                for a in range(0, len(q_ids), STEP_ROWS):
-                    scores = unit[a : a + STEP_ROWS] @ v.T
-                    scores, kept = np.round(scores, 9), min(k, len(own))
-                    # the k-th best score, then the smaller ids among those that reach it
-                    least = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1 : kept] if kept else scores
-                    rank = np.where(scores > least, 0, np.where(scores == least, 1, 2)) * len(own) + np.argsort(np.argsort(own))
-                    order = np.argpartition(rank, kept - 1, axis=1)[:, :kept] if kept else rank[:, :0].astype(int)
-                    yield pd.DataFrame({"query_id": np.repeat(q_ids[a : a + STEP_ROWS], order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+                unit, v = (x / np.abs(x).max(1, keepdims=True) for x in (unit, v))  # so that no square is lost or overflows
+                unit, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (unit, v))
+                row, col, score = k_best(unit, v, own, k)
+                yield pd.DataFrame({"query_id": q_ids[row], "id": own[col], "score": score})
 
     kind = vectors.schema[id_col].dataType.simpleString()
-    found = blocks.join(tiles, "group").select("q_ids", "q_flat", "ids", "flat").mapInPandas(best, f"query_id {kind}, id {kind}, score double")
+    found = blocks.join(tiles, ["group", "dim"]).select("q_ids", "q_flat", "ids", "flat").mapInPandas(best, f"query_id {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

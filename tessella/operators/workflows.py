@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +19,29 @@ def edges(steps: DataFrame) -> DataFrame:
 def levels(steps: DataFrame) -> DataFrame:
     """workflow_id, step_id and level: 0 without dependencies, else one more than the greatest of theirs.
 
-    All workflows advance a level in each round, so the rounds are the depth
-    of the deepest.  Steps in or behind a cycle, or behind a step that isn't
-    there, have a null level.
+    All workflows advance a level in each round, so the rounds are the depth of
+    the deepest.  A table has how many dependencies each step has; the links
+    that leave a round's steps are counted off, so over all rounds each link is
+    joined once, and links that were counted leave the table.  A step is of the
+    next level when its last dependency is counted.  Steps in or behind a cycle,
+    or behind a step that isn't there, have a null level.
     """
+    key = ["workflow_id", "step_id"]
+    every = checkpointed(steps.select(*key).distinct())
     links = checkpointed(edges(steps).distinct())
-    rest = steps.select("workflow_id", "step_id").distinct()
-    done, level = None, 0
-    while True:
-        blocked = links if done is None else links.join(done.select("workflow_id", F.col("step_id").alias("depends_on")), ["workflow_id", "depends_on"], "left_anti")
-        ready = checkpointed(rest.join(blocked, ["workflow_id", "step_id"], "left_anti").withColumn("level", F.lit(level).cast("long")))
-        if ready.isEmpty():
-            stuck = rest.withColumn("level", F.lit(None).cast("long"))
-            return stuck if done is None else done.unionByName(stuck)
-        done = ready if done is None else done.unionByName(ready)
-        rest = checkpointed(rest.join(ready, ["workflow_id", "step_id"], "left_anti"))
-        level += 1
+    degrees = checkpointed(links.groupBy(*key).agg(F.count("*").alias("wanted")))
+    fresh = checkpointed(every.join(degrees, key, "left_anti").withColumn("level", F.lit(0).cast("long")))
+    waiting, done, level = None, [], 0
+    while not fresh.isEmpty():
+        done.append(fresh)
+        counted = links.join(fresh.select("workflow_id", F.col("step_id").alias("depends_on")), ["workflow_id", "depends_on"], "left_semi").groupBy(*key).agg(F.count("*").alias("met"))
+        links = checkpointed(links.join(fresh.select("workflow_id", F.col("step_id").alias("depends_on")), ["workflow_id", "depends_on"], "left_anti"))
+        met = counted if waiting is None else counted.unionByName(waiting).groupBy(*key).agg(F.sum("met").alias("met"))
+        met, level = checkpointed(met.join(degrees, key)), level + 1
+        fresh = checkpointed(met.where("met = wanted").select(*key, F.lit(level).cast("long").alias("level")))
+        waiting = met.where("met < wanted").select(*key, "met")
+    found = reduce(DataFrame.unionByName, done) if done else every.where("false").withColumn("level", F.lit(0).cast("long"))
+    return every.join(found, key, "left")
 
 
 def ready_steps(steps: DataFrame, results: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text, vectors
-from ..operators import paging, rate_limits, relations, retention, stats, vector_search, workflows
+from ..operators import paging, rate_limits, relations, retention, search_index, stats, vector_index, vector_search, workflows
+from ..sources.tables import scratch
 from ..streaming import limiters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +82,23 @@ def search_two_columns(spark, d):
     return _t(spark, d, "part").where(P.search("RE", "p_name") | P.search("Brass", "p_type")).select("p_partkey", "p_name", "p_type")
 
 
+@_query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'standard') OR contains(lower(p_type), 'brass')")
+def indexed_search(spark, d):
+    """By trigrams, over one of several columns."""
+    path = scratch(spark, "search-index")
+    search_index.build(_t(spark, d, "part"), path, ["p_name", "p_type"], id_col="p_partkey", blocks=16)
+    names, types = (search_index.find(spark, path, text, c, indexed=["p_name", "p_type"]) for text, c in (("Standard", "p_name"), ("BRASS", "p_type")))
+    return names.unionByName(types).dropDuplicates(["p_partkey"]).select("p_partkey", "p_name", "p_type")
+
+
+@_query("SELECT doc_id, md5(text) AS content FROM documents WHERE contains(lower(text), 'redistribution')")
+def indexed_document_search(spark, d):
+    """Whole texts by trigrams."""
+    path = scratch(spark, "search-index")
+    search_index.build(_t(spark, d, "documents").select("doc_id", "text"), path, ["text"], id_col="doc_id", blocks=64)
+    return search_index.find(spark, path, "Redistribution", "text", indexed=["text"]).select("doc_id", F.md5("text").alias("content"))
+
+
 @_query("SELECT turn, text FROM conversations WHERE conv_id = 3 AND contains(lower(text), 'th') ORDER BY turn")
 def search_messages(spark, d):
     """within one session, in chat order."""
@@ -111,6 +129,14 @@ def page_envelope(spark, d):
     return paging.envelope(_t(spark, d, "orders"), paging.Page(2, 20), {"o_orderstatus": "F"})
 
 
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 1000")
+def deep_page(spark, d):
+    """Page 51 of the executions that aren't pending, found by the places of an index."""
+    filters, order = {"o_orderstatus": {"ne": "P"}}, {"o_totalprice": "desc"}
+    index = paging.page_index(_t(spark, d, "orders"), filters, order, "o_orderkey")
+    return paging.deep_page(_t(spark, d, "orders"), index, paging.Page(51, 20), "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
 @_query("SELECT count(*) > 0 AS exists FROM orders WHERE o_orderkey = 7")
 def exists_by_id(spark, d):
     """F29."""
@@ -324,11 +350,23 @@ def vector_filtered_topk(spark, d):
     return _nearest(spark, d, where=F.col("label") == 1, keep=["label"])
 
 
-@_query("""
+_BATCH_SQL = """
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, vec_id, c, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, round(c, 6) AS score FROM r WHERE rank <= 10
-""")
+"""
+
+
+@_query(_BATCH_SQL)
+def vector_pruned_topk(spark, d):
+    """Many queries with an index that leaves tiles out."""
+    v = _t(spark, d, "embeddings")
+    index = vector_index.build(v, id_col="vec_id", vector_col="embedding", dim=64)
+    found, _ = vector_index.search(index, v.where("vec_id % 20 = 0"), id_col="vec_id", vector_col="embedding")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@_query(_BATCH_SQL)
 def vector_batch_topk(spark, d):
     """Many queries at once."""
     v = _t(spark, d, "embeddings")
@@ -384,7 +422,21 @@ def archive_old(spark, d):
 @_query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn > 3")
 def keep_newest_n(spark, d):
     """What retention deletes."""
-    return retention.beyond_newest(_t(spark, d, "conversations"), "conv_id", [F.desc("turn")], 3).select("conv_id", "turn")
+    return retention.split_newest(_t(spark, d, "conversations"), "conv_id", "turn", "turn", 3)[1].select("conv_id", "turn")
+
+
+@_query("SELECT conv_id, turn, md5(text) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3")
+def newest_kept(spark, d):
+    """What stays after the rows that retention lists are deleted."""
+    rows = _t(spark, d, "conversations")
+    gone = retention.split_newest(rows, "conv_id", "turn", "turn", 3)[1]
+    return retention.delete_listed(rows, gone, ["conv_id", "turn"]).select("conv_id", "turn", F.md5("text").alias("content"))
+
+
+@_query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY ts IS NULL ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn > 100")
+def newest_of_one_parent(spark, d):
+    """Retention where one parent has all rows."""
+    return retention.split_newest(_t(spark, d, "events").withColumn("parent", F.lit(1)), "parent", "ts", "event_id", 100)[1].select("event_id")
 
 
 @_query("SELECT l_partkey = 17 AND l_orderkey % 2 = 0 AS deleted, count(*) AS n FROM lineitem GROUP BY 1")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import paging, rate_limits, relations, retention, stats, workflows
-from ..sources import tables
-from ..streaming import limiters, refresh
+from ..sources import commits, tables
+from ..streaming import latency, limiters, refresh
 from .catalog import _query, _t
 
 _NOW = "2026-01-01 00:00:00"
@@ -60,8 +60,8 @@ def messages_by_role(spark, d):
 def chunks_of_document(spark, d):
     """a store's chunks of one document, in order."""
     items = _t(spark, d, "lineitem")
-    supplier = items.where("l_partkey = 17").agg(F.min("l_suppkey")).first()[0]
-    return paging.page(items, None, {"l_partkey": 17, "l_suppkey": supplier}, {"l_linenumber": "asc"}, "l_orderkey").select("l_orderkey", "l_linenumber")
+    store = items.where("l_partkey = 17").agg(F.min("l_suppkey").alias("l_suppkey"))
+    return paging.page(items.join(store, "l_suppkey", "left_semi"), None, {"l_partkey": 17}, {"l_linenumber": "asc"}, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
 @_query("SELECT p_partkey FROM part WHERE (contains(lower(p_name), 're') OR contains(lower(p_type), 'brass')) AND p_size = 7 ORDER BY p_name DESC, p_partkey LIMIT 10")
@@ -190,17 +190,26 @@ def store_stats_stream(spark, d):
     """Statistics of the stores, kept up as embeddings arrive."""
     _, stores = _stores(spark, d)
     source = limiters.file_stream(spark, d, "embeddings.parquet", _t(spark, d, "embeddings").schema)
-    return refresh.keep_statistics(source.select(F.col("label").cast("long").alias("vector_store_id"), F.expr("vec_id div 3").alias("document_id")), stores)
+    return refresh.keep_statistics(source.select(F.col("label").cast("long").alias("vector_store_id"), F.expr("vec_id div 3").alias("document_id")), stores, tables.scratch(spark, "statistics"), buckets=8)
 
 
 @_query("""SELECT event_type, count(*) AS n, count(*) FILTER (value > 90) AS failures, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
 round(100.0 * count(*) FILTER (value > 90) / count(*), 6) AS failure_rate FROM events GROUP BY event_type""")
 def latency_rollup(spark, d):
     """Durations and failures by route."""
-    out = stats.latency(_t(spark, d, "events"), [F.col("event_type")], F.col("value"), F.col("value") > 90)
+    out = stats.latency(_t(spark, d, "events"), ["event_type"], F.col("value"), F.col("value") > 90)
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p95", "p99", "failure_rate")})
 
 
+@_query("""SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, count(*) FILTER (value > 90) AS failures, round(100.0 * count(*) FILTER (value > 90) / count(*), 6) AS failure_rate,
+round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1, 2""")
+def latency_stream(spark, d):
+    """Durations and failures by route and week of event time, as a stream."""
+    source = limiters.file_stream(spark, d, "events.parquet", _t(spark, d, "events").schema)
+    out = limiters.run_once(latency.latency_windows(source, ["event_type"], F.col("value"), F.col("value") > 90, width="7 days"), "update", ["window_start", "event_type"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "failure_rate")}).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @_query("""WITH m AS (SELECT 'response_time' AS metric, n_chars / 10.0 AS v FROM labels JOIN documents USING (doc_id) UNION ALL SELECT 'quality', quality FROM labels JOIN documents USING (doc_id))
 SELECT metric, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95 FROM m GROUP BY metric""")
 def metric_percentiles(spark, d):
@@ -237,10 +246,32 @@ def insert_missing(spark, d):
     return tables.insert_missing(rows.where("id < 20"), rows, "id")
 
 
-@_query("SELECT 1 AS ok")
+@_query("SELECT 'nation' AS tbl, count(*) > 0 AS ok FROM nation UNION ALL SELECT 'customer', count(*) > 0 FROM customer UNION ALL SELECT 'orders', count(*) > 0 FROM orders")
 def health(spark, d):
-    """The engine answers."""
-    return spark.sql("SELECT 1 AS ok")
+    """Which tables can be read and hold rows."""
+    found = [_t(spark, d, t).limit(1).agg(F.lit(t).alias("tbl"), (F.count("*") > 0).alias("ok")) for t in ("nation", "customer", "orders")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@_query("SELECT c_custkey, count(o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 = 0 GROUP BY 1")
+def commit_with_children(spark, d):
+    """Parents and children in one commit, read back at the version before and after the parents without children are replaced."""
+    root = tables.scratch(spark, "store")
+    parents, children = _t(spark, d, "customer").where("c_custkey % 10 = 0"), _t(spark, d, "orders").where("o_custkey % 10 = 0")
+    commits.commit(spark, root, append={"customer": parents, "orders": children})
+    commits.change(spark, root, lambda held: {"customer": relations.with_children(held["customer"], held["orders"], "c_custkey", "o_custkey")})
+    joined = commits.read(spark, root, "customer").join(commits.read(spark, root, "orders", version=1), F.col("c_custkey") == F.col("o_custkey"))
+    return joined.groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'B' WHEN o_orderkey % 4 = 3 THEN 'A' ELSE o_orderstatus END AS o_orderstatus,
+CASE WHEN o_orderkey % 4 = 1 THEN 'second' WHEN o_orderkey % 4 = 3 THEN 'first' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def merged_changes(spark, d):
+    """Several partial changes of one id, merged column by column."""
+    orders = _t(spark, d, "orders")
+    at = lambda k, where, status, priority: orders.where(where).select("o_orderkey", F.lit(k).alias("at"), F.lit(status).cast("string").alias("o_orderstatus"), F.lit(priority).cast("string").alias("o_orderpriority"))
+    changes = at(1, "o_orderkey % 2 = 1", "A", None).unionByName(at(2, "o_orderkey % 2 = 1", None, "first")).unionByName(at(3, "o_orderkey % 4 = 1", None, "second")).unionByName(at(4, "o_orderkey % 4 = 1", "B", None))
+    return retention.apply_changes(orders, changes, ["o_orderstatus", "o_orderpriority"], "o_orderkey", order="at").select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
 @_query(f"""SELECT sha256(concat_ws('|', 'update', 'agent', CAST(n_nationkey AS VARCHAR), '{_NOW}')) AS id, 'update' AS action, 'agent' AS entity_type, CAST(n_nationkey AS VARCHAR) AS entity_id,
@@ -296,11 +327,20 @@ def validate_rows(spark, d):
     return _t(spark, d, "customer").select("c_custkey", F.array_join(P.violations(rules), ",").alias("broken"))
 
 
-@_query("SELECT conv_id, role AS topic, count(*) AS n FROM conversations GROUP BY 1, 2")
-def context_topics(spark, d):
-    """The topics of a conversation's context, one row each."""
-    context = _t(spark, d, "conversations").select("conv_id", F.struct(F.array("role").alias("topics"), F.lit("en").alias("language")).alias("context"))
-    return context.select("conv_id", F.explode("context.topics").alias("topic")).groupBy("conv_id", "topic").agg(F.count("*").alias("n"))
+@_query("""
+WITH w AS (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS entity FROM conversations), e AS (SELECT DISTINCT conv_id, entity FROM w)
+SELECT 'topic' AS kind, role AS name, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY 2
+UNION ALL SELECT 'entity', entity, count(*) FROM e GROUP BY 2
+UNION ALL SELECT 'language', coalesce(lang, 'en'), count(*) FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN documents ON doc_id = conv_id GROUP BY 2
+""")
+def context_values(spark, d):
+    """Topics, key entities and language of the sessions' contexts, and how many sessions have each."""
+    messages = _t(spark, d, "conversations")
+    words = F.flatten(F.collect_list(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0))))
+    said = messages.groupBy(F.col("conv_id").alias("id")).agg(F.collect_set("role").alias("topics"), F.array_distinct(words).alias("key_entities"))
+    known = said.join(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language")), "id", "left")
+    sessions = known.select("id", F.to_json(F.struct("topics", "key_entities", "language")).alias("context"))
+    return relations.context_values(sessions)
 
 
 # --- workflows, limits -------------------------------------------------------
@@ -341,5 +381,6 @@ def session_state_stream(spark, d):
     """Sessions with a time to live, as a stream with state."""
     source = limiters.file_stream(spark, d, "events.parquet", _t(spark, d, "events").schema)
     op = F.create_map(*(F.lit(x) for pair in SESSION_OPS.items() for x in pair))[F.col("event_type")]
+    op = F.when((op == "update") & (F.col("event_id") % 2 == 1), "replace").otherwise(op)
     commands = source.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", op.alias("op"), F.col("props").alias("data"), F.lit(None).cast("long").alias("ttl"))
     return limiters.run_once(limiters.session_state(commands, default_ttl=86400))

@@ -56,20 +56,46 @@ def read(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
 
 
 def read_source(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:
-    """Rows to embed from a source: ``text`` (a column text with a row for each line, or each file with wholetext), ``parquet``, ``json``, ``csv``, or ``jdbc`` with the database's URL as the path."""
+    """Rows to embed from a source: ``text`` (a column text with a row for each line, or each file with wholetext), ``parquet``, ``json``, ``csv``, or ``jdbc`` with the database's URL as the path: a ``query`` or a ``dbtable``, and with a ``key`` the table in parts (``read_database``)."""
     if kind == "text":
         return spark.read.options(**options).text(path).withColumnRenamed("value", "text")
     if kind in ("parquet", "json", "csv"):
         return spark.read.format(kind).options(**options).load(path)
+    if kind == "jdbc" and "key" in options:
+        return read_database(spark, path, options.pop("dbtable"), options.pop("key"), **options)
     if kind == "jdbc":
         return spark.read.format("jdbc").options(url=path, **options).load()
     raise ValueError(f"unknown source {kind!r}; known: text, parquet, json, csv, jdbc")
 
 
+def read_database(spark: SparkSession, url: str, table: str, key: str, *, rows: int = 1_000_000, most: int = 1000, **options: str) -> DataFrame:
+    """A database table read in parts of about ``rows`` rows by ranges of a numeric key, at most ``most`` of them at once.
+
+    One aggregate in the database has the bounds and the number of rows; the
+    ranges are predicates, so the database sees them with the filters and
+    columns that a query needs.  Rows without a key come with the first part.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    bounds = reader.option("query", f"SELECT MIN({key}) AS least, MAX({key}) AS largest, COUNT(*) AS n FROM {table}").load().first()
+    least, largest, n = (None if x is None else int(x) for x in bounds)
+    parts = max(1, min(most, -(-n // rows), 1 if least is None else largest - least + 1))
+    edges = [] if least is None else [least + (largest - least + 1) * k // parts for k in range(1, parts)]
+    ranges = [" AND ".join(([f"{key} >= {a}"] if a is not None else []) + ([f"{key} < {b}"] if b is not None else [])) for a, b in zip([None, *edges], [*edges, None], strict=True)]
+    ranges[0] = f"({ranges[0]}) OR {key} IS NULL" if ranges[0] else "1 = 1"
+    return spark.read.jdbc(url, table, predicates=ranges, properties=options)
+
+
+def micros(column: str) -> Column:
+    """A time as microseconds since 1970; one without zone is taken as UTC, whatever the session's zone."""
+    c = F.col(column)
+    plain = c.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.when(F.typeof(c) == "timestamp_ntz", (plain.cast("decimal(20,6)") * 1_000_000).cast("bigint")).otherwise(F.unix_micros(c.cast("timestamp")))
+
+
 def utc(column: str) -> Column:
     """A time as a timestamp, which watermarks need; one without zone is taken as UTC, whatever the session's zone."""
     c = F.col(column)
-    return F.when(F.typeof(c) == "timestamp_ntz", F.concat(c.cast("string"), F.lit("Z")).cast("timestamp")).otherwise(c.cast("timestamp"))
+    return F.when(F.typeof(c) == "timestamp_ntz", F.timestamp_micros(micros(column))).otherwise(c.cast("timestamp"))
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -68,14 +68,15 @@ def session_step(session: tuple[str, int] | None, op: str, at: int, data: str |
     """Whether a command succeeds, and the session (data, end in microseconds) after it.
 
     create and update set the data and its time to live, extend only that;
-    update without ``ttl`` takes the default; get and delete succeed on a
-    session that is there.  One whose end has come isn't.
+    without ``ttl`` they take the default.  replace sets the data and keeps the
+    end of a session that is there (another gets the default).  get and delete
+    succeed on a session that is there; one whose end has come isn't.
     """
     if session is not None and session[1] <= at:
         session = None
     end = at + 1_000_000 * (ttl or default_ttl)
-    if op in ("create", "update"):
-        return True, (data, end)
+    if op in ("create", "update", "replace"):
+        return True, (data, session[1] if op == "replace" and session is not None else end)
     if session is None:
         return False, None
     return True, {"get": session, "extend": (session[0], end), "delete": None}[op]
@@ -123,7 +124,7 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_once(stream: DataFrame, mode: str = "append", key: str | None = None) -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", key: str | list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there, into files, and read the result back; of an update-mode stream, the last row of each key."""
     spark = stream.sparkSession
     path = scratch(spark, "stream")
@@ -136,4 +137,5 @@ def run_once(stream: DataFrame, mode: str = "append", key: str | None = None) ->
     rows = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
     if mode != "update":
         return rows.drop("batch")
-    return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (key, "batch"))), "batch").alias("_last")).select(key, "_last.*")
+    keys = [key] if isinstance(key, str) else key
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (*keys, "batch"))), "batch").alias("_last")).select(*keys, "_last.*")

@@ -89,7 +89,8 @@ def test_archive_is_strict(spark):
 
 def test_keep_newest_with_fewer(spark):
     df = spark.createDataFrame([(1, 1), (1, 2)], "k int, at int")
-    assert retention.beyond_newest(df, "k", [F.desc("at")], 100).count() == 0
+    stay, go = retention.split_newest(df, "k", "at", "at", 100)
+    assert (stay.count(), go.count()) == (2, 0)
 
 
 def test_window_boundary_and_burst(spark):
