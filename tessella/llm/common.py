@@ -7,6 +7,7 @@ space (``\\x20``, ``\\x09``-``\\x0D``); a null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,11 +97,23 @@ def indexed(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame
     return rows.join(runs, ["part", group]).withColumn("idx", F.col("idx") + F.col("shift")).drop("shift")
 
 
+def give_back() -> None:
+    """Return free memory of Arrow's pool and, where the C library can, of the process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of whole texts in parts of at most ``rows`` rows, so that what is made of them fits a Python worker; none is empty."""
+    """Batches of whole texts in parts of at most ``rows`` rows, so that what is made of them fits a Python worker; none is empty.
+
+    At the end the worker, which Spark keeps for later tasks, gives back the memory that it no longer uses.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def packed(df: DataFrame, columns: list[str] | None = None) -> F.Column:

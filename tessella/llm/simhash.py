@@ -406,6 +406,7 @@ def _pairs(most: int, nearest: int, past: int):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
             none = pa.nulls(len(open_keys), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(open_keys), pa.int64()), none, none], schema=schema)
+        common.give_back()
 
     return run
 
@@ -421,6 +422,7 @@ def _similar(similarity: float):
                 both = len(a) + len(b) - len(np.union1d(a, b))
                 keep[r] = both >= similarity * (len(a) + len(b) - both) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+        common.give_back()
 
     return run
 
