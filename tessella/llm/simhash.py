@@ -469,6 +469,7 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     most, nearest, past, every, shape = most_bits(similarity), 1, 0, keys, "key long, u long, v long"
     member = F.collect_list(F.struct("node", "class", *_SKETCH, *_MARKS))
     tested = links = roots = None
+    keys_of_all = keys
     while True:
         sketch = nodes.select("node", F.col("node").alias("class"), *_SKETCH, *_MARKS)
         if roots is not None:
@@ -501,7 +502,9 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         if not first:
             if left.isEmpty():
                 return roots
-            every = every.join(left, "key", "left_semi")
+            before, every = every, common.stored(every.join(left, "key", "left_semi"), "keys")
+            if before is not keys_of_all:
+                common.remove(before)
         nearest, past = (NEAREST, 0) if first else (nearest * MORE, nearest)
 
 
