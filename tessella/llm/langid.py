@@ -26,6 +26,7 @@ order; repeated rows are predicted each; null languages aren't learned.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -210,6 +211,9 @@ def _expected(words: list[str], counts: np.ndarray, model: LanguageModel) -> np.
     return uses[:-2]
 
 
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -219,7 +223,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in common.slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update((lang, w) for w in map(letters, (text or "").split()) if w)
+            counts.update((lang, w) for w in map(letters, _SPACES.split(text or "")) if w)  # words as in prediction
             if len(counts) > CACHE_WORDS:
                 yield out()
                 counts.clear()

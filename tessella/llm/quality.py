@@ -7,11 +7,18 @@ log(trusted / raw), in whole millionths, so that it doesn't depend on the
 order of summation; it is kept if the score reaches a threshold and no plain
 rule fails it.
 
+A few toxic words vanish in a mean over a long text, so a second ratio is taken
+word by word: of the documents labelled toxic and those trusted, how many have
+a word.  Words that clearly belong to the toxic ones, by 64-bit hashes, have a
+weight, a document's ``worst`` is the least of its words (0 without such a
+word), and it is kept only if that reaches a threshold of its own.
+
 Labels: ``quality`` 1 and ``toxic`` 0 is trusted, anything else isn't.  At most
 ``max_labels`` labelled rows are used, those whose ids hash lowest.  Half of
 them train the trusted multinomial; the other half, which it hasn't seen, fix
 the threshold: of the scores that reject at most ``max_loss`` of the trusted
-half, the one that best tells the two kinds apart.  The corpus is counted
+half, the one that best tells the two kinds apart; likewise for ``worst``, with
+the toxic rows as the other kind.  The corpus is counted
 whole.  The trusted multinomial is smoothed by ``prior`` features dealt as in
 the raw corpus.
 
@@ -26,7 +33,7 @@ are kept; labels that repeat an id count as trusted only if all agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +60,37 @@ class Rules:
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Millionths of log(trusted / raw) by bucket, and the least mean that is kept (None: no verdict)."""
+    """Millionths of log(trusted / raw) by bucket, and the least mean that is kept (None: no verdict).
+
+    ``words`` (ascending hashes) and ``weights``: the words of toxic documents
+    with their log ratios; ``floor``: the least of them that is kept.
+    """
 
     ratios: np.ndarray
     threshold: float | None
     rules: Rules
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    floor: float | None = None
+
 
+#: Documents labelled toxic that have a word at least, the ratio from which on it counts, and documents of either kind that a word is taken to have besides.
+TOXIC_DOCS, TOXIC_RATIO, EVEN_DOCS = 5, -2.0, 5.0
 
-def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of word pairs, in document order, and their number in each document."""
-    h = common.span_hashes(common.lower(data), starts, ends)
+
+def _worst(model: QualityModel, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The least weight of each document's words."""
+    out = np.zeros(len(words))
+    if len(model.words) and len(h):
+        at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1)
+        hit = np.flatnonzero(model.words[at] == h)
+        np.minimum.at(out, np.repeat(np.arange(len(words)), words)[hit], model.weights[at[hit]])
+    return out
+
+
+def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of word pairs, in document order, and their number in each document; ``h``: the words' hashes, if known."""
+    h = common.span_hashes(common.lower(data), starts, ends) if h is None else h
     shift = np.uint64(64 - BITS)
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
@@ -114,9 +142,9 @@ def _statistics(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
 
 
 def _labelled(labels: DataFrame, max_labels: int) -> DataFrame:
-    """At most max_labels rows: _id, _trusted, _fold."""
+    """At most max_labels rows: _id, _trusted, _toxic, _fold."""
     rows = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
-    rows = rows.agg(F.min((F.coalesce(F.col("quality"), F.lit(0)) == 1).cast("int") * (F.coalesce(F.col("toxic"), F.lit(0)) == 0).cast("int")).alias("_trusted"))
+    rows = rows.agg(F.max((F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int")).alias("_toxic"), F.min((F.coalesce(F.col("quality"), F.lit(0)) == 1).cast("int") * (F.coalesce(F.col("toxic"), F.lit(0)) == 0).cast("int")).alias("_trusted"))
     rows = rows.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).cast("int"))
     return rows.orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
 
@@ -150,16 +178,63 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, rules: Rules | None = None
         return plain
     p_raw = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
     p_trusted = (trusted + prior * p_raw) / (trusted.sum() + prior)
-    model = QualityModel(np.rint(1e6 * np.log(p_trusted / p_raw)).astype(np.int64), None, rules)
-    held = texts.join(F.broadcast(sample.where("_fold = 1")), "_id").select(F.col("_text"), "_trusted")
-    held = held.mapInArrow(_scored(model, text_at=0, keep=["_trusted"]), "_trusted int, score double, base_failed boolean").where("not base_failed").toPandas()  # at most max_labels rows, and copies of them
-    good, bad = np.sort(held["score"][held["_trusted"] == 1]), np.sort(held["score"][held["_trusted"] == 0])
-    if not len(good) or not len(bad):
+    words, weights = _toxic_words(texts.join(F.broadcast(sample.where("_fold = 0 AND (_trusted = 1 OR _toxic = 1)")), "_id").select("_text", "_toxic"))
+    model = QualityModel(np.rint(1e6 * np.log(p_trusted / p_raw)).astype(np.int64), None, rules, words, weights)
+    held = texts.join(F.broadcast(sample.where("_fold = 1")), "_id").select("_text", "_id", "_trusted", "_toxic")
+    shape = T.StructType([held.schema[c] for c in ("_id", "_trusted", "_toxic")] + [T.StructField(c, T.DoubleType()) for c in ("score", "worst")] + [T.StructField("base_failed", T.BooleanType())])
+    held = held.mapInArrow(_scored(model, text_at=0, keep=["_id", "_trusted", "_toxic"]), shape).where("not base_failed")
+    held = held.groupBy("_id", "_trusted", "_toxic").agg(F.min("score").alias("score"), F.min("worst").alias("worst")).toPandas()  # at most max_labels rows
+    good = held["_trusted"] == 1
+    if not good.any() or good.all():
         return plain
+    threshold = _cut(held["score"][good], held["score"][~good], max_loss)
+    return replace(model, threshold=threshold, floor=_cut(held["worst"][good], held["worst"][held["_toxic"] == 1], max_loss))
+
+
+def _cut(good: np.ndarray, bad: np.ndarray, max_loss: float) -> float | None:
+    """Of the thresholds that reject at most a share of the good, the one that best tells the kinds apart; None if none does."""
+    good, bad = np.sort(good), np.sort(bad)
+    if not len(good) or not len(bad):
+        return None
     allowed = good[int(max_loss * len(good))]
     tried = np.unique(np.concatenate([bad[bad <= allowed] + 1e-9, [allowed]]))
+    tried = tried[np.searchsorted(good, tried) <= max_loss * len(good)]
+    if not len(tried):
+        return None
     gain = np.searchsorted(bad, tried) / len(bad) - np.searchsorted(good, tried) / len(good)
-    return QualityModel(model.ratios, float(tried[np.argmax(gain)]) if gain.max() > 0 else None, rules)
+    return float(tried[np.argmax(gain)]) if gain.max() > 0 else None
+
+
+def _toxic_words(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and log ratios of the words of toxic documents, from rows (text, toxic) of which all others are trusted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, data, offsets in common.text_chunks(batch.column(0)):
+                starts, ends, n = common.word_spans(data, offsets)
+                h, doc = common.span_hashes(common.lower(data), starts, ends), np.repeat(np.arange(a, b), n)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                one, own = np.unique(h[new], return_inverse=True)
+                bad = np.bincount(own, weights=toxic[doc[new]], minlength=len(one)).astype(np.int64)
+                good = np.bincount(own, minlength=len(one)) - bad
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(bad), pa.array(good)], names=["word", "bad", "good"])
+
+    n = {r["_toxic"]: r["count"] for r in labelled.groupBy("_toxic").count().collect()}
+    bad, good = n.get(1, 0), n.get(0, 0)
+    if not bad or not good:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    words = labelled.mapInArrow(count, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    even = EVEN_DOCS / (bad + good)  # of either kind, in proportion
+    ratio = F.log((F.col("good") + even * good) / good) - F.log((F.col("bad") + even * bad) / bad)
+    # words of several labelled documents each, of which there is a bounded number
+    found = words.where(F.col("bad") >= TOXIC_DOCS).select("word", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") <= TOXIC_RATIO).toPandas()
+    own = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(own)
+    return own[order], found["ratio"].to_numpy(float)[order]
 
 
 def _judge(model: QualityModel, column: pa.Array) -> dict[str, np.ndarray]:
@@ -167,11 +242,13 @@ def _judge(model: QualityModel, column: pa.Array) -> dict[str, np.ndarray]:
     parts: dict[str, list[np.ndarray]] = {}
     for _, _, data, offsets in common.text_chunks(column):
         starts, ends, words = common.word_spans(data, offsets)
-        found, n = _features(data, starts, ends, words)
+        h = common.span_hashes(common.lower(data), starts, ends)
+        found, n = _features(data, starts, ends, words, h)
         out = _statistics(data, offsets, starts, ends, words)
         out["score"] = common.sums_by(model.ratios[found], n) / np.maximum(n, 1) / 1e6
+        out["worst"] = _worst(model, h, words)
         out["base_failed"] = (words < model.rules.min_words) | (100 * out["n_repeat_words"] > model.rules.max_repeat_percent * words)
-        out["kept"] = ~out["base_failed"] & (True if model.threshold is None else out["score"] >= model.threshold)
+        out["kept"] = ~out["base_failed"] & (True if model.threshold is None else out["score"] >= model.threshold) & (True if model.floor is None else out["worst"] >= model.floor)
         for k, v in out.items():
             parts.setdefault(k, []).append(v)
     return {k: np.concatenate(v) for k, v in parts.items()}
@@ -181,15 +258,15 @@ def _scored(model: QualityModel, text_at: int, keep: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             out = _judge(model, batch.column(text_at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out["score"]), pa.array(out["base_failed"])], names=[*keep, "score", "base_failed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *(pa.array(out[c]) for c in ("score", "worst", "base_failed"))], names=[*keep, "score", "worst", "base_failed"])
 
     return score
 
 
 def judge(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: its id, the statistics, score, base_failed and kept."""
+    """A row for each document: its id, the statistics, score, base_failed, kept and worst."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in names), T.StructField("score", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in names), T.StructField("score", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("worst", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):

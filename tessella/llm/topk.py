@@ -31,8 +31,8 @@ from . import common
 
 #: Rows of a tile and of a block; query rows scored at once; blocks whose lists a task holds before it sends them on.
 TILE_ROWS, BLOCK_ROWS, STEP_ROWS, HELD_BLOCKS = 8192, 4096, 128, 64
-#: Tiles are dealt to so many groups, each of which gets every block once.
-GROUPS = 64
+#: Tiles are dealt to a group for each tile of rows, at least and at most so many, each of which gets every block once.
+GROUPS = (64, 1024)
 
 
 def _pack(size: int, scale: float):
@@ -119,8 +119,9 @@ def exact_top_k(vectors: DataFrame, queries: Column, *, k: int = 20, scale: floa
     shape = "at long, ids binary, data binary, dim int"
     rows = usable.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
     asked = usable.where(queries).select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).distinct()
-    tiles = rows.mapInArrow(_pack(TILE_ROWS, scale), shape).withColumn("group", F.pmod(F.xxhash64("at"), F.lit(GROUPS)))
-    blocks = asked.mapInArrow(_pack(BLOCK_ROWS, scale), shape).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))).withColumn("group", F.col("group").cast("long"))
+    groups = max(GROUPS[0], min(GROUPS[1], -(-vectors.count() // TILE_ROWS)))  # a count of rows reads no vector
+    tiles = rows.mapInArrow(_pack(TILE_ROWS, scale), shape).withColumn("group", F.pmod(F.xxhash64("at"), F.lit(groups)))
+    blocks = asked.mapInArrow(_pack(BLOCK_ROWS, scale), shape).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long"))
     met = tiles.alias("t").join(blocks.alias("b"), "group").select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "bt" for c in ("at", "ids", "data", "dim")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
