@@ -1,15 +1,21 @@
 """Operator 7: secret scans with character Markov models (DataFrame functions only).
 
-Two first-order Markov models over the printable ASCII characters are counted
-from labelled samples: random strings (drawn from the usual alphabets of keys,
-and the values that base patterns find) and ordinary identifiers (words of a
-bounded sample of documents, base matches taken out, joined as programs and
-paths join them; runs of one character and of successive ones).  Every long
-token of every text is scored by the mean log-likelihood ratio of its character
-pairs and reported where that reaches a threshold.  The threshold is the least
-at which at most ``max_false`` of the ordinary samples that weren't counted
-would be reported; its precision and recall on held-out samples are in the
-model.
+First-order Markov models over the printable ASCII characters are counted from
+labelled samples: one of ordinary identifiers (words of a bounded sample of
+documents, base matches taken out, alone and joined as programs and paths join
+them; runs of one character and of successive ones), and one for each class of
+random strings (by the kinds of characters that a string has: lower case,
+hexadecimal, mixed, ...), drawn from the usual alphabets of keys, and the values
+that base patterns find.  A random string's characters are about even over its
+alphabet, so a class is kept as the mean log probability of its pairs.  Every
+long token of every text is scored by the mean log-likelihood ratio of its
+pairs, random of its class against ordinary, and reported where that reaches a
+threshold.  There is one for each range of lengths, the least at which at most
+``max_false`` of the ordinary samples that weren't counted would be reported;
+precision and recall on held-out samples are in the model.
+
+Documents hold secrets that no base pattern finds, so ordinary samples which a
+first model takes for random ones are left out and the model counted again.
 
 Spark has no function for the places of all matches: a text is split at the
 matches, and the lengths of the parts before each match add up to its place.
@@ -41,10 +47,16 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LENGTH = 6
 #: Tokens that the models score.
-TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
+TOKEN = r"[A-Za-z0-9+/=_-]{16,}"
 #: Alphabets of random strings, and what joins the words of an ordinary identifier.
-ALPHABETS = [string.ascii_letters + string.digits + more for more in ("", "", "+/", "-_")] + [string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"]
+ALPHABETS = [string.ascii_letters + string.digits + more for more in ("", "", "+/", "-_")] + [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"]
 JOINS = ["_", "-", "/", ""]
+#: Classes of strings by the characters they have besides + / = _ and -: the first that fits.
+CLASSES = [r"[0-9]*", r"[a-z]*", r"[A-Z]*", r"[0-9a-f]*", r"[a-z0-9]*", r"[A-Z0-9]*", r"[a-zA-Z]*", r"(?s).*"]
+#: Random pairs that a class needs; one with fewer counts as even over all characters, and its strings are hardly reported.
+LEAST_PAIRS = 10_000
+#: Least lengths of the ranges that have a threshold of their own.
+LENGTHS = [16, 20, 24, 32]
 KINDS = ["assign", "access", "hex", "markov"]
 #: Characters 32 to 127; others count as 127.
 _CHARACTERS = 96
@@ -66,24 +78,38 @@ def _pairs_of(word: Column) -> Column:
     return F.flatten(F.transform(F.array(codes), paired))
 
 
+def class_of(word: Column) -> Column:
+    """The number of a string's class."""
+    bare, out = F.regexp_replace(word, "[+/=_-]", ""), F.lit(len(CLASSES) - 1)
+    for k in reversed(range(len(CLASSES) - 1)):
+        out = F.when(bare.rlike(f"^{CLASSES[k]}$"), k).otherwise(out)
+    return out
+
+
+def range_of(word: Column) -> Column:
+    """The number of the range of lengths that a string is in; the first for shorter ones."""
+    return sum((F.when(F.length(word) >= n, 1).otherwise(0) for n in LENGTHS[1:]), F.lit(0))
+
+
 @dataclass(frozen=True)
 class SecretModel:
-    """Log-likelihood ratios of character pairs, the least mean that is reported, and what it does on held-out samples.
+    """Ordinary costs (negative log probabilities) of character pairs, each class's mean log probability of a random pair, and the thresholds by range of lengths.
 
-    ``false_share``: of ordinary samples, those reported; ``recall``: of random ones, those reported.
+    ``false_share``: of held-out ordinary samples, those reported; ``recall``: of random ones, those reported.
     """
 
-    ratios: list[float]
-    threshold: float
+    costs: list[float]
+    evenness: list[float]
+    thresholds: list[float]
     false_share: float
     recall: float
 
 
 def random_strings(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
-    """word: n strings of 20 to 48 characters that look like keys, each drawn from one of the alphabets."""
+    """word: n strings of 16 to 48 characters that look like keys, each drawn from one of the alphabets."""
     draw = lambda *parts: F.xxhash64(F.lit(seed), F.col("id"), *parts)
     alphabet = F.get(F.array(*map(F.lit, ALPHABETS)), F.pmod(draw(F.lit("a")), F.lit(len(ALPHABETS))).cast("int"))
-    rows = spark.range(n).select("id", alphabet.alias("alphabet"), F.sequence(F.lit(1), F.pmod(draw(F.lit("n")), F.lit(29)) + 20).alias("places"))
+    rows = spark.range(n).select("id", alphabet.alias("alphabet"), F.sequence(F.lit(1), F.pmod(draw(F.lit("n")), F.lit(33)) + 16).alias("places"))
     return rows.select(F.array_join(F.transform("places", lambda i: F.substr("alphabet", F.pmod(draw(i), F.length("alphabet")).cast("int") + 1, F.lit(1))), "").alias("word"))
 
 
@@ -102,38 +128,46 @@ def identifiers(words: Column, seed: int = 7) -> Column:
 
 def _plain_runs(spark: SparkSession, copies: int) -> DataFrame:
     """word: runs of one character, and of successive characters, each ``copies`` times."""
-    runs = [chr(c) * 24 for c in range(33, 127)] + [string.ascii_lowercase, string.ascii_uppercase, string.digits * 2]
+    runs = [chr(c) * 24 for c in range(33, 127)] + [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.digits * 2]
     return spark.range(copies).select(F.explode(F.array(*map(F.lit, runs))).alias("word"))
 
 
-def train(samples: DataFrame) -> list[float] | None:
-    """Log-likelihood ratios of character pairs, from (word, secret) samples with words of 2 or more characters.
+def train(samples: DataFrame) -> tuple[list[float], list[float]] | None:
+    """Ordinary costs and the evenness of each class, from (word, secret) samples with words of 2 or more characters.
 
-    Either model is mixed with a tenth of even probabilities, so a rare pair
-    weighs little.  The counts that reach the driver are at most 2 * 96 * 96.
+    The ordinary model is mixed with a tenth of even probabilities, so a rare
+    pair weighs little.  The counts that reach the driver are at most 96 * 96
+    for the ordinary model and each class.
     """
-    counted = samples.select("secret", F.explode(_pairs_of(F.col("word"))).alias("pair")).groupBy("secret", "pair").count().collect()
-    n = {kind: [0.0] * _CHARACTERS**2 for kind in (True, False)}
+    kind = F.when(F.col("secret"), class_of(F.col("word"))).otherwise(-1).alias("class")
+    counted = samples.select(kind, F.explode(_pairs_of(F.col("word"))).alias("pair")).groupBy("class", "pair").count().collect()
+    n = {k: [0.0] * _CHARACTERS**2 for k in range(-1, len(CLASSES))}
     for row in counted:
-        n[row["secret"]][row["pair"] - 1] += row["count"]
-    if not any(n[True]) or not any(n[False]):
+        n[row["class"]][row["pair"] - 1] += row["count"]
+    if not any(n[-1]) or not any(any(n[k]) for k in range(len(CLASSES))):
         return None
-    ratios = []
+    costs = []
     for a in range(_CHARACTERS):
-        own = slice(a * _CHARACTERS, (a + 1) * _CHARACTERS)
-        p, q = ([0.9 * x / max(sum(n[kind][own]), 1.0) + 0.1 / _CHARACTERS for x in n[kind][own]] for kind in (True, False))
-        ratios += [round(math.log(x / y), 6) for x, y in zip(p, q, strict=True)]
-    return ratios
+        own = n[-1][a * _CHARACTERS : (a + 1) * _CHARACTERS]
+        costs += [round(-math.log(0.9 * x / max(sum(own), 1.0) + 0.1 / _CHARACTERS), 6) for x in own]
+    evenness = []
+    for k in range(len(CLASSES)):
+        rows = [n[k][a * _CHARACTERS : (a + 1) * _CHARACTERS] for a in range(_CHARACTERS)]
+        total = sum(map(sum, rows))
+        logs = sum(x * math.log(x / sum(row)) for row in rows for x in row if x)
+        evenness.append(round(logs / total, 6) if total >= LEAST_PAIRS else -math.log(_CHARACTERS))
+    return costs, evenness
 
 
-def mean_ratio(word: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio of a word's character pairs."""
-    table = F.expr(f"array({','.join(f'{x}D' for x in ratios)})")
-    return F.aggregate(_pairs_of(word), F.lit(0.0), lambda s, p: s + F.element_at(table, p.cast("int"))) / (F.length(word) - 1)
+def mean_ratio(word: Column, costs: list[float], evenness: list[float]) -> Column:
+    """Mean log-likelihood ratio of a word's character pairs, random against ordinary."""
+    table = F.expr(f"array({','.join(f'{x}D' for x in costs)})")
+    cost = F.aggregate(_pairs_of(word), F.lit(0.0), lambda s, p: s + F.element_at(table, p.cast("int"))) / (F.length(word) - 1)
+    return cost + F.get(F.array(*map(F.lit, evenness)), class_of(word))
 
 
 def fit(plain: DataFrame, found: DataFrame, *, samples: int = 20_000, max_false: float = 0.001) -> SecretModel | None:
-    """Train on half of the samples and set the threshold on the other half.
+    """Train on half of the samples and set the thresholds on the other half.
 
     ``plain``: word, ordinary identifiers; ``found``: word, values that base
     patterns found; ``samples``: how many random strings are drawn.
@@ -145,16 +179,30 @@ def fit(plain: DataFrame, found: DataFrame, *, samples: int = 20_000, max_false:
     # runs are few kinds, counted often enough to weigh among the joined words
     runs = _plain_runs(spark, 400).select("word", F.lit(False).alias("secret"), F.lit(0).cast("long").alias("fold"))
     rows = common.checkpoint(rows.unionByName(runs))
-    ratios = train(rows.where("fold = 0"))
-    if ratios is None or rows.where("fold = 1 and not secret").isEmpty():
+    first = train(rows.where("fold = 0"))
+    if first is None:
+        return None
+    # ordinary samples that are more like random ones hold secrets of the texts
+    rows = common.checkpoint(rows.where(F.col("secret") | (mean_ratio(F.col("word"), *first) < 0)))
+    trained = train(rows.where("fold = 0"))
+    if trained is None or rows.where("fold = 1 and not secret").isEmpty():
         return None
     # hundredths of the ratio, which lies within a few units of 0: a bounded histogram
-    held = rows.where("fold = 1").groupBy("secret", F.floor(100 * mean_ratio(F.col("word"), ratios)).cast("int").alias("at")).count().collect()
-    n = {kind: {r["at"]: r["count"] for r in held if r["secret"] == kind} for kind in (True, False)}
-    above = lambda kind, at: sum(c for k, c in n[kind].items() if k >= at) / max(1, sum(n[kind].values()))
-    places = sorted({*n[True], *n[False], max([*n[True], *n[False]]) + 1})
-    at = next(k for k in places if above(False, k) <= max_false)
-    return SecretModel(ratios, at / 100, above(False, at), above(True, at))
+    held = rows.where("fold = 1").groupBy("secret", range_of(F.col("word")).alias("range"), F.floor(100 * mean_ratio(F.col("word"), *trained)).cast("int").alias("at")).count().collect()
+    n = {kind: [{r["at"]: r["count"] for r in held if r["secret"] == kind and r["range"] == k} for k in range(len(LENGTHS))] for kind in (True, False)}
+    above = lambda counts, at: sum(c for k, c in counts.items() if k >= at)
+    marks = []
+    for k in range(len(LENGTHS)):
+        # a range with few ordinary samples takes those of the shorter ones too, which vary more
+        own, j = dict(n[False][k]), k
+        while sum(own.values()) * max_false < 1 and j:
+            j -= 1
+            own = {at: own.get(at, 0) + n[False][j].get(at, 0) for at in {*own, *n[False][j]}}
+        total = sum(own.values())
+        places = sorted({*own, max(own, default=-1) + 1, 0})
+        marks.append(next(at for at in places if above(own, at) <= max_false * total and (total or at >= 0)))
+    share = lambda kind: sum(above(n[kind][k], marks[k]) for k in range(len(LENGTHS))) / max(1, sum(sum(x.values()) for x in n[kind]))
+    return SecretModel(*trained, [m / 100 for m in marks], share(False), share(True))
 
 
 def scan(docs: DataFrame, *, sample_docs: int = 1000, max_false: float = 0.001, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,13 +234,15 @@ def scan(docs: DataFrame, *, sample_docs: int = 1000, max_false: float = 0.001,
     placed = placed.where((F.col("kind") != 0) | (F.length(value) >= ASSIGN_LENGTH))
     if model is None:
         valued = placed.select(F.when(F.col("kind") == 0, value).when(F.col("kind") == 1, F.col("hit")).alias("word")).where(F.length("word") >= 16)
-        plain = read.where(F.size("words") >= 3).select(F.explode(identifiers(F.col("words"))).alias("word"))
+        long = F.filter("words", lambda w: F.length(w) >= LENGTHS[0])
+        plain = read.where(F.size("words") >= 3).select(F.explode(F.concat(identifiers(F.col("words")), long)).alias("word"))
         model = fit(plain, valued, max_false=max_false)
     if model is None:
         placed = placed.where("kind < 3")
     else:
-        score = F.when(F.col("kind") == 3, mean_ratio(F.col("hit"), model.ratios))
-        placed = placed.where((F.col("kind") < 3) | (score >= model.threshold))
+        score = F.when(F.col("kind") == 3, mean_ratio(F.col("hit"), model.costs, model.evenness))
+        least = F.get(F.array(*map(F.lit, model.thresholds)), range_of(F.col("hit")))
+        placed = placed.where((F.col("kind") < 3) | (score >= least))
     spans = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hit"))).alias("found"))
     base = F.filter("found", lambda x: x["kind"] < 3)
     alone = lambda x: (x["kind"] < 3) | ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))

@@ -204,19 +204,49 @@ def test_op7_finds_planted_tokens_and_leaves_identifiers(spark):
     assert caught >= 0.9 * len(tokens) and caught >= 0.9 * every
 
 
+@pytest.mark.parametrize("every", [4, 1])
+def test_op7_recall_by_kind(spark, every):
+    """Random strings of several kinds in each fourth document and in each one, beside long ordinary words."""
+    import random
+    import string
+    import uuid
+
+    rng = random.Random(11)
+    parts = ["ta", "re", "mon", "li", "ver", "sto", "pen", "dar", "ung", "keit", "schaft", "tion"]
+    names = ["".join(rng.choices(parts, k=rng.choice([1, 2, 2, 3, 3, 6]))) for _ in range(800)]
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    kinds = {"alnum32": lambda: draw(string.ascii_letters + string.digits, 32), "alnum16": lambda: draw(string.ascii_letters + string.digits, 16), "lower24": lambda: draw(string.ascii_lowercase, 24), "upper20": lambda: draw(string.ascii_uppercase + string.digits, 20), "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128)))}
+    rows, planted = [], {}
+    for i in range(400):
+        words = rng.choices(names, k=150)
+        if i % every == 0:
+            kind = list(kinds)[i // every % len(kinds)]
+            planted[i] = (kind, kinds[kind]())
+            words.insert(rng.randrange(150), planted[i][1])
+        rows.append((i, " ".join(words)))
+    found = {r.doc_id: [x.hit for x in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = collections.Counter(k for i, (k, t) in planted.items() if t in found[i])
+    wanted = collections.Counter(k for k, _ in planted.values())
+    assert all(caught[k] >= 0.9 * wanted[k] for k in wanted), (caught, wanted)
+    false = sum(h not in (planted.get(i) or ((), ""))[1] for i, hits in found.items() for h in hits)
+    assert false <= 0.1 * len(planted)
+
+
 def test_op7_added_spans_by_brute_force(spark):
     rows, _ = _planted(30)
     rows.append((99, "password=abcdefghijklmnopqrstuvw x " + "q7" * 12))
     rng = np.random.default_rng(2)
-    model = secrets.SecretModel([round(float(x), 6) for x in rng.normal(0, 1, 96 * 96)], 0.05, 0.0, 0.0)
+    evenness = [round(float(x), 6) for x in rng.normal(0, 0.1, len(secrets.CLASSES))]
+    model = secrets.SecretModel([round(float(x), 6) for x in rng.normal(0, 1, 96 * 96)], evenness, [0.3, 0.05, 0.02, -0.1], 0.0, 0.0)
     code = lambda c: min(max(ord(c) - 32, 0), 95)
     for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect():
         text = next(t for i, t in rows if i == r.doc_id)
         base = [(x.start, x.end) for x in r.spans if x.kind < 3]
         want = []
-        for m in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", text):
-            mean = np.mean([model.ratios[code(a) * 96 + code(b)] for a, b in zip(m[0], m[0][1:])])
-            if mean >= model.threshold and not any(a < m.end() and m.start() < b for a, b in base):
+        for m in re.finditer(r"[A-Za-z0-9+/=_-]{16,}", text):
+            own = next(k for k, c in enumerate(secrets.CLASSES) if re.fullmatch(c, re.sub("[+/=_-]", "", m[0])))
+            mean = np.mean([model.costs[code(a) * 96 + code(b)] for a, b in zip(m[0], m[0][1:])]) + model.evenness[own]
+            if mean >= model.thresholds[sum(len(m[0]) >= n for n in (20, 24, 32))] and not any(a < m.end() and m.start() < b for a, b in base):
                 want.append(m.span())
         assert [(x.start, x.end) for x in r.spans if x.kind == 3] == want
 
@@ -250,6 +280,39 @@ def test_op10_statistics(spark, docs):
         assert r.base_failed == (len(w) < 50 or 100 * repeated > 50 * len(w))
 
 
+def test_op10_verdicts_by_formula(spark):
+    """score, worst and kept from the formulas, on texts with planted trusted, junk and toxic words."""
+    import random
+
+    rng = random.Random(9)
+    names = [f"w{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(600):
+        words = rng.choices(names, k=rng.randrange(60, 200))
+        if i % 6 == 0:
+            words[5] = rng.choice(["vile", "foul", "rotten"])
+        if i % 6 == 1:
+            words = [w + "#" if rng.random() < 0.5 else w for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0 if i % 6 == 1 else 1, 1 if i % 6 == 0 else 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, marks)
+    assert len(model.words) == 3 and model.floor is not None and model.threshold is not None
+    got = {r.doc_id: r for r in quality.judge(docs, model).collect()}
+    import pyarrow as pa
+
+    word_hash = lambda w: int(quality.common.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0])
+    weights = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    for i, text in rows:
+        data, offsets = quality.common.utf8(pa.array([text]))
+        buckets, n = quality._features(data, *quality.common.word_spans(data, offsets))
+        assert got[i].score == pytest.approx(sum(int(model.ratios[b]) for b in buckets) / n[0] / 1e6)
+        assert got[i].worst == min([0.0, *(weights.get(word_hash(w), 0.0) for w in text.split())])
+        assert got[i].kept == (not got[i].base_failed and got[i].score >= model.threshold and got[i].worst >= model.floor)
+    kept = collections.Counter(i % 6 for i, r in got.items() if r.kept)
+    assert kept[0] == 0 and kept[1] <= 3 and all(kept[k] >= 97 for k in (2, 3, 4, 5))
+
+
 def test_line_dedup_keeps_the_first_copy(odd):
     got = {r.doc_id: r.text for r in lines.dedup_lines(odd).collect()}
     assert len(got[1].split()) == 60 and got[4] == "" and got[2] is None and got[3] == ""
