@@ -9,8 +9,8 @@ single ``article`` (or, without one, ``main``) element says where its content
 is, others have no part in the fit.  Kinds are few (a tag's name; a word's nearest block and
 whether it is in a link), so their counts over all pages are one small table.
 
-Elements that are never content (scripts, forms, menus, adverts, comments: by
-name, role or class) are left out before scoring and from the text.  A region
+Elements that are never content (scripts, forms, menus, adverts, comments, what
+is hidden: by name, role or class) are left out before scoring and from the text.  A region
 most of which is in an ``article`` or ``main`` becomes that element, so that a
 heading or last paragraph of one word isn't cut off, and what follows isn't
 taken along; another region takes whole blocks.
@@ -50,17 +50,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Parts of a class, id or role that tell what is never content, those of reader comments and lists of other pages, and those of a page's header.
 ROLE = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|adsense|sponsor(ed|s)?|promo\w*|banner|nav(bar|igation)?|menu|breadcrumbs?|side-?bar|footer|cookies?|consent|gdpr|notices?|notification|alert|dialog|pop-?up|modal|overlay|newsletter|subscri\w+|sign-?up|login|form"
+    r"(?<![a-z])(ads?|adsby\w*|advert\w*|adsense|sponsor(ed|s)?|promo\w*|banner|nav(bar|igation)?|menu|breadcrumbs?|side-?bar|footer|cookies?|consent|gdpr|notices?|notification|alert|dialog|pop-?up|modal|overlay|newsletter|subscri\w+|sign-?up|login|form"
     r"|share|sharing|social|pagination|pager|widget|toolbar|skip-?link|search(box|form|bar)?|complementary|contentinfo|masthead|top-?bar)(?![a-z])"
 )
 OTHERS = re.compile(r"(?<![a-z])(comments?|comment-?list|respond|replies|reply|disqus|discussion|related|recommend\w*)(?![a-z])")
+UNSEEN = re.compile(r"(?i)display\s*:\s*none")
 HEADER = re.compile(r"((site|page|global|top|main)-)?header")
 COMMENT = re.compile(r"comments?(-(body|item|entry|list|[0-9]+))?")
 #: What stands before a part that an element merely has, or lacks.
 HAS = re.compile(r"(?<![a-z])(has|with|without|no|show|hide)-[\w-]*")
 _CONTENT = ("article", "main")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _END_OF_RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -74,8 +75,11 @@ LEAST_SHARE, OUTSIDE = 0.25, -1.0
 # --- a page as tokens --------------------------------------------------------
 
 
-def _role(name: str, attributes: str, within: bool) -> int:
-    """0 for what may be content, 1 for what is never, 2 for comments and lists of other pages; a header may be if it is the content's own."""
+def _role(name: str, attributes: str, within: bool, named: bool) -> int:
+    """0 for what may be content, 1 for what is never, 2 for comments and lists of other pages; a header may be if it is the content's own.
+
+    ``named``: whether class, id and role tell.
+    """
     if name in NEVER or name == "header" and not within:
         return 1
     if not attributes or name in ("html", "body"):
@@ -83,9 +87,9 @@ def _role(name: str, attributes: str, within: bool) -> int:
     role = 0
     for key, *values in _ATTRIBUTE.findall(attributes):
         value, key = next(filter(None, values), ""), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNSEEN.search(value):
             return 1
-        for word in _CAMEL.sub("-", value).lower().replace("_", "-").split() if key in ("class", "id", "role") else ():
+        for word in _CAMEL.sub("-", value).lower().replace("_", "-").split() if named and key in ("class", "id", "role") else ():
             if name in _CONTENT:
                 role = max(role, 2 * bool(COMMENT.fullmatch(word)))
             else:
@@ -94,7 +98,7 @@ def _role(name: str, attributes: str, within: bool) -> int:
     return role
 
 
-def tokens(html: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, int, str]]]:
+def tokens(html: str, named: bool = True) -> tuple[list[tuple[str, str, int]], list[tuple[int, int, str]]]:
     """Tokens (kind, text, words) of what may be content, and the token ranges of content elements with their names.
 
     The text of a tag is its name, with a slash before an end tag; that of
@@ -149,14 +153,14 @@ def tokens(html: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, int,
             if name == "li" and stack and stack[-1][0] == "li" or name in ("td", "th") and stack and stack[-1][0] in ("td", "th"):
                 pop()
             block, link = name, False
-        role = _role(name, m[3], bool(open_spans))
+        role = _role(name, m[3], bool(open_spans), named)
         if name in _CONTENT and not role and hidden and all(r < 2 for _, r in stack):
             while hidden:  # a menu or advert that nobody closed
                 pop()
         if not hidden and not role:
             out.append((kind(name), name, 0))
         link = link or name == "a"
-        if name in VOID:
+        if name in VOID or name in ("svg", "math") and m[3].endswith("/"):
             continue
         if name in HOLDERS or role:
             if name in _CONTENT and not hidden and not role:
@@ -236,8 +240,10 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(html: str, weights: dict[str, float]) -> str:
-    """The text of a page's main content."""
+    """The text of a page's main content; where class, id and role leave no word of a page, they don't tell."""
     found, spans = tokens(html)
+    if not any(t[2] for t in found):
+        found, spans = tokens(html, named=False)
     score = lambda t: (t[2] if t[0][:3] != "tag" else 1) * (weights[t[0]] if t[0] in weights else weight(t[0], 0, 0))
     own = lone(found, spans)
     scores = [score(t) if own is None or own[0] <= k < own[1] or t[0][:3] == "tag" else OUTSIDE * t[2] for k, t in enumerate(found)]

@@ -113,6 +113,11 @@ PAGES = {
         "Head\nSome words that make a paragraph of the article, enough of them.\nMore words with a link inside of the paragraph.",
     ),
     "unclosed": ("<nav><ul><li>a b c<article><h1>One</h1><p>two three<p class='ad'>buy this<p>four</article><p>after the end of it", "One\ntwo three\nfour"),
+    "hidden parts": (
+        '<article><svg width="1"/><p>one <span style="color:red; display: none">gone</span>two</p><ins class="adsbygoogle">buy</ins><p hidden>gone</p><p>three</p></article>',
+        "one two\nthree",
+    ),
+    "all named": ('<body class="x"><div class="modal-page"><h2>Title</h2><p>the only words</p></div><nav>menu</nav></body>', "Title\nthe only words"),
     "no tags": ("just  some\twords", "just some words"),
     "quotes": ("<article><p title='it\">s'>in > \"quotes\" 1 < 2</p></article>", 'in > "quotes" 1 < 2'),
     "only comments": ("<!-- a b c --><![CDATA[ x ]]><script>x</script", ""),
