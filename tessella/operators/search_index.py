@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import search
 
+#: Rows of a block, of which there are 16 at least.
+BLOCK_ROWS = 100_000
 #: Columns that the index adds.
 BLOCK, _GRAM = "_block", "_gram"
 
@@ -26,8 +28,9 @@ def trigrams(text: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(found, lambda x: x.isNotNull())), F.array().cast("array<string>"))
 
 
-def build(rows: DataFrame, path: str, columns: list[str], *, id_col: str = "id", blocks: int = 256) -> None:
-    """Write the table by blocks and its index of the columns; a path that exists is an error."""
+def build(rows: DataFrame, path: str, columns: list[str], *, id_col: str = "id", blocks: int | None = None) -> None:
+    """Write the table by blocks, by default of about BLOCK_ROWS rows, and its index of the columns; a path that exists is an error."""
+    blocks = blocks or max(16, -(-rows.count() // BLOCK_ROWS))
     dealt = rows.withColumn(BLOCK, F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
     dealt.repartition(blocks, BLOCK).write.mode("errorifexists").partitionBy(BLOCK).parquet(f"{path}/rows")
     stored = rows.sparkSession.read.parquet(f"{path}/rows")

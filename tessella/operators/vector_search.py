@@ -28,8 +28,8 @@ def top_k(vectors: DataFrame, query: Sequence[float], *, k: int = 10, threshold:
     return rows.orderBy(F.col("score").desc() if more else F.col("score").asc(), id_col).limit(k)
 
 
-#: Rows of a block of queries or a tile of vectors, queries scored at once, and groups of tiles that get every block once.
-BLOCK_ROWS, STEP_ROWS, GROUPS = 4096, 256, 16
+#: Rows of a block of queries or a tile of vectors, queries scored at once, and the least and most groups of tiles that get every block once.
+BLOCK_ROWS, STEP_ROWS, GROUPS = 4096, 256, (16, 1024)
 
 
 def _pack(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -69,9 +69,10 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, max_quer
     """
     if max_queries is not None and queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries: search them in parts")
+    groups = max(GROUPS[0], min(GROUPS[1], -(-vectors.count() // BLOCK_ROWS)))  # a count of rows reads no vector
     vectors, queries = (df.where(is_finite(F.col(vector_col))) for df in (vectors, queries))
-    tiles = _pack(vectors, id_col, vector_col).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
-    blocks = _pack(queries, id_col, vector_col).select("dim", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("group"))
+    tiles = _pack(vectors, id_col, vector_col).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    blocks = _pack(queries, id_col, vector_col).select("dim", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -403,6 +403,18 @@ def chunk_sentence(spark, d):
     return text.chunk_separated(_t(spark, d, "documents")).withColumn("content", F.md5("content"))
 
 
+@_query("""
+WITH p AS (SELECT doc_id, list_filter(string_split(text, '. '), lambda x: trim(x) <> '') AS parts FROM documents),
+w AS (SELECT *, list_transform(parts, lambda s: list_distinct(list_filter(string_split(lower(s), ' '), lambda x: x <> ''))) AS words FROM p WHERE len(parts) > 0),
+b AS (SELECT *, list_filter(range(0, len(parts)), lambda i: i = 0 OR len(list_intersect(flatten(words[greatest(i - 3, 0) + 1 : i]), flatten(words[i + 1 : i + 3]))) < 0.05 * len(list_distinct(list_concat(flatten(words[greatest(i - 3, 0) + 1 : i]), flatten(words[i + 1 : i + 3]))))) AS starts FROM w),
+k AS (SELECT *, unnest(range(1, len(starts) + 1)) AS k FROM b)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_index, md5(array_to_string(parts[starts[k] + 1 : coalesce(starts[k + 1], len(parts))], '. ')) AS content FROM k
+""")
+def chunk_semantic(spark, d):
+    """Runs of sentences that share words."""
+    return text.chunk_semantic(_t(spark, d, "documents")).withColumn("content", F.md5("content"))
+
+
 @_query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER w AS rn, sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE rn <= 100 AND chars <= 400")
 def memory_window(spark, d):
     """The newest messages that fit a context window."""
