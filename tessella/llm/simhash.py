@@ -466,20 +466,31 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     sketches is either in one class or tested.  A key with up to ``split`` nodes is one row of the work, one with
     more is cut to blocks of which each pair is a row.
     """
-    most, nearest, past, every, shape = most_bits(similarity), 1, 0, keys, "key long, u long, v long"
+    most, nearest, past, shape = most_bits(similarity), 1, 0, "key long, u long, v long"
     member = F.collect_list(F.struct("node", "class", *_SKETCH, *_MARKS))
-    tested = links = roots = None
-    keys_of_all = keys
+    tested = roots = None
+
+    def of_nodes(keys: DataFrame) -> DataFrame:
+        """A row for each node with its keys, of which it has a bounded number, so that sketches meet nodes and not keys."""
+        return keys.groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
+
+    by_node = common.stored(of_nodes(keys), "keys-of-nodes")
     while True:
         sketch = nodes.select("node", F.col("node").alias("class"), *_SKETCH, *_MARKS)
         if roots is not None:
             sketch = nodes.select("node", *_SKETCH, *_MARKS).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"), *_SKETCH, *_MARKS)
-        keys = every.where(F.col("key").bitwiseAND(F.lit(15)) == 0) if roots is None else every
+
+        def members(fits, sketch: DataFrame = sketch, by_node: DataFrame = by_node, first: bool = roots is None) -> DataFrame:
+            """key, n and a member of it, for the keys of this round that fit."""
+            own = F.filter("keys", lambda k: fits(k["n"]) & (k["key"].bitwiseAND(F.lit(15)) == 0) if first else fits(k["n"]))
+            some = by_node.select("node", own.alias("keys")).where(F.size("keys") > 0)
+            return some.join(sketch, "node").select("node", "class", *_SKETCH, *_MARKS, F.explode("keys").alias("k")).select("k.key", "k.n", "node", "class", *_SKETCH, *_MARKS)
+
         unlike = F.min("class") < F.max("class")
-        whole = keys.where(F.col("n") <= split).join(sketch, "node").groupBy("key").agg(member.alias("left"), unlike.alias("unlike")).where("unlike")
+        whole = members(lambda n: n <= split).groupBy("key").agg(member.alias("left"), unlike.alias("unlike")).where("unlike")
         whole = whole.select("key", "left", F.lit(None).cast(whole.schema["left"].dataType).alias("right"))
-        many = keys.where(F.col("n") > split).withColumn("blocks", F.ceil(F.col("n") / (2 * split))).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
-        blocks = many.join(sketch, "node").groupBy("key", "i", "blocks").agg(member.alias("members"), F.min("class").alias("least"), F.max("class").alias("most"))
+        many = members(lambda n: n > split).withColumn("blocks", F.ceil(F.col("n") / (2 * split))).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+        blocks = many.groupBy("key", "i", "blocks").agg(member.alias("members"), F.min("class").alias("least"), F.max("class").alias("most"))
         blocks = common.stored(blocks, "blocks")
         written = blocks
         open_keys = blocks.groupBy("key").agg((F.min("least") < F.max("most")).alias("unlike")).where("unlike").select("key")
@@ -495,16 +506,17 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         left = common.stored(found.where("key IS NOT NULL").select("key"), "open")
         common.remove(found)
         passed = common.stored(verified(new, sets, similarity), "similar")
-        links = passed if links is None else links.unionByName(passed)
-        tested = new if tested is None else tested.unionByName(new)
-        first = roots is None
+        # what is linked already goes on as a star of each class
+        links = passed if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(passed)
+        tested, first = new if tested is None else tested.unionByName(new), roots is None
         roots = components(links)
+        common.remove(passed)
         if not first:
             if left.isEmpty():
                 return roots
-            before, every = every, common.stored(every.join(left, "key", "left_semi"), "keys")
-            if before is not keys_of_all:
-                common.remove(before)
+            still = by_node.select("node", F.explode("keys").alias("k")).select("node", "k.*").join(left, "key", "left_semi")
+            before, by_node = by_node, common.stored(of_nodes(still), "keys-of-nodes")
+            common.remove(before)
         nearest, past = (NEAREST, 0) if first else (nearest * MORE, nearest)
 
 
