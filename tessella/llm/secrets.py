@@ -53,8 +53,8 @@ ALPHABETS = [string.ascii_letters + string.digits + more for more in ("", "", "+
 JOINS = ["_", "-", "/", ""]
 #: Classes of strings by the characters they have besides + / = _ and -: the first that fits.
 CLASSES = [r"[0-9]*", r"[a-z]*", r"[A-Z]*", r"[0-9a-f]*", r"[a-z0-9]*", r"[A-Z0-9]*", r"[a-zA-Z]*", r"(?s).*"]
-#: Random pairs that a class needs; one with fewer counts as even over all characters, and its strings are hardly reported.
-LEAST_PAIRS = 10_000
+#: Random pairs that a class needs; the strings of one with fewer, such as digits alone (numbers of cards and telephones), are never reported.
+LEAST_PAIRS, NEVER = 10_000, -1000.0
 #: Least lengths of the ranges that have a threshold of their own.
 LENGTHS = [16, 20, 24, 32]
 KINDS = ["assign", "access", "hex", "markov"]
@@ -155,7 +155,7 @@ def train(samples: DataFrame) -> tuple[list[float], list[float]] | None:
         rows = [n[k][a * _CHARACTERS : (a + 1) * _CHARACTERS] for a in range(_CHARACTERS)]
         total = sum(map(sum, rows))
         logs = sum(x * math.log(x / sum(row)) for row in rows for x in row if x)
-        evenness.append(round(logs / total, 6) if total >= LEAST_PAIRS else -math.log(_CHARACTERS))
+        evenness.append(round(logs / total, 6) if total >= LEAST_PAIRS else NEVER)
     return costs, evenness
 
 

@@ -189,7 +189,7 @@ def _planted(n=120):
         text = " ".join(rng.choices(names, k=80))
         if i % 3 == 0:
             tokens[i] = "".join(rng.choices(string.ascii_letters + string.digits, k=32))
-            text = f"é {tokens[i]} {text}"
+            text = f"é {tokens[i]} {text} 4845168114407329 00491701234567890123"
         elif i % 3 == 1:
             text = f"{'_'.join(rng.choices(names, k=4))} {''.join(x.title() for x in rng.choices(names, k=4))} {'-' * 30} {text}"
         rows.append((i, text))
