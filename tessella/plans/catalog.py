@@ -91,12 +91,12 @@ def indexed_search(spark, d):
     return names.unionByName(types).dropDuplicates(["p_partkey"]).select("p_partkey", "p_name", "p_type")
 
 
-@_query("SELECT doc_id, md5(text) AS content FROM documents WHERE contains(lower(text), 'redistribution')")
+@_query("SELECT doc_id, md5(text) AS content FROM documents WHERE contains(lower(text), 'pathetic')")
 def indexed_document_search(spark, d):
     """Whole texts by trigrams."""
     path = scratch(spark, "search-index")
     search_index.build(_t(spark, d, "documents").select("doc_id", "text"), path, ["text"], id_col="doc_id", blocks=64)
-    return search_index.find(spark, path, "Redistribution", "text", indexed=["text"]).select("doc_id", F.md5("text").alias("content"))
+    return search_index.find(spark, path, "Pathetic", "text", indexed=["text"]).select("doc_id", F.md5("text").alias("content"))
 
 
 @_query("SELECT turn, text FROM conversations WHERE conv_id = 3 AND contains(lower(text), 'th') ORDER BY turn")
