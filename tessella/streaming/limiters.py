@@ -120,8 +120,8 @@ def last_activity(messages: DataFrame, *, key: str = "user_id", ts: str = "ts")
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
-    """A stream of the Parquet files of a name in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """A stream of a Parquet table in a folder, be it one file or a folder of files."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")  # a stream's path can't be a single file, but a pattern that one file fits
 
 
 def run_once(stream: DataFrame, mode: str = "append", key: str | list[str] | None = None) -> DataFrame:
@@ -132,6 +132,7 @@ def run_once(stream: DataFrame, mode: str = "append", key: str | list[str] | Non
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")  # a repeated batch replaces itself
 
+    write(spark.createDataFrame([], stream.schema), -1)  # a stream without rows runs no batch
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     rows = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")

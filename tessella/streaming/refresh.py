@@ -60,6 +60,7 @@ def follow_statistics(embeddings: DataFrame, folder: str, buckets: int = BUCKETS
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
 
+    write(spark.createDataFrame([], _TOTALS), -1)  # a stream without rows runs no batch
     old = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, ROCKS)
     try:

@@ -7,6 +7,8 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
+from tessella.plans import contracts  # noqa: F401  registers its queries in the catalog
+from tessella.plans.catalog import QUERIES
 from tessella.streaming import latency, limiters, refresh
 
 DATA = "/root/testdata/sf0.001"
@@ -78,3 +80,24 @@ def test_limiter_with_its_defaults(spark):
     got = {r.id: (r.allowed, r.remaining) for r in limiters.run_once(limiters.sliding_limit(source)).collect()}
     assert sorted(k for k, v in got.items() if not v[0]) == list(range(100, 150))
     assert got[150] == (True, 99)
+
+
+def _as_folders(spark, folder, *names, rows=None):
+    """Tables of the test data, or of the rows, as folders of files."""
+    for name in names:
+        df = spark.read.parquet(f"{DATA}/{name}.parquet") if rows is None else rows
+        df.repartition(3).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    _as_folders(spark, tmp_path, "embeddings", "events")
+    for name in ("store_stats_stream", "latency_stream", "limiter_a_stream", "session_state_stream"):
+        one, many = (sorted(map(tuple, QUERIES[name](spark, d).collect()), key=repr) for d in (DATA, str(tmp_path)))
+        assert one == many and one
+
+
+def test_streams_of_empty_tables(spark, tmp_path):
+    for name in ("embeddings", "events"):
+        _as_folders(spark, tmp_path, name, rows=spark.read.parquet(f"{DATA}/{name}.parquet").limit(0))
+    for name in ("store_stats_stream", "latency_stream", "limiter_a_stream"):
+        assert QUERIES[name](spark, str(tmp_path)).collect() == []
