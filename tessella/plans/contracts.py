@@ -206,7 +206,7 @@ round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(va
 def latency_stream(spark, d):
     """Durations and failures by route and week of event time, as a stream."""
     source = limiters.file_stream(spark, d, "events.parquet", _t(spark, d, "events").schema)
-    out = limiters.run_once(latency.latency_windows(source, ["event_type"], F.col("value"), F.col("value") > 90, width="7 days"), "update", ["window_start", "event_type"])
+    out = latency.exact_latency(source, ["event_type"], F.col("value"), F.col("value") > 90, width="7 days")
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "failure_rate")}).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -15,12 +16,23 @@ from ..operators.retention import replace_json
 
 #: Parts of a store, by the hash of the document: a store of any size has its state in so many places.
 BUCKETS = 64
-#: The state store that keeps maps (fixed value of Spark).
+#: The state store that keeps maps, and states larger than memory (fixed value of Spark).
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _TOTALS = T.StructType([T.StructField("vector_store_id", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("vectors", T.LongType()), T.StructField("documents", T.LongType())])
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state outside the heap."""
+    old = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, old) if old else spark.conf.unset(_PROVIDER)
+
+
 class _Counts(StatefulProcessor):
     """Vectors and different documents of a (store, bucket), which it tells after each micro-batch that has rows of it."""
 
@@ -61,13 +73,9 @@ def follow_statistics(embeddings: DataFrame, folder: str, buckets: int = BUCKETS
         df.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
 
     write(spark.createDataFrame([], _TOTALS), -1)  # a stream without rows runs no batch
-    old = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKS)
-    try:
+    with rocks(spark):
         query = totals.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
-    finally:
-        spark.conf.set(_PROVIDER, old) if old else spark.conf.unset(_PROVIDER)
 
 
 def statistics(spark: SparkSession, folder: str) -> DataFrame:

@@ -101,3 +101,20 @@ def test_streams_of_empty_tables(spark, tmp_path):
         _as_folders(spark, tmp_path, name, rows=spark.read.parquet(f"{DATA}/{name}.parquet").limit(0))
     for name in ("store_stats_stream", "latency_stream", "limiter_a_stream"):
         assert QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_percentiles_of_large_windows_are_exact(spark, tmp_path):
+    """More different durations than a sketch holds, ties, routes without durations, values dealt to many ranges."""
+    path, shares = str(tmp_path / "requests"), (0.5, 0.95, 0.99)
+    rows = spark.range(30_000).select(F.when(F.col("id") % 10 > 0, "a").when(F.col("id") % 20 > 0, "b").alias("route"), F.expr("timestamp_ntz'2026-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 7000)").alias("ts"), F.expr("if(id % 20 = 10, null, id * 7919 % 20011 / 8)").alias("ms"))
+    rows.write.parquet(path)
+    source = spark.readStream.schema(rows.schema).parquet(path)
+    got = latency.exact_latency(source, ["route"], F.col("ms"), F.col("ms") > 100, width="1 hour", shares=shares).drop("mean", "failure_rate").collect()
+    want = duckdb.sql(f"SELECT date_trunc('hour', ts), route, count(*), count(*) FILTER (ms > 100), {', '.join(f'quantile_disc(ms, {s})' for s in shares)} FROM '{path}/*.parquet' GROUP BY 1, 2").fetchall()
+    assert sorted(((r[0].replace(tzinfo=None), *r[1:]) for r in got), key=repr) == sorted(want, key=repr)
+    counts = spark.range(1000).select(F.lit(1).alias("window_start"), F.col("id").cast("double").alias("_value"), F.lit(3).alias("n"), F.lit(0).alias("failures"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert latency.latency_of_counts(counts, [], shares).drop("mean").first()[1:] == (3000, 0, 0.0, 499.0, 949.0, 989.0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
