@@ -208,3 +208,20 @@ def test_top_k_without_bad_vectors(spark):
     assert [r.id for r in vector_search.top_k(df, [1.0, 0.0], threshold=0.9).collect()] == [1]
     got = vector_search.batch_top_k(df, df, k=9).collect()
     assert sorted((r.query_id, r.id) for r in got) == [(1, 1), (1, 8), (4, 4), (8, 1), (8, 8)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 20])
+def test_tasks_tell_all_trigrams(monkeypatch, spark, chunk):
+    """A task's different trigrams, whatever the alphabet, are those of the column function; there is a row for each, not one for each text."""
+    rng = random.Random(chunk)
+    alphabet = "aaabB \x00\n%éßÄıİ\u00ff\u0100日本語😀"
+    rows = [(i, i % 3, rng.choice([None, "", "a", "ab", "日本"] + ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(9)]), "".join(rng.choices(alphabet, k=4))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, block int, t string, u string")
+    want = {(r.block, k, g) for k, c in enumerate("tu") for r in df.select("block", search_index.trigrams(F.col(c)).alias("g")).collect() for g in r.g}
+    low = df.select("block", F.lower("t").alias("t"), F.lower("u").alias("u")).toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(search_index, "CHUNK", chunk)
+    for tables in (1, 8):
+        monkeypatch.setattr(search_index, "TABLES", tables)
+        found = [tuple(r.values()) for b in search_index._grams(iter([low.slice(0, 250), low.slice(250)])) for r in b.to_pylist()]
+        assert set(found) == want
+    assert len(found) == len(want)
