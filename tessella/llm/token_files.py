@@ -4,7 +4,8 @@ Documents are sorted by id over the cluster; each task encodes its range,
 appends the end id, cuts the stream of ids into sequences of equal length and
 writes an Arrow IPC file of ``tokens`` and ``mask`` (fixed-size lists; bytes, 0 in
 the padding after the last id, else 1) and an index file with a row for
-each document.  A file's footer holds the place of each record batch, so any
+each document.  Masks are dictionary-encoded, as a file has two different ones
+at most: one byte a sequence, not one a token.  A file's footer holds the place of each record batch, so any
 sequence can be read from a memory map without a copy.  Ids take 16 bits where
 the vocabulary allows.
 
@@ -49,13 +50,18 @@ class _Writer:
 
     def __init__(self, sink, dtype: np.dtype, length: int):
         self.length, self.dtype = length, dtype
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
-        self.out, self.waiting, self.n = pa.ipc.new_file(sink, self.schema), [], 0
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
+        # the last batch adds the mask of the padded sequence to the dictionary
+        self.out, self.waiting, self.n = pa.ipc.new_file(sink, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)), [], 0
 
     def _write(self, ids: np.ndarray, valid: int) -> None:
-        mask = (np.arange(len(ids)) < valid).astype(np.uint8)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-        self.out.write_batch(pa.record_batch(columns, schema=self.schema))
+        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x), self.length)
+        which, padded = np.zeros(len(ids) // self.length, np.int8), len(ids) - valid
+        masks = np.ones((2 if padded else 1) * self.length, np.uint8)
+        if padded:
+            which[-1], masks[len(masks) - padded :] = 1, 0
+        mask = pa.DictionaryArray.from_arrays(pa.array(which), lists(masks))
+        self.out.write_batch(pa.record_batch([lists(ids), mask], schema=self.schema))
 
     def add(self, ids: np.ndarray) -> None:
         self.waiting.append(ids)
@@ -92,10 +98,10 @@ class TokenFile:
         return self._flat
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the i-th sequence, both views of the file."""
+        """Ids and mask of the i-th sequence: views of the file and of its one or two masks."""
         k, j = divmod(i, BATCH_SEQUENCES)
         batch = self.reader.get_batch(k)
-        return batch.column(0)[j].values.to_numpy(), batch.column(1)[j].values.to_numpy()
+        return batch.column(0)[j].values.to_numpy(), batch.column(1)[j].value.values.to_numpy()
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Ids start to start + n of the file's stream."""

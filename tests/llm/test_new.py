@@ -164,3 +164,25 @@ def test_best_region_by_brute_force():
         every = [(sum(s[a:b]), b - a, -a) for a in range(len(s)) for b in range(a + 1, len(s) + 1)]
         a, b = pages.best_region(s)
         assert (sum(s[a:b]), b - a) == (max(every)[:2] if every and max(every)[0] > 0 else (0, 0))
+
+
+@pytest.mark.parametrize("n", [1, 8, 64 * 8, 64 * 8 + 3, 3 * 64 * 8, 3 * 64 * 8 + 9])
+def test_token_files_spend_no_bytes_on_masks(tmp_path, n):
+    """Any sequence and its mask come back from the file, which grows by the ids alone, and masks are no copies."""
+    import pyarrow as pa
+
+    from tessella.llm import token_files
+
+    ids, path = np.arange(n, dtype=np.uint16), str(tmp_path / "t.arrow")
+    with pa.OSFile(path, "wb") as sink:
+        out = token_files._Writer(sink, ids.dtype, 8)
+        for at in range(0, n, 5):
+            out.add(ids[at : at + 5])
+        out.close()
+    file = token_files.TokenFile(path)
+    sequences = [file.sequence(i) for i in range(-(-n // 8))]
+    assert np.concatenate([s for s, _ in sequences])[:n].tolist() == ids.tolist() == file.ids(0, n).tolist()
+    assert np.concatenate([m for _, m in sequences]).tolist() == [1] * n + [0] * (-n % 8)
+    assert all(len(s) == len(m) == 8 and s.dtype == np.uint16 and m.dtype == np.uint8 for s, m in sequences)
+    batches = [file.reader.get_batch(k) for k in range(file.reader.num_record_batches)]
+    assert sum(b.column(1).indices.nbytes for b in batches) == len(sequences) and all(len(b.column(1).dictionary) <= 2 for b in batches)
