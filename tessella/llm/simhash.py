@@ -445,13 +445,13 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     A key is a codeword of a segment with the least or greatest hash of the
     shingles, which similar texts share with the probability of their
     similarity; without it, random documents would share keys as the square of
-    their number.  Of keys of a segment that have the same nodes only the first
-    stays, as a pair is left to the first of its keys.
+    their number.  Of keys that have the same nodes, whatever their segments,
+    only the first stays, as a pair is left to the first of its keys.
     """
     keys = nodes.select("node", *_SKETCH, *_EXTREMES).mapInArrow(_sketch_keys, "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("a"), F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(F.lit(0xFFFFFFFF))).alias("b")).where("n > 1")
     segment, codeword = F.col("key").bitwiseAND(F.lit(15)), F.shiftright("key", 4).bitwiseAND(F.lit(4095))
-    shared = shared.groupBy(segment.alias("segment"), "n", "a", "b").agg(F.min_by("key", codeword).alias("key")).select("key", "n")
+    shared = shared.groupBy("n", "a", "b").agg(F.min_by("key", F.struct(segment, codeword)).alias("key")).select("key", "n")
     return common.stored(keys.join(shared, "key").select("key", "node", "n"), "keys")
 
 

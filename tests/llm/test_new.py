@@ -186,3 +186,32 @@ def test_token_files_spend_no_bytes_on_masks(tmp_path, n):
     assert all(len(s) == len(m) == 8 and s.dtype == np.uint16 and m.dtype == np.uint8 for s, m in sequences)
     batches = [file.reader.get_batch(k) for k in range(file.reader.num_record_batches)]
     assert sum(b.column(1).indices.nbytes for b in batches) == len(sequences) and all(len(b.column(1).dictionary) <= 2 for b in batches)
+
+
+def test_keys_of_the_same_nodes_are_one(spark):
+    """Of keys that have the same nodes, in whatever segments, one stays; no pair with a common key is without one."""
+    import itertools
+
+    import pyarrow as pa
+
+    from tessella.llm import simhash
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(8):
+        words = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(200)]
+        texts += [" ".join(words[: 200 - k]) for k in range(4)]
+    bits, extremes, _ = simhash.sketches(pa.array(texts), 5)
+    columns = [np.arange(len(texts)), *bits.view(np.int64).T, *extremes.view(np.int64).T]
+    names = ["node", *simhash._SKETCH, *simhash._EXTREMES]
+    raw, kept = {}, {}
+    for b in simhash._sketch_keys(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)])):
+        for r in b.to_pylist():
+            raw.setdefault(r["key"], set()).add(r["node"])
+    nodes = spark.createDataFrame([tuple(int(c[i]) for c in columns) for i in range(len(texts))], ", ".join(f"{n} long" for n in names))
+    for r in simhash.shared_keys(nodes).collect():
+        kept.setdefault(r.key, set()).add(r.node)
+    pairs = lambda keys: {p for own in keys.values() for p in itertools.combinations(sorted(own), 2)}
+    assert pairs(kept) == pairs(raw) and pairs(raw)
+    assert len({frozenset(own) for own in kept.values()}) == len(kept) == len({frozenset(own) for own in raw.values() if len(own) > 1})
+
