@@ -217,7 +217,7 @@ KEY_WORDS = 4
 SEGMENTS = 64 * KEY_WORDS // SEGMENT
 #: Hash functions whose least and greatest values are the extremes; the first are those of the sketch.
 FUNCTIONS = -(-SEGMENTS // 2)
-#: Candidates of a node in a group: in the first round of all keys, and how many times as many after each further round.
+#: Further candidates of a node in a group: in the first round of all keys, and how many times as many in each further round.
 NEAREST, MORE = 2, 16
 _SKETCH = [f"_s{k}" for k in range(SKETCH_WORDS)]
 _EXTREMES = [f"_m{k}" for k in range(SEGMENTS)]
@@ -331,10 +331,12 @@ def _marks(extremes: np.ndarray) -> np.ndarray:
 
 
 def _side(members: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """node, class, words of the sketch, codewords (members x SEGMENTS x 6) and marks (members x SEGMENTS)."""
-    words = np.stack([w.view(np.uint64) for w in members[2 : 2 + SKETCH_WORDS]], axis=1)
-    marks = np.stack(members[2 + SKETCH_WORDS :], axis=1).view("<u4")[:, :SEGMENTS]
-    return members[0], members[1], words, codeword_indices(_sketch_segments(words)), marks
+    """By node: node, class, bits and last of the mark, words of the sketch, codewords (members x SEGMENTS x 6) and marks of the extremes (members x SEGMENTS)."""
+    order = np.argsort(members[0], kind="stable")
+    members = [m[order] for m in members]
+    words = np.stack([w.view(np.uint64) for w in members[4 : 4 + SKETCH_WORDS]], axis=1)
+    marks = np.stack(members[4 + SKETCH_WORDS :], axis=1).view("<u4")[:, :SEGMENTS]
+    return *members[:4], words, codeword_indices(_sketch_segments(words)), marks
 
 
 def _first_shared(codes: tuple[np.ndarray, np.ndarray], marks: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
@@ -348,64 +350,81 @@ def _first_shared(codes: tuple[np.ndarray, np.ndarray], marks: tuple[np.ndarray,
     return own
 
 
-def candidates(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most: int, nearest: int, past: int, key: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of nodes of unlike classes whose sketches differ in at most ``most`` bits.
+def _beyond(bits: np.ndarray, mark: tuple[np.ndarray, np.ndarray], nodes: np.ndarray) -> np.ndarray:
+    """Which nodes (columns) come after the mark (bits, last) of a member (rows) in its order, by bits and node."""
+    return (bits > mark[0][:, None]) | (bits == mark[0][:, None]) & (nodes[None, :] > mark[1][:, None])
 
-    The close nodes of the right have a fixed order for each node of the left,
-    by bits and place, whatever their classes.  Those after ``past`` and up to
-    ``nearest`` are taken, and without ``past`` the one with the least number;
-    the flag tells whether some node has more.  A pair that has several keys in
-    common is left to the first of them, which is open until it has taken the
-    pair or the two are in one class.
+
+def _next_mark(bits: np.ndarray, near: np.ndarray, mark: tuple[np.ndarray, np.ndarray], nodes: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The marks after ``nearest`` more of the near nodes (columns, ascending)."""
+    place = np.where(near & _beyond(bits, mark, nodes), bits.astype(np.int64) * len(nodes) + np.arange(len(nodes)), 1 << 40)
+    kept = min(nearest, len(nodes))
+    last = np.partition(place, kept - 1, axis=1)[:, :kept]
+    last = np.where(last < 1 << 40, last, -1).max(1)
+    return np.where(last >= 0, last // len(nodes), mark[0]), np.where(last >= 0, nodes[last % len(nodes)], mark[1])
+
+
+def candidates(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None, most: int, nearest: int, least: bool, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) of nodes of unlike classes whose sketches differ in at most ``most`` bits, and open members (node, last, bits).
+
+    Without a right side the left one meets itself.  The close nodes of the
+    other side have a fixed order for each member, by bits and node, whatever
+    their classes.  The next ``nearest`` after its mark are taken, and with
+    ``least`` the one with the least number; the last that is taken is its new
+    mark.  A member is open as long as a pair of it comes after the marks of
+    both; the others need not meet again.  A pair that has several keys in
+    common is left to the first of them.
     """
-    us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
-    step = max(1, (1 << 20) // max(1, len(right[0])))
-    order = np.argsort(right[0], kind="stable")
-    for at in range(0, len(left[0]), step):
-        own = slice(at, at + step)
-        bits = np.zeros((len(left[0][own]), len(order)), np.uint16)
-        for k in range(SKETCH_WORDS):
-            bits += np.bitwise_count(left[2][own, None, k] ^ right[2][None, order, k])
-        near = (bits <= most) & (left[0][own, None] != right[0][None, order])
-        unlike = near & (left[1][own, None] != right[1][None, order])
-        some = np.flatnonzero(unlike.any(1))
-        if not len(some):
-            continue
-        near, unlike = near[some], unlike[some]
-        place = np.where(near, bits[some].astype(np.int64), 1 << 15) * len(order) + np.arange(len(order))
-        kept = min(nearest, len(order))
-        close = np.argpartition(place, kept - 1, axis=1)[:, :kept]
-        close = np.take_along_axis(close, np.take_along_axis(place, close, 1).argsort(1), 1)
-        more = more or bool((unlike.sum(1) > np.take_along_axis(unlike, close, 1).sum(1)).any())
-        picked = close[:, past:] if past else np.concatenate([close, unlike.argmax(1)[:, None]], axis=1)  # argmax: the first of them
-        row, col = np.nonzero(np.take_along_axis(unlike, picked, 1))
-        i, j = at + some[row], order[picked[row, col]]
-        first = _first_shared((left[3], right[3]), (left[4], right[4]), i, j, key)
-        us.append(left[0][i[first]])
-        vs.append(right[0][j[first]])
-    return np.concatenate(us), np.concatenate(vs), more
-
-
-def _pairs(most: int, nearest: int, past: int):
+    other = left if right is None else right
+    bits = np.zeros((len(left[0]), len(other[0])), np.int16)
+    for k in range(SKETCH_WORDS):
+        bits += np.bitwise_count(left[4][:, None, k] ^ other[4][None, :, k])
+    near = (bits <= most) & (left[0][:, None] != other[0][None, :])
+    after = near & (left[1][:, None] != other[1][None, :])
+    marks = [left[2:4], other[2:4]]
+    after &= _beyond(bits, marks[0], other[0]) & _beyond(bits.T, marks[1], left[0]).T
+    marks[0] = _next_mark(bits, near, marks[0], other[0], nearest)
+    marks[1] = marks[0] if right is None else _next_mark(bits.T, near.T, marks[1], left[0], nearest)
+    now = after & ~(_beyond(bits, marks[0], other[0]) & _beyond(bits.T, marks[1], left[0]).T)
+    if least and after.size:  # argmax: the first of them
+        rows, cols = np.flatnonzero(after.any(1)), np.flatnonzero(after.any(0))
+        now[rows, after[rows].argmax(1)] = True
+        now[after[:, cols].argmax(0), cols] = True
+    i, j = np.nonzero(np.triu(after) if right is None else after)
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        after[a, b] = _first_shared((left[5], other[5]), (left[6], other[6]), a, b, key)
+    if right is None:
+        after = np.triu(after)
+        now |= now.T
+    i, j = np.nonzero(after & now)
+    pairs = np.stack([np.minimum(left[0][i], other[0][j]), np.maximum(left[0][i], other[0][j])], axis=1)
+    after &= ~now
+    still = [after.any(1) | after.any(0), np.zeros(len(other[0]), bool)] if right is None else [after.any(1), after.any(0)]
+    members = [np.stack([side[0][on], last[on], of_bits[on]], axis=1) for side, on, (of_bits, last) in zip((left, other), still, marks, strict=True)]
+    return pairs, np.concatenate(members)
+
+
+def _pairs(most: int, nearest: int, least: bool):
     """Candidate pairs of groups: rows (key, left, right) of members, right null for a group met with itself.
 
-    Out come rows (null, u, v), and (key, null, null) of the keys of which some node has more.
+    Out come rows (null, u, v, null), and (key, node, last, bits) of the open members with their marks.
     """
-    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, open_keys = [np.zeros((0, 2), np.int64)], set()
+            found, still, keys = [np.zeros((0, 2), np.int64)], [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
             for r, key in enumerate(batch.column(0).to_pylist()):
                 left, right = (_side([f.to_numpy() for f in batch.column(c)[r].values.flatten()]) if batch.column(c)[r].is_valid else None for c in (1, 2))
-                for x, y in ((left, left),) if right is None else ((left, right), (right, left)):
-                    u, v, more = candidates(x, y, most, nearest, past, key)
-                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
-                    open_keys |= {key} if more else set()
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-            none = pa.nulls(len(open_keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(open_keys), pa.int64()), none, none], schema=schema)
+                pairs, members = candidates(left, right, most, nearest, least, key)
+                found.append(pairs)
+                still.append(members)
+                keys.append(np.full(len(members), key))
+            pairs, members = np.unique(np.concatenate(found), axis=0), np.concatenate(still)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(members[:, k]) for k in range(3))], schema=schema)
         common.give_back()
 
     return run
@@ -464,30 +483,33 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
     shingles, and classes are joined along those that pass.  The first round
     takes the keys of one segment only, which joins most of a large group of
     copies, so that the keys of the others have few unlike nodes.  Rounds go on
-    with more candidates over the keys that are left, until no node of a key has
+    with more candidates over the nodes of keys that are open, each with a mark of
+    how far it came, until no node of a key has
     a candidate that wasn't tested, so every pair with a common key and close
     sketches is either in one class or tested.  A key with up to ``split`` nodes is one row of the work, one with
     more is cut to blocks of which each pair is a row.
     """
-    most, nearest, past, shape = most_bits(similarity), 1, 0, "key long, u long, v long"
-    member = F.collect_list(F.struct("node", "class", *_SKETCH, *_MARKS))
+    most, nearest, shape = most_bits(similarity), 1, "key long, u long, v long, bits long"
+    member = F.collect_list(F.struct("node", "class", "bits", "last", *_SKETCH, *_MARKS))
     tested = roots = None
 
     def of_nodes(keys: DataFrame) -> DataFrame:
         """A row for each node with its keys, of which it has a bounded number, so that sketches meet nodes and not keys."""
-        return keys.groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
+        return common.stored(keys.groupBy("node").agg(F.collect_list(F.struct("key", "n", "bits", "last")).alias("keys")), "keys-of-nodes")
 
-    by_node = common.stored(of_nodes(keys), "keys-of-nodes")
+    keys = keys.select("key", "node", "n", F.lit(-1).cast("long").alias("bits"), F.lit(0).cast("long").alias("last"))
+    one_segment = F.col("key").bitwiseAND(F.lit(15)) == 0
+    by_node = of_nodes(keys.where(one_segment))
     while True:
+        first = roots is None
         sketch = nodes.select("node", F.col("node").alias("class"), *_SKETCH, *_MARKS)
-        if roots is not None:
+        if not first:
             sketch = nodes.select("node", *_SKETCH, *_MARKS).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"), *_SKETCH, *_MARKS)
 
-        def members(fits, sketch: DataFrame = sketch, by_node: DataFrame = by_node, first: bool = roots is None) -> DataFrame:
+        def members(fits, sketch: DataFrame = sketch, by_node: DataFrame = by_node) -> DataFrame:
             """key, n and a member of it, for the keys of this round that fit."""
-            own = F.filter("keys", lambda k: fits(k["n"]) & (k["key"].bitwiseAND(F.lit(15)) == 0) if first else fits(k["n"]))
-            some = by_node.select("node", own.alias("keys")).where(F.size("keys") > 0)
-            return some.join(sketch, "node").select("node", "class", *_SKETCH, *_MARKS, F.explode("keys").alias("k")).select("k.key", "k.n", "node", "class", *_SKETCH, *_MARKS)
+            some = by_node.select("node", F.filter("keys", lambda k: fits(k["n"])).alias("keys")).where(F.size("keys") > 0)
+            return some.join(sketch, "node").select("node", "class", *_SKETCH, *_MARKS, F.explode("keys").alias("k")).select("k.*", "node", "class", *_SKETCH, *_MARKS)
 
         unlike = F.min("class") < F.max("class")
         whole = members(lambda n: n <= split).groupBy("key").agg(member.alias("left"), unlike.alias("unlike")).where("unlike")
@@ -501,26 +523,27 @@ def similar_roots(nodes: DataFrame, keys: DataFrame, sets: DataFrame, similarity
         one = blocks.select("key", "i", F.col("members").alias("left"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
         other = blocks.select("key", F.col("i").alias("j"), F.col("members").alias("right"))
         between = one.join(other, ["key", "j"]).select("key", "left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
-        found = whole.mapInArrow(_pairs(most, nearest, past), shape).unionByName(between.mapInArrow(_pairs(most, nearest, past), shape))
-        found = common.stored(found.distinct(), "candidates")
+        step = _pairs(most, nearest, nearest <= NEAREST)
+        found = common.stored(whole.mapInArrow(step, shape).unionByName(between.mapInArrow(step, shape)).distinct(), "candidates")
         common.remove(written)
         pairs = found.where("key IS NULL").select("u", "v")
         new = common.stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "new")
-        left = common.stored(found.where("key IS NOT NULL").select("key"), "open")
+        # a node of several blocks goes on from the least of its marks
+        left = found.where("key IS NOT NULL").groupBy("key", F.col("u").alias("node")).agg(F.min(F.struct("bits", F.col("v").alias("last"))).alias("mark"))
+        left = common.stored(left.select("key", "node", "mark.*"), "open")
         common.remove(found)
         passed = common.stored(verified(new, sets, similarity), "similar")
         # what is linked already goes on as a star of each class
-        links = passed if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(passed)
-        tested, first = new if tested is None else tested.unionByName(new), roots is None
+        links = passed if first else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(passed)
+        tested = new if tested is None else tested.unionByName(new)
         roots = components(links)
         common.remove(passed)
-        if not first:
-            if left.isEmpty():
-                return roots
-            still = by_node.select("node", F.explode("keys").alias("k")).select("node", "k.*").join(left, "key", "left_semi")
-            before, by_node = by_node, common.stored(of_nodes(still), "keys-of-nodes")
-            common.remove(before)
-        nearest, past = (NEAREST, 0) if first else (nearest * MORE, nearest)
+        if not first and left.isEmpty():
+            return roots
+        still = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "node", "n", "bits", "last")
+        before, by_node = by_node, of_nodes(still.unionByName(keys.where(~one_segment)) if first else still)
+        common.remove(before)
+        nearest = NEAREST if first else nearest * MORE
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -215,3 +215,76 @@ def test_keys_of_the_same_nodes_are_one(spark):
     assert pairs(kept) == pairs(raw) and pairs(raw)
     assert len({frozenset(own) for own in kept.values()}) == len(kept) == len({frozenset(own) for own in raw.values() if len(own) > 1})
 
+
+
+def _near_copies(n=60, words=200, seed=8):
+    rng, base, rows = np.random.default_rng(seed), [f"w{i}" for i in range(words)], []
+    for i in range(n):
+        own = list(base)
+        for k in rng.choice(words, int(rng.integers(0, 8)), replace=False):
+            own[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_candidates_go_on_with_open_members_only(blocks):
+    """Over the rounds each close pair is given by the first of its keys, though members without further pairs are left out."""
+    import itertools
+
+    import pyarrow as pa
+
+    from tessella.llm import simhash
+
+    bits, extremes, _ = simhash.sketches(pa.array([t for _, t in _near_copies()]), 5)
+    n, most = len(bits), simhash.most_bits(0.8) - 10
+    names = ["node", *simhash._SKETCH, *simhash._EXTREMES]
+    columns = [np.arange(n) * 7 % 61, *bits.view(np.int64).T, *extremes.view(np.int64).T]
+    keys = {}
+    for b in simhash._sketch_keys(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)])):
+        for r in b.to_pylist():
+            keys.setdefault(r["key"], []).append(r["node"])
+    at = {int(v): k for k, v in enumerate(columns[0])}
+    marks = simhash._marks(extremes)
+    apart = lambda a, b: int(np.bitwise_count(bits[at[a]] ^ bits[at[b]]).sum())
+    order, first = lambda key: (key & 15, key >> 4 & 4095), {}
+    for key in sorted(keys, key=order):
+        for a, b in itertools.combinations(sorted(keys[key]), 2):
+            if apart(a, b) <= most:
+                first.setdefault((a, b), key)
+    rows = [0] * 5
+    for key, nodes in keys.items():
+        state, got, nearest, round_ = {v: (-1, 0) for v in nodes}, set(), 1, 0
+        while state:
+            rows[round_] += len(state)
+            own = sorted(state)
+            parts = [[v for v in own if v % blocks == i] for i in range(blocks)]
+            side = lambda vs: simhash._side([np.array(vs, np.int64), np.array(vs, np.int64), *np.array([state[v] for v in vs], np.int64).reshape(-1, 2).T, *bits.view(np.int64)[[at[v] for v in vs]].T, *marks[[at[v] for v in vs]].T])  # noqa: E731, B023
+            after = {}
+            for i in range(blocks):
+                for j in range(i, blocks):
+                    if parts[i] and parts[j]:
+                        pairs, still = simhash.candidates(side(parts[i]), None if i == j else side(parts[j]), most, nearest, round_ == 0, key)
+                        got |= {tuple(p) for p in pairs.tolist()}
+                        for v, last, mark in still.tolist():
+                            after[v] = min(after.get(v, (1 << 60, 0)), (mark, last))
+            state, nearest, round_ = after, 4 * nearest, round_ + 1
+        assert got == {p for p, k in first.items() if k == key}
+    assert len(first) > 500 and rows[1] < rows[0] / 2
+
+
+def test_near_dedup_unfolds_most_keys_once(spark, monkeypatch):
+    """After the first round of a key only the nodes with pairs that are left go on, not all nodes of the key."""
+    from tessella.llm import common, simhash
+
+    stored, rows = common.stored, {"keys": [], "keys-of-nodes": []}
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in rows:
+            rows[name].append(out.count() if name == "keys" else out.selectExpr("coalesce(sum(size(keys)), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(common, "stored", counted)
+    simhash.keep_one(spark.createDataFrame(_near_copies(120, 60), "doc_id long, text string"), similarity=0.8).count()
+    assert 0 < sum(rows["keys-of-nodes"]) < 1.1 * rows["keys"][0]
